@@ -93,11 +93,11 @@ def shingles(offsets: np.ndarray, hashes: np.ndarray, size: int, short: bool = F
     if short and (few := np.flatnonzero((lengths > 0) & (lengths < size))).size:
         own = []
         for i in few:
-            h = U64(size * 1000 + lengths[i])
+            h = np.array([size * 1000 + lengths[i]], U64)
             for x in hashes[offsets[i] : offsets[i + 1]]:
                 h = h * M1 + x
             own.append(h)
-        row, out = np.concatenate((row, few)), np.concatenate((out, mix(np.array(own, U64))))
+        row, out = np.concatenate((row, few)), np.concatenate((out, mix(np.concatenate(own))))
     return row, out
 
 
