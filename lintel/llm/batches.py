@@ -136,13 +136,38 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a copy in the shared checkpoint folder.
+def checkpoint_folder(df: DataFrame):
+    """The context of df, with a checkpoint folder: the shared one that spark.checkpoint.dir names.
 
-    Only where spark.checkpoint.dir is unset, as in local tests, a folder beside the warehouse is set.
+    Only where that is unset, as in local tests, a folder in the warehouse is set.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints")
+    return context
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a copy in the shared checkpoint folder."""
+    checkpoint_folder(df)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As checkpointed, but a Parquet table, which is much smaller for strings; removed when Python ends."""
+    import atexit
+    import uuid
+
+    context = checkpoint_folder(df)
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = context._jvm
+
+    def remove() -> None:
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+    atexit.register(remove)
+    return df.sparkSession.read.parquet(path)
