@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintel.llm import bpe, hmm, jaccard, langid, packing, rules, suffixes, toxicity
+from lintel.llm import bpe, hmm, jaccard, langid, packing, rules, suffixes, toxicity, units, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(read(spark, sf_dir, "documents"))
 
 
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.digests(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.deduplicated(read(spark, sf_dir, "embeddings"))
+
+
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.judged(read(spark, sf_dir, "documents"))
 
