@@ -121,6 +121,13 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until it is no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """df through make()(batches), which yields pyarrow batches or dicts of columns, in the schema's order."""
     from pyspark.sql.types import StructType

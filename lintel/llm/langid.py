@@ -157,14 +157,11 @@ class Profiles:
         return dots / np.sqrt(DIMENSIONS * np.maximum(squares, 1))[:, None], np.bincount(row, minlength=len(texts))
 
 
-def identified(documents: DataFrame, learn_from: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """extra columns, lang_pred, score of every row of documents: score is the softmax of SHARPNESS times the cosines."""
-    return apply(documents, Profiles(prototypes(learn_from)), text, extra)
-
-
-def apply(documents: DataFrame, profiles: Profiles, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identified(documents: DataFrame, learn_from: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """extra columns and, under two names that are none of theirs, the language and the softmax of SHARPNESS times the cosines."""
+    profiles = Profiles(prototypes(learn_from, text))
     if not profiles.langs:
-        return documents.select(*extra, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return documents.select(*extra, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
 
     def make():
@@ -176,12 +173,12 @@ def apply(documents: DataFrame, profiles: Profiles, text: str = "text", extra: t
                 best = cosines.argmax(1)
                 likely = np.exp(SHARPNESS * (cosines - cosines.max(1, keepdims=True)))
                 score = np.where(n > 0, 1 / likely.sum(1), 0.0)
-                yield {c: part.column(c) for c in extra} | {"lang_pred": [own.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], "score": score}
+                yield {c: part.column(c) for c in extra} | {names[0]: [own.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], names[1]: score}
 
         return run
 
     fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in extra]
-    return map_arrow(documents.select(*extra, text), make, ", ".join([*fields, "lang_pred string, score double"]))
+    return map_arrow(documents.select(*dict.fromkeys([*extra, text])), make, ", ".join([*fields, f"`{names[0]}` string, `{names[1]}` double"]))
 
 
 def predicted(documents: DataFrame) -> DataFrame:

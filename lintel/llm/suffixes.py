@@ -25,14 +25,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import M1, U64, checkpointed, map_arrow, mix, slices, text_bytes
+from lintel.llm.batches import M1, U64, checkpointed, fresh, map_arrow, mix, slices, text_bytes
 from lintel.llm.components import grouped, starts
 
 SPAN, KMER, SHARD = 100, 32, 3 << 20
@@ -363,11 +362,12 @@ def whole_characters(data: bytes, cut: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """All columns of documents and spans, null where nothing goes."""
+def removed(documents: DataFrame, span: int = SPAN, name: str = "own_spans") -> DataFrame:
+    """All columns of documents and, under name, the sorted spans that go, null where nothing does."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    found = spans(own, span).select(F.col("doc_id").alias("own_id"), F.col("spans").alias("own_spans"))
-    return documents.join(found, F.col("doc_id") == F.col("own_id"), "left").drop("own_id")
+    key = fresh(documents, "own_id")
+    found = spans(own, span).select(F.col("doc_id").alias(key), F.col("spans").alias(name))
+    return documents.join(found, documents["doc_id"] == F.col(key), "left").drop(key)
 
 
 def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -392,16 +392,24 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
 
 def shortened(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """documents with their texts less the repeated bytes; characters that are only partly covered stay. n_chars follows, if there."""
+    name, columns = fresh(documents, "own_spans"), documents.columns
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, own: pd.Series) -> pd.Series:
-        def one(t, s):
-            if s is None or t is None:
-                return t
-            data = t.encode()
-            return without(data, whole_characters(data, merged(s))).decode()
+    def one(text: str | None, own: list[dict] | None) -> str | None:
+        if text is None or own is None:
+            return text
+        data = text.encode()
+        return without(data, whole_characters(data, merged(own))).decode()
 
-        return pd.Series([one(t, s) for t, s in zip(text, own, strict=True)], dtype=object)
+    def make():
+        def run(batches):
+            for part, _ in slices(batches, "text"):
+                out = {c: part.column(c) for c in columns}
+                out["text"] = [one(t, s) for t, s in zip(part.column("text").to_pylist(), part.column(name).to_pylist(), strict=True)]
+                if "n_chars" in out:
+                    out["n_chars"] = [t if t is None else len(t) for t in out["text"]]
+                yield out
+
+        return run
 
-    out = removed(documents, span).withColumn("text", F.when(F.col("own_spans").isNull(), F.col("text")).otherwise(cut("text", "own_spans"))).drop("own_spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(documents.columns) if "n_chars" in documents.columns else out.select(documents.columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    return map_arrow(removed(documents, span, name), make, fields)
