@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, words
 
-FIT_ROWS, ORDER, DISCOUNT = 8000, 10, 0.75
+FIT_ROWS, ORDER, DISCOUNT = 3000, 10, 0.75
+#: n-grams of the highest order that are seen less often are left to the backoff.
+LEAST_COUNT = 2
 WINDOWS = (1, 3, 12)
 #: Bits of a character: 1 pads, 2 ends a word, a-z follow, all other characters share what is left.
 BITS = 6
@@ -65,7 +67,7 @@ def class_counts(documents: DataFrame, label: str, text: str) -> DataFrame:
         return run
 
     rows = map_arrow(documents.select(label, text), make, "gram bigint, n1 bigint, n0 bigint")
-    return rows.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).filter(F.col("n1") + F.col("n0") >= LEAST_COUNT)
 
 
 def shared_backoff(grams: np.ndarray) -> np.ndarray:
@@ -136,8 +138,8 @@ def window_features(ratios: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def featured(documents: DataFrame, model, text: str, extra: list[str]) -> DataFrame:
-    """extra columns and x, the window features of each text."""
+def featured(documents: DataFrame, model, text: str, extra: list[str], name: str = "x") -> DataFrame:
+    """extra columns and, under name, the window features of each text."""
 
     def make():
         ratios = model.value
@@ -146,12 +148,12 @@ def featured(documents: DataFrame, model, text: str, extra: list[str]) -> DataFr
             for part, texts in slices(batches, text):
                 offsets, codes, vocabulary = words(texts)
                 x = window_features(ratios.of_words(vocabulary)[codes], offsets)
-                yield {c: part.column(c) for c in extra} | {"x": list(x)}
+                yield {c: part.column(c) for c in extra} | {name: list(x)}
 
         return run
 
     fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in extra]
-    return map_arrow(documents.select(*extra, text), make, ", ".join([*fields, "x array<double>"]))
+    return map_arrow(documents.select(*dict.fromkeys([*extra, text])), make, ", ".join([*fields, f"`{name}` array<double>"]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,16 +196,16 @@ class Toxicity:
             return cls(None, None)
         return cls(ratios, logistic(np.array(held["x"].tolist()), held["own_label"].to_numpy()))
 
-    def score(self, documents: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """extra columns and score, 0 to 1, of every row."""
+    def score(self, documents: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+        """extra columns and, under a name that is none of theirs, a score from 0 to 1 of every row."""
         if self.calibration is None:
-            return documents.select(*extra, F.lit(0.0).alias("score"))
+            return documents.select(*extra, F.lit(0.0).alias(name))
         mean, scale, w = self.calibration
-        rows = featured(documents, documents.sparkSession.sparkContext.broadcast(self.ratios), text, list(extra))
+        rows = featured(documents, documents.sparkSession.sparkContext.broadcast(self.ratios), text, list(extra), name)
         z = F.lit(float(w[-1]))
         for k in range(len(mean)):
-            z = z + (F.col("x")[k] - float(mean[k])) * float(w[k] / scale[k])
-        return rows.select(*extra, (1 / (1 + F.exp(-z))).alias("score"))
+            z = z + (F.col(name)[k] - float(mean[k])) * float(w[k] / scale[k])
+        return rows.select(*extra, (1 / (1 + F.exp(-z))).alias(name))
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
