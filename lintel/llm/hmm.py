@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.batches import checkpointed, map_arrow, remainder, rows_of, slices, sums, words, written
 
-STATES, HEAD, KNOWN, START_TEXTS, START_ROUNDS, ROUNDS, SEED = 8, 40_000, 300_000, 800, 15, 1, 11
+STATES, HEAD, KNOWN, START_TEXTS, START_ROUNDS, ROUNDS, SEED = 8, 40_000, 200_000, 400, 15, 1, 11
 SLICE = 16 << 20
 END = "\n"  # no word
 SMOOTHING = 4.0
@@ -61,7 +61,12 @@ class Vocabulary:
     @classmethod
     def of(cls, counted: DataFrame) -> Vocabulary:
         n = counted.agg(F.sum("c").alias("tokens"), F.count("*").alias("distinct")).first()
-        top = counted.orderBy(F.desc("c"), "word").limit(KNOWN).toPandas().sort_values(["c", "word"], ascending=[False, True])
+        # the least count that at most KNOWN words have or exceed; there are at most as many counts as the root of twice the tokens
+        each = counted.filter("c > 1").groupBy("c").agg(F.count("*").alias("words")).toPandas().sort_values("c", ascending=False)
+        within = each[(each["words"].cumsum() <= KNOWN).to_numpy()]
+        least = int(within["c"].min()) if len(within) else 1 << 62
+        least = 1 if (n["distinct"] or 0) <= KNOWN else least
+        top = counted.filter(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
         return cls(pa.array(top["word"].tolist(), pa.string()), top["c"].to_numpy(np.int64), n["tokens"] or 0, n["distinct"])
 
     def __post_init__(self):
