@@ -273,6 +273,8 @@ class RunIndex:
 def later(doc: np.ndarray, start: np.ndarray, strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the span-byte strings that occur in an earlier place among the strings."""
     joined = np.frombuffer(bytes([SEPARATOR]).join(strings), np.uint8)
+    if len(joined) < span:
+        return doc[:0], start[:0]
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     repeated = np.flatnonzero(RunIndex(joined).matches() >= span)
