@@ -230,7 +230,7 @@ def divided(kids, cols):
     a, b = cols
     if kids[0].type.kind in FLOATS:
         infinite = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when((a > 0) == ~(b.cast("string") == "-0.0"), F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
-        return F.when(b == 0, infinite).otherwise(F.try_divide(a, b)).cast(to_spark(kids[0].type))
+        return F.when(b == 0, F.when(a.isNotNull(), infinite)).otherwise(F.try_divide(a, b)).cast(to_spark(kids[0].type))
     # toward zero; the least number over -1 overflows
     out = F.when(b == 0, None).when(b == -1, F.try_subtract(literal(0, kids[0].type), a)).otherwise(F.call_function("div", a, F.when(b == 0, 1).otherwise(b)))
     return out.try_cast(to_spark(kids[0].type))
