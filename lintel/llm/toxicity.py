@@ -7,7 +7,8 @@ too rarely to tell the classes apart is equally likely in both. The log-likeliho
 character is then one number for each observed n-gram, one for each observed context (where the
 shared backoff cancels), and 0 elsewhere; ratios of words are sums. Windows of WINDOWS words give
 length-normalised ratios; the largest of each size, the whole text's and its log length enter a
-logistic calibration that is fitted on labelled texts the counts have not seen.
+logistic calibration. It is fitted on all labelled texts, each scored by models whose counts leave
+out its fold of FOLDS.
 
 FIT_ROWS bounds the labelled texts of either class that the model is fitted on, taken by the least
 hash of their ids; every text is scored whole. Null texts are scored as empty. Labels that are
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, words
 
-FIT_ROWS, ORDER, DISCOUNT = 3000, 10, 0.75
+FIT_ROWS, FOLDS, ORDER, DISCOUNT = 3000, 4, 10, 0.75
 #: n-grams of the highest order that are seen less often are left to the backoff.
 LEAST_COUNT = 2
 WINDOWS = (1, 3, 12)
@@ -49,25 +50,28 @@ def spelt(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends)), keys[real]
 
 
-def class_counts(documents: DataFrame, label: str, text: str) -> DataFrame:
-    """gram, n1, n0: n-grams of the labelled texts by class."""
+def class_counts(documents: DataFrame, label: str, fold: str, text: str) -> DataFrame:
+    """gram, and counts named by class and fold, of the labelled texts' n-grams."""
+    names = [f"n{y}_{k}" for y in (0, 1) for k in range(FOLDS)]
 
     def make():
         def run(batches):
             for part, texts in slices(batches, text):
                 offsets, codes, vocabulary = words(texts)
-                toxic = part.column(label).to_numpy(zero_copy_only=False)[rows_of(offsets)] == 1
-                n1 = np.bincount(codes[toxic], minlength=len(vocabulary))
-                n0 = np.bincount(codes[~toxic], minlength=len(vocabulary))
+                kind = (part.column(label).to_numpy() * FOLDS + part.column(fold).to_numpy())[rows_of(offsets)]
                 at, keys = spelt(vocabulary)
                 grams, found = np.unique(keys, return_inverse=True)
                 each = np.diff(at)
-                yield {"gram": grams, "n1": np.bincount(found, np.repeat(n1, each)).astype(np.int64), "n0": np.bincount(found, np.repeat(n0, each)).astype(np.int64)}
+                of_words = (np.bincount(codes[kind == k], minlength=len(vocabulary)) for k in range(2 * FOLDS))
+                yield {"gram": grams} | {name: np.bincount(found, np.repeat(n, each), len(grams)).astype(np.int64) for name, n in zip(names, of_words, strict=True)}
 
         return run
 
-    rows = map_arrow(documents.select(label, text), make, "gram bigint, n1 bigint, n0 bigint")
-    return rows.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).filter(F.col("n1") + F.col("n0") >= LEAST_COUNT)
+    rows = map_arrow(documents.select(label, fold, text), make, ", ".join(["gram bigint", *(f"{n} bigint" for n in names)]))
+    total = F.lit(0)
+    for n in names:
+        total = total + F.col(n)
+    return rows.groupBy("gram").agg(*(F.sum(n).alias(n) for n in names)).filter(total >= LEAST_COUNT)
 
 
 def shared_backoff(grams: np.ndarray) -> np.ndarray:
@@ -99,7 +103,8 @@ class Ratios:
 
     @classmethod
     def fit(cls, counts: pd.DataFrame) -> Ratios:
-        counts = counts.sort_values("gram")
+        """counts: gram, n1, n0."""
+        counts = counts[counts["n1"] + counts["n0"] >= LEAST_COUNT].sort_values("gram")
         grams, n = counts["gram"].to_numpy(), {k: counts[k].to_numpy().astype(float) for k in ("n1", "n0")}
         backoff = shared_backoff(grams)
         contexts, of = np.unique(grams >> BITS, return_inverse=True)
@@ -138,32 +143,35 @@ def window_features(ratios: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def featured(documents: DataFrame, model, text: str, extra: list[str], name: str = "x") -> DataFrame:
-    """extra columns and, under name, the window features of each text."""
+def featured(documents: DataFrame, models, text: str, extra: list[str], name: str = "x", fold: str | None = None) -> DataFrame:
+    """extra columns and, under name, the window features of each text, by the model of its fold where folds are told apart."""
 
     def make():
-        ratios = model.value
+        ratios = models.value
 
         def run(batches):
             for part, texts in slices(batches, text):
-                offsets, codes, vocabulary = words(texts)
-                x = window_features(ratios.of_words(vocabulary)[codes], offsets)
+                own = part.column(fold).to_numpy() if fold else np.zeros(len(texts), np.int64)
+                x = np.zeros((len(texts), len(WINDOWS) + 2))
+                for k in np.unique(own):
+                    offsets, codes, vocabulary = words(texts.filter(pa.array(own == k)))
+                    x[own == k] = window_features(ratios[k].of_words(vocabulary)[codes], offsets)
                 yield {c: part.column(c) for c in extra} | {name: list(x)}
 
         return run
 
     fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in extra]
-    return map_arrow(documents.select(*dict.fromkeys([*extra, text])), make, ", ".join([*fields, f"`{name}` array<double>"]))
+    return map_arrow(documents.select(*dict.fromkeys([*extra, *([fold] if fold else []), text])), make, ", ".join([*fields, f"`{name}` array<double>"]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(means, scales, weights with the intercept last) by Newton's method, classes weighted as they occur."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, scales, weights with the intercept last) by Newton's method; the ridge is a fixed prior, which matters less the more texts there are."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        penalty = np.full(len(w), ridge * len(y) / 100)
+        penalty = np.full(len(w), ridge)
         penalty[-1] = 0
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (p - y) + penalty * w)
         w -= np.clip(step, -2, 2)
@@ -185,15 +193,17 @@ class Toxicity:
         spark = documents.sparkSession
         kind = labels.schema[key].dataType.simpleString()
         # at most 2 * rows ids: small enough to send everywhere
-        ids = spark.createDataFrame([(r[key], int(r["y"]), r["h"] % 4 == 0) for r in chosen], f"own_key {kind}, own_label int, held boolean")
+        ids = spark.createDataFrame([(r[key], int(r["y"]), r["h"] % FOLDS) for r in chosen], f"own_key {kind}, own_label int, own_fold int")
         sample = documents.select(F.col(key).alias("own_key"), F.col(text).alias("own_text")).join(F.broadcast(ids), "own_key")
-        counts = class_counts(sample.filter("not held"), "own_label", "own_text").toPandas()
-        if not len(counts) or not counts["n1"].any() or not counts["n0"].any():
-            return cls(None, None)
-        ratios = Ratios.fit(counts)
-        held = featured(sample.filter("held"), spark.sparkContext.broadcast(ratios), "own_text", ["own_label"]).toPandas()
-        if held["own_label"].nunique() < 2:
+        counts = class_counts(sample, "own_label", "own_fold", "own_text").toPandas()
+        by_class = {y: counts[[f"n{y}_{k}" for k in range(FOLDS)]].sum(axis=1) for y in (0, 1)}
+        if not by_class[0].any() or not by_class[1].any():
             return cls(None, None)
+        without = [pd.DataFrame({"gram": counts["gram"]} | {f"n{y}": by_class[y] - counts[f"n{y}_{k}"] for y in (0, 1)}) for k in range(FOLDS)]
+        seen = [Ratios.fit(c) for c in without]
+        ratios = Ratios.fit(pd.DataFrame({"gram": counts["gram"], "n0": by_class[0], "n1": by_class[1]}))
+        del counts, without, by_class
+        held = featured(sample, spark.sparkContext.broadcast(seen), "own_text", ["own_label"], fold="own_fold").toPandas()
         return cls(ratios, logistic(np.array(held["x"].tolist()), held["own_label"].to_numpy()))
 
     def score(self, documents: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -201,7 +211,7 @@ class Toxicity:
         if self.calibration is None:
             return documents.select(*extra, F.lit(0.0).alias(name))
         mean, scale, w = self.calibration
-        rows = featured(documents, documents.sparkSession.sparkContext.broadcast(self.ratios), text, list(extra), name)
+        rows = featured(documents, documents.sparkSession.sparkContext.broadcast([self.ratios]), text, list(extra), name)
         z = F.lit(float(w[-1]))
         for k in range(len(mean)):
             z = z + (F.col(name)[k] - float(mean[k])) * float(w[k] / scale[k])
