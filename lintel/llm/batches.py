@@ -6,6 +6,9 @@ one text, whichever is more, so a task's memory follows its longest text and not
 
 from __future__ import annotations
 
+import atexit
+import gc
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -155,6 +158,16 @@ def checkpoint_folder(df: DataFrame):
     return context
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df, after Spark's cleaner was let to drop the shuffle files of plans that no variable holds any more.
+
+    For use after a checkpoint has cut off a large shuffle; the cleaner acts on what the driver's JVM has collected.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a copy in the shared checkpoint folder."""
     checkpoint_folder(df)
@@ -163,13 +176,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As checkpointed, but a Parquet table, which is much smaller for strings; removed when Python ends."""
-    import atexit
-    import uuid
-
     context = checkpoint_folder(df)
     path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    spark, jvm = df.sparkSession, context._jvm
     df.write.parquet(path)
-    jvm = context._jvm
+    del df
 
     def remove() -> None:
         if context._jsc is not None and not context._jsc.sc().isStopped():
@@ -177,4 +188,4 @@ def written(df: DataFrame) -> DataFrame:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
     atexit.register(remove)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)

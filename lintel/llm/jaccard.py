@@ -8,7 +8,11 @@ sub-parts of a part is hashed into a signature, and a set signs for its own band
 the larger sets that it can link with. So sets that link share a signature, whatever their size.
 
 Signatures are sorted by range and then by node, so a signature of any number of nodes spans
-several tasks, and each is read as a stream: a node is tied to the first node of its signature.
+several tasks, and are read as a stream that drops those of one node. Many of the rest are of few
+elements, or none, and shared by chance. So each set has a sketch, the parity of its elements in
+hashed bits: sets differ in at least as many elements as their sketches do in bits. Pairs of a
+signature whose sketches differ too much cannot link and are not tied. (A signature of more than
+MOST nodes is not worth that: all its nodes are tied to its first one.)
 Nodes that hang together through ties are then compared exactly, as products of set matrices, in
 blocks of about BLOCK elements, a pair of blocks a task; blocks report a spanning forest of the
 links they find, never all pairs. Components of those are the result.
@@ -23,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import M1, M2, U64, checkpointed, distinct_per_row, map_arrow, mix, rows_of, shingles, slices, word_hashes, words
+from lintel.llm.batches import M1, M2, U64, checkpointed, distinct_per_row, map_arrow, mix, released, rows_of, shingles, slices, word_hashes, words
 from lintel.llm.components import components, grouped, least_reachable, starts
 
 N2, K2, WIDTH = 3, 1, 1.25
 #: Elements of a block's sets, about.
 BLOCK = 400_000
+#: Nodes of a signature whose pairs of sketches are compared; with more, all are tied.
+MOST = 2000
+LEAST_BITS = 512
 
 
 class Bands:
@@ -94,8 +102,26 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray, bands: Bands) -> tuple[n
     return np.concatenate(rows), np.concatenate(sigs).view(np.int64)
 
 
+def sketches(offsets: np.ndarray, hashes: np.ndarray) -> list[bytes]:
+    """Of each set, the parities of its elements' counts by hashed bit, in as many bits as elements or up to twice that."""
+    bits = LEAST_BITS << np.ceil(np.log2(np.maximum(np.diff(offsets), LEAST_BITS) / LEAST_BITS)).astype(np.int64)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    row = rows_of(offsets)
+    at = base[row] + (mix(hashes ^ M2) & (bits[row] - 1).astype(U64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1], base[1:], strict=True)]
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch in fewer bits, as words; hashed bits are the leading ones' remainders, so halves are added."""
+    words_ = np.frombuffer(sketch, U64)
+    while len(words_) > size:
+        words_ = words_[: len(words_) // 2] ^ words_[len(words_) // 2 :]
+    return words_
+
+
 def signed(documents: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
-    """key, n, f1, f2 (a fingerprint of the set), sigs of every text."""
+    """key, n, f1, f2 (a fingerprint of the set), sketch, sigs of every text; sigs only where the slice has no equal set before."""
 
     def make():
         bands = Bands(num, den)
@@ -103,57 +129,103 @@ def signed(documents: DataFrame, text: str, key: str, size: int, num: int, den:
         def run(batches):
             for part, texts in slices(batches, text):
                 offsets, hashes = sets_of(texts, size)
-                row, sigs = signatures(offsets, hashes, bands)
-                order = np.argsort(row, kind="stable")
-                ends = np.searchsorted(row[order], np.arange(len(texts) + 1))
                 prints = []
                 for salt in (M1, M2):
                     total = np.zeros(len(texts), U64)
                     np.add.at(total, rows_of(offsets), mix(hashes ^ salt))
                     prints.append(total.view(np.int64))
-                yield {key: part.column(key), "n": np.diff(offsets), "f1": prints[0], "f2": prints[1], "sigs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order]))}
+                first = np.zeros(len(texts), bool)
+                first[np.unique(prints[0], return_index=True)[1]] = True
+                sizes = np.where(first, np.diff(offsets), 0)
+                row, sigs = signatures(np.concatenate(([0], np.cumsum(sizes))), hashes[np.repeat(first, np.diff(offsets))], bands)
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(len(texts) + 1))
+                yield {key: part.column(key), "n": np.diff(offsets), "f1": prints[0], "f2": prints[1], "sketch": sketches(offsets, hashes), "sigs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order]))}
 
         return run
 
     kind = documents.schema[key].dataType.simpleString()
-    return map_arrow(documents.select(key, text), make, f"{key} {kind}, n bigint, f1 bigint, f2 bigint, sigs array<bigint>")
+    return map_arrow(documents.select(key, text), make, f"{key} {kind}, n bigint, f1 bigint, f2 bigint, sketch binary, sigs array<bigint>")
 
 
-def ties(pairs: DataFrame) -> DataFrame:
-    """a, b: each node and the first one of its signature; pairs: sig, node.
+def shared(pairs: DataFrame) -> DataFrame:
+    """sig, node: rows of signatures that several nodes have, or could have; pairs: the same of all.
 
-    Pairs are dealt by range of both, so partitions cut large signatures; a partition names the
-    first node of the signatures at its ends, and those few rows tie the cuts together.
+    Rows are dealt by range of both, so partitions cut large signatures; what a partition has of
+    the signatures at its ends is kept even if it is one node.
     """
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]):
-            sig, hub, ends = None, None, []
+            held, begun = pa.table({"sig": pa.array([], pa.int64()), "node": pa.array([], pa.int64())}), False
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                s, node = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
+                table = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+                s, node = table.column("sig").to_numpy(), table.column("node").to_numpy()
                 new = np.ones(len(s), bool)
-                new[1:] = s[1:] != s[:-1]
-                new[0] = s[0] != sig
-                at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-                hubs = np.where(at >= 0, node[at], hub if hub is not None else 0)
-                if not ends:
-                    ends.append((s[0], node[0]))
-                sig, hub = s[-1], hubs[-1]
-                own = hubs != node
-                # most ties recur from signature to signature
-                a, b = np.unique(np.stack((hubs[own], node[own])), axis=1)
-                yield {"kind": np.zeros(len(a), np.int32), "a": a, "b": b}
-            if ends:
-                ends.append((sig, hub))
-                yield {"kind": np.ones(2, np.int32), "a": np.array([e[0] for e in ends]), "b": np.array([e[1] for e in ends])}
+                new[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])
+                s, node = s[new], node[new]
+                several = np.zeros(len(s), bool)
+                several[1:] = s[1:] == s[:-1]
+                several[:-1] |= several[1:]
+                if not begun:
+                    several |= s == s[0]
+                    begun = True
+                # the last row waits for the next batch
+                yield {"sig": s[:-1][several[:-1]], "node": node[:-1][several[:-1]]}
+                held = pa.table({"sig": s[-1:], "node": node[-1:]})
+                if several[-1]:
+                    yield {"sig": s[-1:], "node": node[-1:]}
+            yield {"sig": held.column("sig").to_numpy(), "node": held.column("node").to_numpy()}
 
         return run
 
-    found = checkpointed(map_arrow(pairs.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node"), make, "kind int, a bigint, b bigint"))
-    cuts = found.filter("kind = 1").groupBy("a").agg(F.min("b").alias("hub"), F.collect_set("b").alias("bs"))
-    return found.filter("kind = 0").select("a", "b").union(cuts.select(F.col("hub").alias("a"), F.explode("bs").alias("b")).filter("a <> b"))
+    dealt = pairs.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
+    return map_arrow(dealt, make, "sig bigint, node bigint")
+
+
+def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: nodes of one signature that could link; sketched: node, n, sketch."""
+    rows = released(checkpointed(shared(pairs).distinct()))
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("nodes"), F.min("node").alias("hub")).filter("nodes > 1")
+    each = checkpointed(rows.join(sizes, "sig"))
+    large = each.filter((F.col("nodes") > MOST) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    small = each.filter(F.col("nodes") <= MOST).select("sig", "node").join(sketched, "node")
+
+    def make():
+        def run(tables):
+            for table in tables:
+                begin = starts(table, ["sig"])
+                counts = np.diff(np.append(begin, table.num_rows))
+                node, n, sketch = table.column("node").to_numpy(), table.column("n").to_numpy(), table.column("sketch")
+                size = pc.binary_length(sketch).to_numpy() // 8
+                for width in np.unique(size):
+                    # signatures by the shortest sketch among their nodes
+                    least = np.minimum.reduceat(size, begin) == width
+                    if not least.any():
+                        continue
+                    at = np.concatenate([np.arange(b, b + c) for b, c in zip(begin[least], counts[least], strict=True)])
+                    bits = np.stack([folded(x, width) for x in sketch.take(pa.array(at)).to_pylist()])
+                    place = np.cumsum(counts[least]) - counts[least]
+                    for nodes in np.unique(counts[least]):
+                        u, v = np.triu_indices(nodes, 1)
+                        own = place[counts[least] == nodes]
+                        step = max(1, 400_000 // (len(u) * width))
+                        for low in range(0, len(own), step):
+                            i, j = ((own[low : low + step, None] + w[None, :]).ravel() for w in (u, v))
+                            for part in range(0, len(i), 1 << 18):
+                                a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
+                                na, nb = n[at[a]], n[at[b]]
+                                near = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) * (den + num) <= (na + nb) * (den - num))
+                                if near.any():
+                                    # a spanning forest of them says as much
+                                    x, to = least_reachable(node[at[a[near]]], node[at[b[near]]])
+                                    yield {"a": x[x != to], "b": to[x != to]}
+
+        return run
+
+    return large.union(grouped(small, ["sig"], ["node"], make, "a bigint, b bigint"))
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -218,13 +290,28 @@ def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, t
     texts = documents.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
     base = checkpointed(signed(texts, "text", "node", size, num, den))
     has = (F.col("n") > 0) & F.col("node").isNotNull()
-    nodes = base.filter(has).groupBy("f1", "f2", "n").agg(F.min("node").alias("rep"), F.min_by("sigs", "node").alias("sigs"))
-    tied = components(ties(nodes.select(F.explode("sigs").alias("sig"), F.col("rep").alias("node"))))
-    sized = checkpointed(tied.join(base.filter(has).groupBy(F.col("node")).agg(F.sum("n").alias("n")), "node").select("node", F.col("component").alias("grp"), "n"))
+    # until their texts are needed, equal sets go by the first half of their fingerprint
+    pairs = base.filter(has).select(F.explode("sigs").alias("sig"), F.col("f1").alias("node"))
+    sketched = base.filter(has).groupBy(F.col("f1").alias("node")).agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    tied = checkpointed(ties(pairs, sketched, num, den))
+    coarse = checkpointed(components(tied).select(F.col("node").alias("f1"), F.col("component").alias("grp")))
+    groups = checkpointed(base.filter(has).groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")))
+    sized = groups.join(coarse, "f1")
     totals = sized.groupBy("grp").agg(F.sum("n").alias("total"))
-    members = texts.join(sized.join(totals, "grp").select("node", "grp", "total"), "node")
+    members = texts.join(sized.join(totals, "grp").select(F.col("rep").alias("node"), "grp", "total").distinct(), "node")
     labels = components(compared(members, size, num, den))
-    groups = base.filter(has).groupBy("f1", "f2", "n").agg(F.min("node").alias("rep"))
+    released(groups)
     found = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
+    # rows that share an id are one node, whatever their texts
+    same = base.filter(has).select("node", "f1", "f2", "n").distinct().groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1")
+    if not same.isEmpty():
+        return relinked(base, has, found, key)
     out = base.drop("sigs").join(found, ["f1", "f2", "n"], "left")
     return out.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), F.when(has, F.coalesce("component", "node")).otherwise(F.col("node")).alias("component_id"))
+
+
+def relinked(base: DataFrame, has, found: DataFrame, key: str) -> DataFrame:
+    """The result where an id has several sets: their components are one."""
+    rows = checkpointed(base.drop("sigs").join(found, ["f1", "f2", "n"], "left").select("node", "n", F.when(has, F.coalesce("component", "node")).otherwise(F.col("node")).alias("component")))
+    labels = components(rows.filter("component is not null").select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("component", "least")
+    return rows.join(labels, "node", "left").select(F.col("node").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "node").alias("component_id"))
