@@ -191,7 +191,7 @@ def duration(text: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(rf"(\d+(?:\.\d*)?|\.\d+){unit}"), F.lit(1))
         micros = micros + F.aggregate(found, F.lit(0.0), lambda sum_, x: sum_ + x.try_cast("double")) * scale
     signed = F.when(text.startswith("-"), -micros).otherwise(micros)
-    return F.when(text.rlike(DURATION) , F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (signed / 1e6).cast("decimal(18,6)")))
+    return F.when(text.rlike(DURATION), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (signed / 1e6).cast("decimal(18,6)")))
 
 
 def cast(of: Typed, c: Column, to: ValueType) -> Column:
@@ -430,7 +430,7 @@ class Lowering:
                 return Pair(of.value.getField(t.kids[0].type.fields[field].name), of.error)
             case Cast(_, to):
                 of = self.lower(t.kids[0], scope)
-                return self.failing(cast(t.kids[0], of.value, to), of.error, [of.value], t.may_error and not t.kids[0].may_error or t.may_error)
+                return self.failing(cast(t.kids[0], of.value, to), of.error, [of.value], t.may_error)
             case Case():
                 return self.case(t, scope)
             case Make(kind, _, names):

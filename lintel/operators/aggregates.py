@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.engine import Engine
@@ -17,8 +17,8 @@ class Aggregate:
     """id over an expression. by: an expression that orders rows, for first, last and nth_value; at: a percentile's share or a place."""
 
     def __init__(self, id: str, expr: str | None = None, by: str | None = None, at: float | int | None = None, approximate: float | None = None, population: bool = False):
-        if id not in AGGREGATES:
-            raise TypeCheckError(f"no aggregate {id}; there are {', '.join(AGGREGATES)}")
+        if id not in AGGREGATES and id != "nth_value":
+            raise TypeCheckError(f"no aggregate {id}; there are {', '.join(AGGREGATES)} and nth_value")
         if (expr is None) != (id == "count" and expr is None):
             raise TypeCheckError(f"{id} takes an expression")
         if (id in ORDERED) != (by is not None):
@@ -30,6 +30,8 @@ class Aggregate:
     def column(self, engine: Engine, df: DataFrame) -> Column:
         if self.expr is None:
             return F.count(F.lit(1))
+        if self.id == "nth_value":
+            raise TypeCheckError("nth_value is not for windows of streams")
         typed = engine.typed(df, self.expr)
         if self.id in NUMERIC_ONLY and typed.type.kind not in NUMERIC:
             raise TypeCheckError(f"{self.id} takes numbers, not {typed.type}")
@@ -39,12 +41,6 @@ class Aggregate:
         return out.cast(to_spark(typed.type)) if self.id in ("min", "max") else out
 
 
-def nth(c: Column, by: Column, own: Aggregate) -> Column:
-    """The value in place at, from 1, among a group's rows in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(by.alias("by"), c.alias("value"))))
-    return F.get(ordered, own.at - 1).getField("value")
-
-
 def percentile(c: Column, by: Column | None, own: Aggregate) -> Column:
     return F.percentile(c, F.lit(own.at)) if own.approximate is None else F.percentile_approx(c, own.at, int(1 / own.approximate))
 
@@ -63,13 +59,30 @@ AGGREGATES: dict[str, Callable[[Column, Column | None, Aggregate], Column]] = {
     "std_dev": lambda c, by, own: F.stddev_pop(c) if own.population else F.stddev_samp(c),
     "variance": lambda c, by, own: F.var_pop(c) if own.population else F.var_samp(c),
     "product": lambda c, by, own: F.product(c),
-    "nth_value": nth,
 }
 NUMERIC_ONLY = ("sum", "avg", "median", "percentile", "std_dev", "variance", "product")
 ORDERED = ("first", "last", "nth_value")
 
 
+def nth_rows(engine: Engine, df: DataFrame, by: dict[str, str], name: str, own: Aggregate) -> DataFrame:
+    """Keys, and the value in place own.at, from 1, of each group. Tasks pass on own.at rows of a group at most."""
+    keys = [engine.column(df, e).alias(f"_key_{n}") for n, e in by.items()]
+    place = F.row_number().over(Window.partitionBy(*(f"_key_{n}" for n in by)).orderBy("_by"))
+    rows = df.select(*keys, engine.column(df, own.by).alias("_by"), engine.column(df, own.expr).alias(name))
+    return rows.withColumn("_place", place).filter(F.col("_place") == own.at).drop("_by", "_place")
+
+
 def aggregate(engine: Engine, df: DataFrame, by: dict[str, str] | None = None, **aggregates: Aggregate) -> DataFrame:
     """One row for each combination of the by expressions, or one for all rows."""
-    keys = [engine.column(df, e).alias(n) for n, e in (by or {}).items()]
-    return df.groupBy(*keys).agg(*(a.column(engine, df).alias(n) for n, a in aggregates.items()))
+    by = by or {}
+    placed = {n: a for n, a in aggregates.items() if a.id == "nth_value"}
+    plain = {n: a.column(engine, df).alias(n) for n, a in aggregates.items() if n not in placed}
+    keys = [engine.column(df, e).alias(n) for n, e in by.items()]
+    out = df.groupBy(*keys).agg(*plain.values()) if plain else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    for name, own in placed.items():
+        rows = nth_rows(engine, df, by, name, own)
+        condition = F.lit(True)
+        for n in by:
+            condition = condition & out[n].eqNullSafe(rows[f"_key_{n}"])
+        out = out.join(rows, condition, "left").drop(*(f"_key_{n}" for n in by))
+    return out.select(*by, *aggregates)

@@ -241,5 +241,9 @@ def test_aggregates_are_checked(rows):
         aggregate(Engine(), rows, x=Aggregate("sum", "s"))
     out = aggregate(Engine(), rows, n=Aggregate("count"), b=Aggregate("count", "b"), least=Aggregate("min", "a"), around=Aggregate("count_distinct", "a", approximate=0.05), mid=Aggregate("percentile", "b", at=0.5, approximate=0.01)).first()
     assert (out.n, out.b, out.least, out.around, out.mid) == (4, 3, -7, 4, 2)
+    places = aggregate(Engine(), rows, second=Aggregate("nth_value", "a", "a", 2), ninth=Aggregate("nth_value", "a", "a", 9), n=Aggregate("count")).first()
+    assert (places.second, places.ninth, places.n) == (7, None, 4)
+    only = aggregate(Engine(), rows, {"b": "b"}, first_=Aggregate("nth_value", "a", "a", 1)).collect()
+    assert {r.b: r.first_ for r in only} == {0: 10, 2: -7, None: 7, 3: 2**62}
     empty = aggregate(Engine(), rows.limit(0), n=Aggregate("count"), total=Aggregate("sum", "a")).first()
     assert (empty.n, empty.total) == (0, None)
