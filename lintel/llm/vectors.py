@@ -1,9 +1,9 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Vectors are compared only within one label and one dimension. Equal vectors of a label are one
-node. Each label's nodes get cells: centroids of spherical k-means, one for about CELL nodes and
-MOST_CELLS at most, fitted on SAMPLE vectors a label at most, a documented bound; every vector is then assigned to its
-nearest centroid. So that no link across a border is lost, a vector also visits each cell whose
+node. Each label's nodes get cells: centroids of spherical k-means, one for about CELL nodes or for
+more where all centroids would exceed CENTROID_BYTES, fitted on about SAMPLE vectors a label, a
+documented bound; every vector is then assigned to its nearest centroid. So that no link across a border is lost, a vector also visits each cell whose
 border with its own it could reach: two vectors of cosine at least t lie within the angle
 acos(t), so the visit is needed only if the vector lies within that angle of the plane between the
 two centroids. Cells are cut into blocks of BLOCK vectors by hash, and a task multiplies a block of residents with
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from lintel.llm.batches import checkpointed, map_arrow
 from lintel.llm.components import components, grouped, least_reachable, starts
 
-THRESHOLD, CELL, MOST_CELLS, SAMPLE, ROUNDS, BLOCK, SEED = 0.93, 4096, 2048, 20_000, 8, 2048, 5
+THRESHOLD, CELL, SAMPLE, ROUNDS, BLOCK, SEED = 0.93, 4096, 20_000, 8, 2048, 5
+#: Of all centroids together, which go to every task; a group that is larger than a cell has rounding on top.
+CENTROID_BYTES = 32 << 20
 #: Against rounding, when deciding whom to visit; links themselves are decided by the threshold alone.
 MARGIN = 1e-6
 
@@ -79,16 +82,22 @@ def centroids(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def fitted(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """Centroids by group, where it is larger than a cell."""
-    sizes = {r["grp"]: r["n"] for r in nodes.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > CELL).collect()}
-    if not sizes:
-        return {}
-    share = F.lit(None)
-    for grp, n in sizes.items():
-        share = F.when(F.col("grp") == grp, F.lit(min(1.0, SAMPLE / n))).otherwise(share)
+    """Centroids by group, where it is larger than a cell; each group's are fitted in one task on its sample."""
+    whole = nodes.agg(F.count("*").alias("n"), F.max(F.length("data")).alias("bytes")).first()
+    # cells grow so that all centroids together stay within their bound
+    cell = max(CELL, -(-whole["n"] * (whole["bytes"] or 0) // CENTROID_BYTES))
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > cell)
     # a hash decides, so the sample is the same whenever a task runs again
-    sample = nodes.filter(F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < share * (1 << 30)).select("grp", "print", "data").toPandas().sort_values("print")
-    return {grp: centroids(unit(own["data"].tolist()), min(MOST_CELLS, -(-sizes[grp] // CELL))) for grp, own in sample.groupby("grp")}
+    drawn = F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < F.lit(SAMPLE) / F.col("size") * (1 << 30)
+    sample = nodes.select("grp", "print", "data").join(sizes, "grp").filter(drawn)
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("print")
+        found = centroids(unit(own["data"].tolist()), -(-int(own["size"].iloc[0]) // cell))
+        return pd.DataFrame({"grp": own["grp"].iloc[0], "centroids": [found.tobytes()], "cells": [len(found)]})
+
+    rows = sample.groupBy("grp").applyInPandas(fit, "grp string, centroids binary, cells int").collect()
+    return {r["grp"]: np.frombuffer(bytes(r["centroids"])).reshape(r["cells"], -1) for r in rows}
 
 
 def assigned(nodes: DataFrame, cells: dict[str, np.ndarray], threshold: float) -> DataFrame:

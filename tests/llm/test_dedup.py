@@ -144,6 +144,14 @@ def test_repeats_are_exactly_those_of_brute_force(spark):
     assert digested(docs) == brute_repeats(sorted(rows), 100)
 
 
+def test_hashes_of_many_contents_are_told_apart_singly(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", 3)
+    line = prose(77, 14)
+    rows = [(i, prose(i, 12) + line + prose(i + 300, 12)) for i in range(30)] + [(40, line * 2), (41, "z" * 260)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert digested(docs) == brute_repeats(rows, 100)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", max_size=60), min_size=1, max_size=6))
 def test_index_matches_brute_force(texts):
