@@ -7,20 +7,23 @@ one text, whichever is more, so a task's memory follows its longest text and not
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 U64 = np.uint64
 #: Odd multipliers of the 64-bit mixes.
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -124,6 +127,46 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+@lru_cache(1)
+def allocator():
+    """The C library's function that returns freed memory to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda keep: 0
+
+
+def trim() -> None:
+    """Gives back what arrays of the last slice took; workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    allocator()(0)
+
+
+def packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, and packed: the texts compressed one by one, which shuffle in about half the space; null as empty."""
+
+    def make():
+        compress = zstandard.ZstdCompressor(level=1).compress
+
+        def run(batches):
+            for part, texts in slices(batches, text):
+                yield {key: part.column(key), "packed": [compress(t.encode()) for t in texts.to_pylist()]}
+
+        return run
+
+    return map_arrow(df.select(key, text), make, f"{key} {df.schema[key].dataType.simpleString()}, packed binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the column text in place of packed, some thousand rows at a time."""
+    restore = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        at = batch.schema.get_field_index("packed")
+        for low in range(0, batch.num_rows, 1000):
+            part = batch.slice(low, 1000)
+            yield part.set_column(at, "text", pa.array([restore(p) for p in part.column(at).to_pylist()], pa.binary()).cast(pa.string()))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores behind it until it is no column of df."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -142,6 +185,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
         for out in make()(batches):
             arrays = [pa.array(out[f.name], f.type, from_pandas=isinstance(out[f.name], pd.Series)) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name].cast(f.type) for f in target]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
+            del out, arrays
+            trim()
 
     return df.mapInArrow(run, schema)
 

@@ -15,6 +15,9 @@ id, or earlier in the same one. Whether it does is decided for each start, in th
    distance; where either reaches SPAN the string is repeated.
 3. Of the repeated strings the earliest of each is found by its bytes' hash; all others go.
 
+A hash with more than MANY contents would fill a task. Its strings are told apart one by one
+instead: each is hashed as a whole and goes through the sorted stream of step 1.
+
 Null texts count as empty. Texts may be of any length. Rows that share an id are read as one after
 the other in the order of their texts' hashes. An empty table gives an empty one.
 """
@@ -31,10 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import M1, U64, checkpointed, fresh, map_arrow, mix, slices, text_bytes
+from lintel.llm.batches import M1, U64, checkpointed, fresh, map_arrow, mix, packed_texts, released, slices, text_bytes, unpacked
 from lintel.llm.components import grouped, starts
 
-SPAN, KMER, SHARD = 100, 32, 3 << 20
+SPAN, KMER, SHARD = 100, 32, 1 << 20
+#: Bytes of text whose hashes a task holds at a time, about, as they take some sixty times as much memory;
+#: and bytes of text among whose runs it looks for repeats before it passes them on.
+HASHED, COMBINED = 1 << 20, 8 << 20
+MANY = 20_000
 SEPARATOR = 0xFF  # in no UTF-8 text
 #: Bits that tell places in a slice of up to 256 MB apart.
 PLACE = U64((1 << 28) - 1)
@@ -93,20 +100,32 @@ def runs(offsets: np.ndarray, data: np.ndarray, span: int, kmer: int) -> tuple[n
 def run_rows(documents: DataFrame, span: int, kmer: int) -> DataFrame:
     """hash, content, doc_id, start, n: n starts from start on; content null: they are repeats already."""
 
+    def combined(parts: list[tuple[np.ndarray, ...]]) -> dict:
+        key, content, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((start, doc, content, key))
+        key, content, doc, start, n = key[order], content[order], doc[order], start[order], n[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+        # repeats need no company: they are dealt by their document
+        return {"hash": np.where(again, doc * 7919, key), "content": pa.array(content, mask=again), "doc_id": doc, "start": start, "n": n}
+
     def make():
         def run(batches):
-            for part, texts in slices(batches, "text"):
+            held, size = [], 0
+            for part, texts in slices(batches, "text", HASHED):
                 offsets, data = text_bytes(texts)
                 doc = part.column("doc_id").to_numpy()
                 key, row, start, n = runs(offsets, data, span, kmer)
                 view = memoryview(data)
                 begin = (offsets[row] + start).tolist() if len(row) else []
                 content = np.fromiter((xxhash.xxh3_64_intdigest(view[b : b + m]) for b, m in zip(begin, (n + span - 1).tolist(), strict=True)), U64, len(n)).view(np.int64)
-                order = np.lexsort((start, row, doc[row], content, key))
-                key, content, row, start, n = key[order], content[order], row[order], start[order], n[order]
-                again = np.zeros(len(key), bool)
-                again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
-                yield {"hash": np.where(again, row * 7919, key), "content": pa.array(content, mask=again), "doc_id": doc[row], "start": start, "n": n}
+                held.append((key, content, doc[row], start.astype(np.int32), n.astype(np.int32)))
+                size += len(data)
+                if size >= COMBINED:
+                    yield combined(held)
+                    held, size = [], 0
+            if held:
+                yield combined(held)
 
         return run
 
@@ -163,26 +182,46 @@ def sifted(rows: DataFrame) -> DataFrame:
 
 
 def contents(documents: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """hash, doc_id, start, bytes of the wanted runs."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "n")).alias("runs"))
+    """hash, many, doc_id, start, bytes of the wanted runs."""
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "many", "start", "n")).alias("runs"))
 
     def make():
         def run(batches):
-            for part, texts in slices(batches, "text"):
+            for part, texts in slices(unpacked(batches), "text"):
                 offsets, data = text_bytes(texts)
                 doc = part.column("doc_id").to_numpy()
                 lists = part.column("runs")
                 at = lists.offsets.to_numpy().astype(np.int64)
                 flat = lists.values
-                key, start, n = (flat.field(c).to_numpy()[at[0] : at[-1]] for c in ("hash", "start", "n"))
+                key, many, start, n = (flat.field(c).to_numpy(zero_copy_only=False)[at[0] : at[-1]] for c in ("hash", "many", "start", "n"))
                 row = np.repeat(np.arange(len(doc)), np.diff(at))
                 begin = (offsets[row] + start).tolist()
                 whole = data.tobytes()
-                yield {"hash": key, "doc_id": doc[row], "start": start, "bytes": pa.array([whole[b : b + m] for b, m in zip(begin, (n + span - 1).tolist(), strict=True)], pa.binary())}
+                yield {"hash": key, "many": many, "doc_id": doc[row], "start": start, "bytes": pa.array([whole[b : b + m] for b, m in zip(begin, (n + span - 1).tolist(), strict=True)], pa.binary())}
+
+        return run
+
+    return map_arrow(packed_texts(documents, "doc_id", "text").join(by_doc, "doc_id"), make, "hash bigint, many boolean, doc_id bigint, start int, bytes binary")
+
+
+def singly(found: DataFrame, span: int) -> DataFrame:
+    """Each string of the contents as a run of its own, for sifted."""
+
+    def make():
+        def run(batches):
+            for batch in batches:
+                for low in range(0, batch.num_rows, 2000):
+                    part = batch.slice(low, 2000)
+                    doc, start = part.column("doc_id").to_numpy(), part.column("start").to_numpy()
+                    strings = part.column("bytes").to_pylist()
+                    n = np.fromiter(map(len, strings), np.int64, len(strings)) - span + 1
+                    own = np.fromiter((xxhash.xxh3_64_intdigest(s[i : i + span]) for s, m in zip(strings, n.tolist(), strict=True) for i in range(m)), U64, int(n.sum())).view(np.int64)
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    yield {"hash": own, "content": own, "doc_id": np.repeat(doc, n), "start": np.repeat(start, n) + at, "n": np.ones(len(own), np.int64)}
 
         return run
 
-    return map_arrow(documents.join(by_doc, "doc_id"), make, "hash bigint, doc_id bigint, start int, bytes binary")
+    return map_arrow(found.select("doc_id", "start", "bytes"), make, "hash bigint, content bigint, doc_id bigint, start int, n int")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -327,8 +366,16 @@ def compared(found: DataFrame, span: int) -> DataFrame:
 def spans(documents: DataFrame, span: int = SPAN, kmer: int = KMER) -> DataFrame:
     """doc_id, spans: sorted starts and ends of the bytes that go, for rows that lose any. documents: doc_id, text."""
     known = checkpointed(sifted(run_rows(documents, span, kmer)))
-    found = compared(contents(documents, known.filter("hash is not null"), span), span)
-    every = known.filter("hash is null").select("doc_id", "start", "n").union(found)
+    released(known)
+    several = known.filter("hash is not null")
+    sizes = several.groupBy("hash").agg((F.count("*") > MANY).alias("many"))
+    found = contents(documents, several.join(sizes, "hash"), span)
+    if sizes.filter("many").isEmpty():
+        apart = compared(found, span)
+    else:
+        found = checkpointed(found)
+        apart = compared(found.filter("not many"), span).union(sifted(singly(found.filter("many"), span)).filter("hash is null").select("doc_id", "start", "n"))
+    every = known.filter("hash is null").select("doc_id", "start", "n").union(apart)
     return every.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (span - 1)).alias("end")))).alias("spans"))
 
 
@@ -377,7 +424,7 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
 
     def make():
         def run(batches):
-            for part, texts in slices(batches, "text"):
+            for part, texts in slices(unpacked(batches), "text"):
                 out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
                 for text, own in zip(texts.to_pylist(), part.column("own_spans").to_pylist(), strict=True):
                     data, cut = text.encode(), merged(own)
@@ -389,7 +436,9 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
 
         return run
 
-    return map_arrow(removed(documents.select("doc_id", "text"), span), make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = spans(own.filter("doc_id is not null"), span).select("doc_id", F.col("spans").alias("own_spans"))
+    return map_arrow(packed_texts(own, "doc_id", "text").join(found, "doc_id", "left"), make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def shortened(documents: DataFrame, span: int = SPAN) -> DataFrame:
