@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import M1, M2, U64, checkpointed, distinct_per_row, map_arrow, mix, released, rows_of, shingles, slices, word_hashes, words
+from lintel.llm.batches import M1, M2, U64, checkpointed, distinct_per_row, map_arrow, mix, packed_texts, released, rows_of, shingles, slices, unpacked, word_hashes, words
 from lintel.llm.components import components, grouped, least_reachable, starts
 
 N2, K2, WIDTH = 3, 1, 1.25
@@ -120,32 +120,51 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return words_
 
 
-def signed(documents: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
-    """key, n, f1, f2 (a fingerprint of the set), sketch, sigs of every text; sigs only where the slice has no equal set before."""
+def fingerprints(offsets: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set's mixed elements."""
+    out = []
+    for salt in (M1, M2):
+        total = np.zeros(len(offsets) - 1, U64)
+        np.add.at(total, rows_of(offsets), mix(hashes ^ salt))
+        out.append(total.view(np.int64))
+    return out
+
+
+def described(documents: DataFrame, size: int) -> DataFrame:
+    """node, n, f1, f2 (a fingerprint of the set), sketch of every text; documents: node, text."""
+
+    def make():
+        def run(batches):
+            for part, texts in slices(batches, "text"):
+                offsets, hashes = sets_of(texts, size)
+                f1, f2 = fingerprints(offsets, hashes)
+                yield {"node": part.column("node"), "n": np.diff(offsets), "f1": f1, "f2": f2, "sketch": sketches(offsets, hashes)}
+
+        return run
+
+    return map_arrow(documents, make, "node bigint, n bigint, f1 bigint, f2 bigint, sketch binary")
+
+
+def signed(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """sig, node: every set's signatures; node is the first half of its fingerprint. Of equal sets of a slice one signs."""
 
     def make():
         bands = Bands(num, den)
 
         def run(batches):
-            for part, texts in slices(batches, text):
+            for _, texts in slices(batches, "text"):
                 offsets, hashes = sets_of(texts, size)
-                prints = []
-                for salt in (M1, M2):
-                    total = np.zeros(len(texts), U64)
-                    np.add.at(total, rows_of(offsets), mix(hashes ^ salt))
-                    prints.append(total.view(np.int64))
+                f1, _ = fingerprints(offsets, hashes)
                 first = np.zeros(len(texts), bool)
-                first[np.unique(prints[0], return_index=True)[1]] = True
+                first[np.unique(f1, return_index=True)[1]] = True
                 sizes = np.where(first, np.diff(offsets), 0)
                 row, sigs = signatures(np.concatenate(([0], np.cumsum(sizes))), hashes[np.repeat(first, np.diff(offsets))], bands)
-                order = np.argsort(row, kind="stable")
-                ends = np.searchsorted(row[order], np.arange(len(texts) + 1))
-                yield {key: part.column(key), "n": np.diff(offsets), "f1": prints[0], "f2": prints[1], "sketch": sketches(offsets, hashes), "sigs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order]))}
+                for low in range(0, len(row), 200_000):
+                    yield {"sig": sigs[low : low + 200_000], "node": f1[row[low : low + 200_000]]}
 
         return run
 
-    kind = documents.schema[key].dataType.simpleString()
-    return map_arrow(documents.select(key, text), make, f"{key} {kind}, n bigint, f1 bigint, f2 bigint, sketch binary, sigs array<bigint>")
+    return map_arrow(documents.filter("node is not null").select("text"), make, "sig bigint, node bigint")
 
 
 def shared(pairs: DataFrame) -> DataFrame:
@@ -253,11 +272,11 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def compared(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """a, b: a spanning forest of the links within each group; members: grp, total, node, text."""
+    """a, b: a spanning forest of the links within each group; members: grp, total, node, packed."""
 
     def make_sets():
         def run(batches):
-            for part, texts in slices(batches, "text"):
+            for part, texts in slices(unpacked(batches), "text"):
                 offsets, hashes = sets_of(texts, size)
                 yield {c: part.column(c) for c in ("grp", "total", "node")} | {"elements": [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]}
 
@@ -288,17 +307,16 @@ def compared(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
 def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id of every row; component_id is the least key reachable by links."""
     texts = documents.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    base = checkpointed(signed(texts, "text", "node", size, num, den))
+    base = checkpointed(described(texts, size))
     has = (F.col("n") > 0) & F.col("node").isNotNull()
     # until their texts are needed, equal sets go by the first half of their fingerprint
-    pairs = base.filter(has).select(F.explode("sigs").alias("sig"), F.col("f1").alias("node"))
     sketched = base.filter(has).groupBy(F.col("f1").alias("node")).agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
-    tied = checkpointed(ties(pairs, sketched, num, den))
+    tied = checkpointed(ties(signed(texts, size, num, den), sketched, num, den))
     coarse = checkpointed(components(tied).select(F.col("node").alias("f1"), F.col("component").alias("grp")))
     groups = checkpointed(base.filter(has).groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")))
     sized = groups.join(coarse, "f1")
     totals = sized.groupBy("grp").agg(F.sum("n").alias("total"))
-    members = texts.join(sized.join(totals, "grp").select(F.col("rep").alias("node"), "grp", "total").distinct(), "node")
+    members = packed_texts(texts, "node", "text").join(sized.join(totals, "grp").select(F.col("rep").alias("node"), "grp", "total").distinct(), "node")
     labels = components(compared(members, size, num, den))
     released(groups)
     found = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
@@ -306,12 +324,12 @@ def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, t
     same = base.filter(has).select("node", "f1", "f2", "n").distinct().groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1")
     if not same.isEmpty():
         return relinked(base, has, found, key)
-    out = base.drop("sigs").join(found, ["f1", "f2", "n"], "left")
+    out = base.drop("sketch").join(found, ["f1", "f2", "n"], "left")
     return out.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), F.when(has, F.coalesce("component", "node")).otherwise(F.col("node")).alias("component_id"))
 
 
 def relinked(base: DataFrame, has, found: DataFrame, key: str) -> DataFrame:
     """The result where an id has several sets: their components are one."""
-    rows = checkpointed(base.drop("sigs").join(found, ["f1", "f2", "n"], "left").select("node", "n", F.when(has, F.coalesce("component", "node")).otherwise(F.col("node")).alias("component")))
+    rows = checkpointed(base.drop("sketch").join(found, ["f1", "f2", "n"], "left").select("node", "n", F.when(has, F.coalesce("component", "node")).otherwise(F.col("node")).alias("component")))
     labels = components(rows.filter("component is not null").select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("component", "least")
     return rows.join(labels, "node", "left").select(F.col("node").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "node").alias("component_id"))
