@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, words, written
 
 STATES, HEAD, KNOWN, START_TEXTS, START_ROUNDS, ROUNDS, SEED = 8, 40_000, 200_000, 400, 15, 1, 11
-SLICE = 8 << 20
+SLICE = 6 << 20
 END = "\n"  # no word
 SMOOTHING = 4.0
 

@@ -109,7 +109,7 @@ def packed_partitions(documents: DataFrame, path: str, window: int, open_windows
         def run(batches) -> Iterator[dict]:
             task = TaskContext.get().partitionId()
             packer, done = Packer(window, open_windows, slack), 0
-            for part, texts in slices(batches, "text"):
+            for part, texts in slices(batches, "text", 4 << 20):
                 offsets, ids = encode(texts, END_ID)
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                     packer.add(doc, 0, ids[a:b].copy() if b - a < window else ids[a:b], int(b - a))

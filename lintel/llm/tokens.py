@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from lintel.llm.batches import words
 
-KEPT = 400_000
+KEPT = 150_000
 SIMPLE = re.compile(r"([a-zà-öø-ÿÀ-ÖØ-Þ]*)([.,;:!?#$%&*|<>()]*)")
 
 

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, words
+from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, trim, words
 
-FIT_ROWS, FOLDS, ORDER, DISCOUNT = 3000, 4, 10, 0.75
+FIT_ROWS, FOLDS, ORDER, DISCOUNT = 2000, 4, 10, 0.75
 #: n-grams of the highest order that are seen less often are left to the backoff.
 LEAST_COUNT = 2
 WINDOWS = (1, 3, 12)
@@ -71,7 +71,7 @@ def class_counts(documents: DataFrame, label: str, fold: str, text: str) -> Data
     total = F.lit(0)
     for n in names:
         total = total + F.col(n)
-    return rows.groupBy("gram").agg(*(F.sum(n).alias(n) for n in names)).filter(total >= LEAST_COUNT)
+    return rows.groupBy("gram").agg(*(F.sum(n).cast("int").alias(n) for n in names)).filter(total >= LEAST_COUNT)
 
 
 def shared_backoff(grams: np.ndarray) -> np.ndarray:
@@ -203,6 +203,7 @@ class Toxicity:
         seen = [Ratios.fit(c) for c in without]
         ratios = Ratios.fit(pd.DataFrame({"gram": counts["gram"], "n0": by_class[0], "n1": by_class[1]}))
         del counts, without, by_class
+        trim()
         held = featured(sample, spark.sparkContext.broadcast(seen), "own_text", ["own_label"], fold="own_fold").toPandas()
         return cls(ratios, logistic(np.array(held["x"].tolist()), held["own_label"].to_numpy()))
 
