@@ -2,7 +2,8 @@
 
 A unit is a line or, the default, a sentence within a line: a run of characters up to and with the
 marks that end it. Units are normalised (A-Z lowered, ASCII white space runs made one space,
-trimmed); those of at least MIN_WORDS words count, so that headings and stock phrases stay. Of the
+trimmed). Of sentences those of at least MIN_WORDS words count by default, so that headings and stock
+phrases stay; with min_words = 1 all but blank units do, whatever their script. Of the
 units with equal digests the one with the least (doc_id, start) stays, all others go; starts and
 ends of what goes are offsets into the original text, in characters.
 
@@ -38,7 +39,7 @@ def units(text: str, pattern: re.Pattern, min_words: int):
         if found.end() - found.start() < 2 * min_words - 1:
             continue
         plain = SPACES.sub(" ", found[0]).strip(" ")
-        if plain.count(" ") + 1 >= min_words:
+        if plain and plain.count(" ") + 1 >= min_words:
             yield found.start(), found.end(), plain.translate(LOWER) if not plain.islower() else plain
 
 

@@ -2,11 +2,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lintel.llm import components, jaccard, suffixes, units, vectors
+from lintel.llm import components, jaccard, queries, suffixes, units, vectors
 
 from .conftest import prose
 
@@ -213,6 +214,16 @@ def test_units_keep_the_first(spark, hard_docs, no_docs):
     assert lines[3] == 2
 
 
+def test_lines_of_any_length_and_script_are_units(spark, tmp_path):
+    rows = [(1, "a b\n\n \t\n東京都は日本の首都です\nShort one. Short two.\n"), (2, "東京都は日本の首都です\nA  b\n\n \nnew"), (3, "x\nx\nshort one. short two."), (4, None), (5, ""), (6, "\n\n\n")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, queries.op2_line_dedup(spark, str(tmp_path)).collect()))
+    assert [r[1] for r in found] == [0, 2, 2, 0, 0, 0]
+    with duckdb.connect() as sql:
+        sql.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+        assert found == sorted(sql.sql(queries.LINE_DEDUP).fetchall())
+
+
 # --- vectors
 
 
