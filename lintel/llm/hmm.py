@@ -3,8 +3,8 @@
 Words are lower-cased (A-Z) runs without white space; every text ends in one end token. The HEAD
 most frequent words of the training texts have emission probabilities of their own, all others
 share one event, within which a word's probability is its add-one estimate among them. The chain
-is initialised by Baum-Welch on START_TEXTS training texts, a bounded start; then ROUNDS rounds of
-Baum-Welch run over all training texts, their expected counts added up over the partitions.
+starts from seeded random deviations from the unigram model; rounds of Baum-Welch run over all
+training texts, their expected counts added up over the partitions, until their likelihood settles.
 A text's score is its exact likelihood by the scaled forward recursion.
 
 Counts rest on every training text. The KNOWN most frequent words' counts, a bounded number, go to
@@ -17,6 +17,7 @@ results. Without training texts every word is unknown.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, words, written
+from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, trim, words, written
 
-STATES, HEAD, KNOWN, START_TEXTS, START_ROUNDS, ROUNDS, SEED = 8, 40_000, 200_000, 400, 15, 1, 11
+STATES, HEAD, KNOWN, SEED = 8, 40_000, 200_000, 11
+#: The likelihood has settled once a round gains no more than this share of it.
+SETTLED = 5e-4
+ONES = np.ones(STATES)
 SLICE = 6 << 20
 END = "\n"  # no word
+LOG = logging.getLogger(__name__)
 SMOOTHING = 4.0
 
 
@@ -98,6 +103,16 @@ class Vocabulary:
         return p / p.sum()
 
 
+def laid(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens laid by their place in the text, longer texts first: (texts in that order, ends of places, and of each token its text's rank and its index)."""
+    sizes = np.diff(offsets)
+    order = np.argsort(-sizes, kind="stable")
+    alive = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")  # texts longer than t
+    ends = np.concatenate(([0], np.cumsum(alive)))
+    rank = np.arange(ends[-1]) - np.repeat(ends[:-1], alive)
+    return order, ends, rank, offsets[:-1][order][rank] + np.repeat(np.arange(len(alive)), alive)
+
+
 @dataclass
 class Chain:
     """Start, transition and emission probabilities; emissions have a row for each event."""
@@ -114,50 +129,45 @@ class Chain:
         return cls(np.full(STATES, 1 / STATES), step, emit / emit.sum(0))
 
     def forward(self, offsets: np.ndarray, events: np.ndarray, keep: bool = False):
-        """(log likelihood by text, scaled forward vectors, scales), all texts a token at a time together."""
-        sizes = np.diff(offsets)
-        order = np.argsort(-sizes, kind="stable")
-        begin, active = offsets[:-1][order], len(order)
-        steps = int(sizes.max(initial=0))
-        alive = np.searchsorted(-sizes[order], -np.arange(steps), "left")  # texts longer than t
-        total = np.zeros(len(order))
+        """(log likelihood by text, scaled forward vectors, scales), all texts a token at a time together; the latter two as laid()."""
+        order, ends, rank, place = laid(offsets)
+        events, bounds = events[place], ends.tolist()
         alphas = np.empty((len(events), STATES)) if keep else None
-        scales = np.empty(len(events)) if keep else None
-        alpha = np.tile(self.start, (active, 1))
-        for t in range(steps):
-            n = alive[t]
-            at = begin[:n] + t
-            alpha = (alpha[:n] @ self.step if t else alpha[:n]) * self.emit[events[at]]
-            scale = alpha.sum(1)
+        scales = np.empty(len(events))
+        alpha = np.tile(self.start, (len(order), 1))
+        for low, high in zip(bounds, bounds[1:]):
+            alpha = alpha[: high - low] @ self.step if low else alpha[: high - low]
+            alpha *= self.emit[events[low:high]]
+            scale = alpha @ ONES
             alpha /= scale[:, None]
-            total[:n] += np.log(scale)
+            scales[low:high] = scale
             if keep:
-                alphas[at], scales[at] = alpha, scale
+                alphas[low:high] = alpha
         out = np.empty(len(order))
-        out[order] = total
+        out[order] = np.bincount(rank, np.log(scales), len(order))
         return out, alphas, scales
 
     def expected(self, offsets: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, transitions and emissions (by event) of texts: one E-step."""
-        _, alphas, scales = self.forward(offsets, events, True)
-        sizes = np.diff(offsets)
-        order = np.argsort(-sizes, kind="stable")
-        begin, steps = offsets[:-1][order], int(sizes.max(initial=0))
-        alive = np.append(np.searchsorted(-sizes[order], -np.arange(steps), "left"), 0)
+        return self.judged(offsets, events)[1:]
+
+    def judged(self, offsets: np.ndarray, events: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' log likelihood, and as expected()."""
+        likelihood, alphas, scales = self.forward(offsets, events, True)
+        _, ends, _, place = laid(offsets)
+        events, bounds = events[place], ends.tolist()
         moves = np.zeros((STATES, STATES))
         ahead = np.zeros((0, STATES))
-        for t in range(steps - 1, -1, -1):
-            n, more = alive[t], alive[t + 1]
-            at = begin[:n] + t
-            beta = np.ones((n, STATES))
-            if more:
-                moves += alphas[at[:more]].T @ ahead
+        for low, high in zip(bounds[-2::-1], bounds[:0:-1]):
+            beta = np.ones((high - low, STATES))
+            if more := len(ahead):
+                moves += alphas[low : low + more].T @ ahead
                 beta[:more] = ahead @ self.step.T
-            gamma = alphas[at] * beta
-            ahead = self.emit[events[at]] * beta / scales[at][:, None]
-            alphas[at] = gamma / gamma.sum(1, keepdims=True)
+            ahead = self.emit[events[low:high]] * beta / scales[low:high, None]
+            alphas[low:high] *= beta
+        alphas /= (alphas @ ONES)[:, None]
         emitted = np.stack([np.bincount(events, alphas[:, s], len(self.emit)) for s in range(STATES)], 1)
-        return alphas[offsets[:-1]].sum(0), moves * self.step, emitted
+        return float(likelihood.sum()), alphas[: bounds[min(1, len(bounds) - 1)]].sum(0), moves * self.step, emitted
 
     @classmethod
     def of(cls, start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, vocabulary: Vocabulary) -> Chain:
@@ -168,63 +178,58 @@ class Chain:
         return cls(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def started(documents: DataFrame, vocabulary: Vocabulary, text: str, key: str) -> Chain:
-    """The chain after Baum-Welch on a bounded number of texts, taken by the least hash of their ids."""
-    spark = documents.sparkSession
-    keys = documents.select(F.col(key).alias("k"), F.xxhash64(key).alias("h")).orderBy("h", "k").limit(START_TEXTS)
-    kind = documents.schema[key].dataType.simpleString()
-    chosen = spark.createDataFrame([(r["k"],) for r in keys.collect()], f"k {kind}").distinct()
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    shared = spark.sparkContext.broadcast(vocabulary)
+def coded(documents: DataFrame, shared, text: str) -> DataFrame:
+    """sizes, events: of each slice of texts the tokens of each text and the events of all, as bytes of 32-bit numbers."""
 
     def make():
         def run(batches):
-            for part, texts in slices(batches, "t"):
+            for part, texts in slices(batches, text, SLICE):
                 offsets, events, _, _ = shared.value.read(texts)
-                yield {"events": [events[a:b].astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]}
+                yield {"sizes": [np.diff(offsets).astype(np.int32).tobytes()], "events": [events.astype(np.int32).tobytes()]}
 
         return run
 
-    texts = sorted(map_arrow(rows, make, "events array<int>").limit(START_TEXTS).toPandas()["events"].tolist(), key=lambda x: (len(x), tuple(x[:8])))
-    chain = Chain.first(vocabulary)
-    if texts:
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-        events = np.concatenate(texts).astype(np.int64)
-        for _ in range(START_ROUNDS):
-            chain = Chain.of(*chain.expected(offsets, events), vocabulary)
-    return chain
+    return map_arrow(documents.select(text), make, "sizes binary, events binary")
 
 
-def trained(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id") -> Chain:
-    """Baum-Welch over all rows: expected counts of each partition are added up by event."""
-    chain = started(documents, vocabulary, text, key)
+def trained(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Chain:
+    """Baum-Welch over all rows until their likelihood settles: expected counts of each partition are added up by event."""
     context = documents.sparkSession.sparkContext
-    shared = context.broadcast(vocabulary)
+    texts = written(coded(documents, context.broadcast(vocabulary), text))
+    chain, before, n_events = Chain.first(vocabulary), None, vocabulary.events
     names = [f"e{s}" for s in range(STATES)]
-    for _ in range(ROUNDS):
+    while True:
         model = context.broadcast(chain)
 
         def make(model=model):
             def run(batches):
-                start, moves, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((shared.value.events, STATES))
-                for part, texts in slices(batches, text, SLICE):
-                    offsets, events, _, _ = shared.value.read(texts)
-                    for total, own in zip((start, moves, emitted), model.value.expected(offsets, events), strict=True):
-                        total += own
+                likelihood, start, moves, emitted = np.zeros(STATES), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((n_events, STATES))
+                for batch in batches:
+                    for sizes, events in zip(batch.column("sizes"), batch.column("events"), strict=True):
+                        offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32), dtype=np.int64)))
+                        own = model.value.judged(offsets, np.frombuffer(events.as_buffer(), np.int32))
+                        likelihood[0] += own[0]
+                        for total, part in zip((start, moves, emitted), own[1:], strict=True):
+                            total += part
+                        trim()
                 seen = np.flatnonzero(emitted.any(1))
-                # starts have event -1, transitions from state s have event -2 - s
-                event = np.concatenate((seen, [-1], -2 - np.arange(STATES)))
-                table = np.concatenate((emitted[seen], start[None], moves))
+                # starts have event -1, transitions from state s have event -2 - s, the likelihood has the event below
+                event = np.concatenate((seen, [-1], -2 - np.arange(STATES), [-2 - STATES]))
+                table = np.concatenate((emitted[seen], start[None], moves, likelihood[None]))
                 yield {"event": event} | {n: table[:, s] for s, n in enumerate(names)}
 
             return run
 
-        rows = map_arrow(documents.select(text), make, ", ".join(["event bigint", *(f"{n} double" for n in names)]))
+        rows = map_arrow(texts, make, ", ".join(["event bigint", *(f"{n} double" for n in names)]))
         total = rows.groupBy("event").agg(*(F.sum(n).alias(n) for n in names)).toPandas().set_index("event")
-        table = np.zeros((vocabulary.events + 1 + STATES, STATES))
+        table = np.zeros((n_events + 2 + STATES, STATES))
         table[total.index.to_numpy()] = total[names].to_numpy()
-        chain = Chain.of(table[-1], table[[-2 - s for s in range(STATES)]], table[: vocabulary.events], vocabulary)
-    return chain
+        model.unpersist()
+        after = table[-2 - STATES, 0] / max(vocabulary.tokens, 1)
+        LOG.info("mean log likelihood of a token: %.5f", after)
+        if before is not None and after - before <= SETTLED * abs(before):
+            return chain
+        before, chain = after, Chain.of(table[-1], table[[-2 - s for s in range(STATES)]], table[:n_events], vocabulary)
 
 
 def scored_rows(documents: DataFrame, vocabulary: Vocabulary, chain: Chain) -> DataFrame:

@@ -197,6 +197,15 @@ def test_training_never_lowers_the_likelihood():
         before = after
 
 
+def test_rounds_over_all_texts_settle(docs):
+    vocabulary = hmm.Vocabulary.of(hmm.word_counts(docs, "text"))
+    chain = hmm.trained(docs, vocabulary)
+    offsets, events, _, _ = vocabulary.read(pa.array([r.text or "" for r in docs.select("text").collect()]))
+    before = chain.forward(offsets, events)[0].sum()
+    after = hmm.Chain.of(*chain.expected(offsets, events), vocabulary).forward(offsets, events)[0].sum()
+    assert after - before <= 1e-3 * abs(before)
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     before = {r.doc_id: r for r in hmm.judged(docs).collect()}
     monkeypatch.setattr(hmm, "KNOWN", 500)
