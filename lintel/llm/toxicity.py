@@ -26,11 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, trim, words
+from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, trim, words, written
 
 FIT_ROWS, FOLDS, ORDER, DISCOUNT = 2000, 4, 10, 0.75
-#: n-grams of the highest order that are seen less often are left to the backoff.
-LEAST_COUNT = 2
 WINDOWS = (1, 3, 12)
 #: Bits of a character: 1 pads, 2 ends a word, a-z follow, all other characters share what is left.
 BITS = 6
@@ -68,10 +66,7 @@ def class_counts(documents: DataFrame, label: str, fold: str, text: str) -> Data
         return run
 
     rows = map_arrow(documents.select(label, fold, text), make, ", ".join(["gram bigint", *(f"{n} bigint" for n in names)]))
-    total = F.lit(0)
-    for n in names:
-        total = total + F.col(n)
-    return rows.groupBy("gram").agg(*(F.sum(n).cast("int").alias(n) for n in names)).filter(total >= LEAST_COUNT)
+    return rows.groupBy("gram").agg(*(F.sum(n).cast("int").alias(n) for n in names))
 
 
 def shared_backoff(grams: np.ndarray) -> np.ndarray:
@@ -104,7 +99,7 @@ class Ratios:
     @classmethod
     def fit(cls, counts: pd.DataFrame) -> Ratios:
         """counts: gram, n1, n0."""
-        counts = counts[counts["n1"] + counts["n0"] >= LEAST_COUNT].sort_values("gram")
+        counts = counts[counts["n1"] + counts["n0"] > 0].sort_values("gram")
         grams, n = counts["gram"].to_numpy(), {k: counts[k].to_numpy().astype(float) for k in ("n1", "n0")}
         backoff = shared_backoff(grams)
         contexts, of = np.unique(grams >> BITS, return_inverse=True)
@@ -143,25 +138,21 @@ def window_features(ratios: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def featured(documents: DataFrame, models, text: str, extra: list[str], name: str = "x", fold: str | None = None) -> DataFrame:
-    """extra columns and, under name, the window features of each text, by the model of its fold where folds are told apart."""
+def featured(documents: DataFrame, model, text: str, extra: list[str], name: str = "x") -> DataFrame:
+    """extra columns and, under name, the window features of each text."""
 
     def make():
-        ratios = models.value
+        ratios = model.value
 
         def run(batches):
             for part, texts in slices(batches, text):
-                own = part.column(fold).to_numpy() if fold else np.zeros(len(texts), np.int64)
-                x = np.zeros((len(texts), len(WINDOWS) + 2))
-                for k in np.unique(own):
-                    offsets, codes, vocabulary = words(texts.filter(pa.array(own == k)))
-                    x[own == k] = window_features(ratios[k].of_words(vocabulary)[codes], offsets)
-                yield {c: part.column(c) for c in extra} | {name: list(x)}
+                offsets, codes, vocabulary = words(texts)
+                yield {c: part.column(c) for c in extra} | {name: list(window_features(ratios.of_words(vocabulary)[codes], offsets))}
 
         return run
 
     fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in extra]
-    return map_arrow(documents.select(*dict.fromkeys([*extra, *([fold] if fold else []), text])), make, ", ".join([*fields, f"`{name}` array<double>"]))
+    return map_arrow(documents.select(*dict.fromkeys([*extra, text])), make, ", ".join([*fields, f"`{name}` array<double>"]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,17 +185,24 @@ class Toxicity:
         kind = labels.schema[key].dataType.simpleString()
         # at most 2 * rows ids: small enough to send everywhere
         ids = spark.createDataFrame([(r[key], int(r["y"]), r["h"] % FOLDS) for r in chosen], f"own_key {kind}, own_label int, own_fold int")
-        sample = documents.select(F.col(key).alias("own_key"), F.col(text).alias("own_text")).join(F.broadcast(ids), "own_key")
-        counts = class_counts(sample, "own_label", "own_fold", "own_text").toPandas()
-        by_class = {y: counts[[f"n{y}_{k}" for k in range(FOLDS)]].sum(axis=1) for y in (0, 1)}
+        sample = written(documents.select(F.col(key).alias("own_key"), F.col(text).alias("own_text")).join(F.broadcast(ids), "own_key").drop("own_key"))
+        table = class_counts(sample, "own_label", "own_fold", "own_text").toArrow()
+        counts = {c: table.column(c).to_numpy() for c in table.column_names}
+        del table
+        by_class = {y: sum(counts[f"n{y}_{k}"] for k in range(FOLDS)) for y in (0, 1)}
         if not by_class[0].any() or not by_class[1].any():
             return cls(None, None)
-        without = [pd.DataFrame({"gram": counts["gram"]} | {f"n{y}": by_class[y] - counts[f"n{y}_{k}"] for y in (0, 1)}) for k in range(FOLDS)]
-        seen = [Ratios.fit(c) for c in without]
+        held = []
+        # a fold's model at a time, here and in the executors
+        for k in range(FOLDS):
+            model = spark.sparkContext.broadcast(Ratios.fit(pd.DataFrame({"gram": counts["gram"]} | {f"n{y}": by_class[y] - counts[f"n{y}_{k}"] for y in (0, 1)})))
+            trim()
+            held.append(featured(sample.filter(F.col("own_fold") == k), model, "own_text", ["own_label"]).toPandas())
+            model.destroy()
         ratios = Ratios.fit(pd.DataFrame({"gram": counts["gram"], "n0": by_class[0], "n1": by_class[1]}))
-        del counts, without, by_class
+        del counts, by_class
         trim()
-        held = featured(sample, spark.sparkContext.broadcast(seen), "own_text", ["own_label"], fold="own_fold").toPandas()
+        held = pd.concat(held)
         return cls(ratios, logistic(np.array(held["x"].tolist()), held["own_label"].to_numpy()))
 
     def score(self, documents: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -212,7 +210,7 @@ class Toxicity:
         if self.calibration is None:
             return documents.select(*extra, F.lit(0.0).alias(name))
         mean, scale, w = self.calibration
-        rows = featured(documents, documents.sparkSession.sparkContext.broadcast([self.ratios]), text, list(extra), name)
+        rows = featured(documents, documents.sparkSession.sparkContext.broadcast(self.ratios), text, list(extra), name)
         z = F.lit(float(w[-1]))
         for k in range(len(mean)):
             z = z + (F.col(name)[k] - float(mean[k])) * float(w[k] / scale[k])

@@ -95,6 +95,19 @@ def test_ratios_leave_rare_expressions_to_the_shared_backoff():
     assert abs(good) < 0.5 < 1 < vile and abs(unseen) < 0.5
 
 
+def test_expressions_seen_once_count(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    at, keys = toxicity.spelt(pa.array(["good", "vile"]))
+    counts = pd.DataFrame({"gram": keys, "n1": [50] * at[1] + [1] * (len(keys) - at[1]), "n0": [50] * at[1] + [0] * (len(keys) - at[1])}).groupby("gram", as_index=False).sum()
+    model = toxicity.Ratios.fit(counts)
+    assert set(keys) == set(model.grams) and model.of_words(pa.array(["vile"]))[0] > 0.1
+    rows = spark.createDataFrame([(1, 0, "good vile"), (0, 1, "good day")], "y int, fold int, text string")
+    found = toxicity.class_counts(rows, "y", "fold", "text").agg(F.count("*")).first()[0]
+    assert found == len(set(toxicity.spelt(pa.array(["good", "vile", "day"]))[1]))
+
+
 def test_toxicity_of_hard_texts(spark, hard_docs, no_docs, labels):
     some = spark.createDataFrame([(100, 0, 1), (100, 0, 1), (101, 1, 0), (102, 1, None), (None, 1, 1), (7, 1, 0), (7, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert toxicity.scored(hard_docs, some).count() == hard_docs.count()
