@@ -19,7 +19,8 @@ A hash with more than MANY contents would fill a task. Its strings are told apar
 instead: each is hashed as a whole and goes through the sorted stream of step 1.
 
 Null texts count as empty. Texts may be of any length. Rows that share an id are read as one after
-the other in the order of their texts' hashes. An empty table gives an empty one.
+the other in the order of their texts' hashes: where there are any, all rows are sorted and numbered,
+and the numbers stand for the ids. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import M1, U64, checkpointed, fresh, map_arrow, mix, packed_texts, released, slices, text_bytes, unpacked
+from lintel.llm.batches import M1, U64, checkpointed, fresh, map_arrow, mix, packed_texts, released, slices, text_bytes, unpacked, written
 from lintel.llm.components import grouped, starts
 
 SPAN, KMER, SHARD = 100, 32, 1 << 20
@@ -411,12 +412,24 @@ def whole_characters(data: bytes, cut: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
+def placed(documents: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """documents and, under name, a number of its own for each row with an id, in the order of ids; whether it is other than the id."""
+    own = F.col("doc_id").cast("long")
+    if documents.select(own.alias("k")).filter("k is not null").groupBy("k").count().filter("count > 1").isEmpty():
+        return documents.withColumn(name, own), False
+    h, i = fresh(documents, "own_hash"), fresh(documents, "own_place")
+    # equal rows are told apart by where they lie, so that no task gets all of them
+    rows = documents.withColumn(h, F.xxhash64("text")).withColumn(i, F.monotonically_increasing_id()).orderBy(own, h, i)
+    return written(rows.withColumn(name, F.when(own.isNotNull(), F.monotonically_increasing_id())).drop(h, i)), True
+
+
 def removed(documents: DataFrame, span: int = SPAN, name: str = "own_spans") -> DataFrame:
     """All columns of documents and, under name, the sorted spans that go, null where nothing does."""
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    key = fresh(documents, "own_id")
+    place, key = fresh(documents, "own_row"), fresh(documents, "own_id")
+    rows, _ = placed(documents, place)
+    own = rows.select(F.col(place).alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     found = spans(own, span).select(F.col("doc_id").alias(key), F.col("spans").alias(name))
-    return documents.join(found, documents["doc_id"] == F.col(key), "left").drop(key)
+    return rows.join(found, rows[place] == F.col(key), "left").drop(key, place)
 
 
 def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -436,9 +449,14 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
 
         return run
 
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, numbered = placed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "own_row")
+    own = rows.select(F.col("own_row").alias("doc_id"), "text")
     found = spans(own.filter("doc_id is not null"), span).select("doc_id", F.col("spans").alias("own_spans"))
-    return map_arrow(packed_texts(own, "doc_id", "text").join(found, "doc_id", "left"), make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = map_arrow(packed_texts(own, "doc_id", "text").join(found, "doc_id", "left"), make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    if not numbered:
+        return out
+    ids = rows.filter("own_row is not null").select("own_row", F.col("doc_id").alias("own_id"))
+    return out.join(ids, out["doc_id"] == ids["own_row"], "left").select(F.col("own_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def shortened(documents: DataFrame, span: int = SPAN) -> DataFrame:

@@ -191,6 +191,20 @@ def test_repeats_in_hard_texts(hard_docs, no_docs):
     assert suffixes.digests(no_docs).count() == 0 == suffixes.shortened(no_docs).count()
 
 
+def test_one_of_repeated_rows_keeps_its_text(spark, hard_docs):
+    from pyspark.sql import functions as F
+
+    text = prose(11, 60)
+    docs = spark.createDataFrame([(7, text), (7, text), (8, text), (9, prose(12, 50)), (9, prose(13, 40))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in suffixes.digests(docs).collect()) == [(7, 0), (7, len(text)), (8, len(text)), (9, 0), (9, 0)]
+    kept = [(r.doc_id, r.text) for r in suffixes.shortened(docs).collect()]
+    assert sorted(kept) == sorted([(7, text), (7, ""), (8, ""), (9, prose(12, 50)), (9, prose(13, 40))])
+    rows = sorted((r.doc_id, r.h, r.text or "") for r in hard_docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).collect())
+    expected = brute_repeats([(i, r[2]) for i, r in enumerate(rows)], 100)
+    found = [tuple(r) for r in suffixes.digests(hard_docs).collect() if r.doc_id is not None]
+    assert sorted(found) == sorted((r[0], *expected[i]) for i, r in enumerate(rows))
+
+
 def test_shortened_keeps_whole_characters(spark):
     passage = "ñ" * 20 + prose(7, 40)
     docs = spark.createDataFrame([(1, "ä" + passage + "x", 5), (2, "ä" + passage + "é", 5)], "doc_id bigint, text string, n_chars bigint")
