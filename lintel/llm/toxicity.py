@@ -30,7 +30,7 @@ from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, trim
 
 FIT_ROWS, FOLDS, ORDER, DISCOUNT = 2000, 4, 10, 0.75
 WINDOWS = (1, 3, 12)
-#: Bits of a character: 1 pads, 2 ends a word, a-z follow, all other characters share what is left.
+#: Bits of a character: 1 pads, 2 ends a word, a-z follow, all other characters share the 35 that are left.
 BITS = 6
 
 
@@ -38,7 +38,7 @@ def spelt(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets by word, n-gram keys): each word's ORDER-grams, padded ahead and closed with an end mark."""
     text = "\x01" * (ORDER - 1) + ("\x02" + "\x01" * (ORDER - 1)).join(vocabulary.to_pylist()).lower() + "\x02" if len(vocabulary) else ""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where((points >= 97) & (points <= 122), points - 94, np.where(points <= 2, points, 29 + points * 7 % 35))
+    points = np.where((points >= 97) & (points <= 122), points - 94, np.where(points <= 2, points, 29 + points * 11 % 35))
     n = len(points) - ORDER + 1
     keys = np.zeros(max(n, 0), np.int64)
     for k in range(ORDER):

@@ -95,6 +95,12 @@ def test_ratios_leave_rare_expressions_to_the_shared_backoff():
     assert abs(good) < 0.5 < 1 < vile and abs(unseen) < 0.5
 
 
+def test_other_characters_use_all_symbols_left():
+    text = "".join(chr(i) for i in range(0x430, 0x450))
+    # a letter and the end behind it
+    assert len(np.unique(toxicity.spelt(pa.array(list(text)))[1])) == 2 * len(text)
+
+
 def test_expressions_seen_once_count(spark):
     import pandas as pd
     from pyspark.sql import functions as F
