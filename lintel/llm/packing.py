@@ -3,9 +3,8 @@
 Each input partition keeps OPEN windows. A piece goes to the window it fits best; when it fits in
 none, the fullest window is topped up with the piece's head, unless it lacks SLACK tokens or fewer,
 and is emitted. At the end a partition settles its open windows among themselves, which leaves it
-one window at most; those leftovers, one for each partition however large the input is, are merged the same way
-in groups of GROUP partitions and then together, so no task holds more than a window for
-each partition or group.
+one window at most; those leftovers are merged the same way in groups of GROUP partitions, then in
+groups of GROUP groups, and so on to one, so no task holds more than GROUP windows.
 
 Null texts count as empty: such a document is its end id alone. Repeated rows are packed as often
 as they occur; an empty table gives no pieces; further columns of the input are ignored. A
@@ -15,12 +14,16 @@ document of any length is cut into pieces of at most a window.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lintel.llm.batches import checkpointed, crc_of_ids, map_arrow, slices
 from lintel.llm.tokens import tokenizer
@@ -29,8 +32,8 @@ WINDOW, OPEN, SLACK, GROUP, END_ID = 4096, 32, 8, 128, 2
 COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Sequences of one partition or merge, at most.
 SPAN = 1 << 36
-#: Sequences of the merges lie above those of all partitions.
-GROUPS_AT, LAST_AT = 1 << 60, 1 << 61
+#: Sequences of each level of merges lie above those of the one before, and of all partitions.
+LEVEL = 1 << 59
 
 Piece = tuple[int, int, np.ndarray, int]
 
@@ -124,33 +127,37 @@ def packed_partitions(documents: DataFrame, path: str, window: int, open_windows
     return map_arrow(documents.select("doc_id", "text"), make, f"{COLUMNS}, task int, ids binary")
 
 
-def merged(leftovers: DataFrame, by, base: int, window: int, slack: int, last: bool) -> DataFrame:
-    """Leftovers of each value of by packed together; ids stay with the one window that is left, unless last."""
-    import pandas as pd
+def merged(leftovers: DataFrame, base: int, window: int, slack: int, last: bool) -> DataFrame:
+    """Leftovers of each GROUP tasks packed together; ids stay with the one window that is left, unless last."""
+    target = to_arrow_schema(StructType.fromDDL(f"{COLUMNS}, task int, ids binary"))
+    size, names = GROUP, [f.name for f in target]
 
-    def merge(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["task", "offset"], kind="stable")
-        group = int(pieces["by"].iloc[0])
-        packer = Packer(window, len(pieces) + 1, slack)
-        for _, own in pieces.groupby("task", sort=True):
-            items = [(r.doc_id, r.start, np.frombuffer(r.ids, "<u4"), r.doc_tokens) for r in own.itertuples()]
+    def merge(pieces: pa.Table) -> pa.Table:
+        # as whole numbers all the way: a float would round ids beyond 2^53
+        own = sorted(zip(*(pieces.column(c).to_pylist() for c in ("task", "offset", "doc_id", "start", "ids", "doc_tokens")), strict=True), key=lambda r: r[:2])
+        group = own[0][0] // size
+        packer = Packer(window, len(own) + 1, slack)
+        for _, items in groupby(own, key=lambda r: r[0]):
+            items = [(doc, start, np.frombuffer(ids, "<u4"), total) for _, _, doc, start, ids, total in items]
             packer.open.append((window - sum(len(x[2]) for x in items), items))
         packer.settle()
-        ended = packer.out + ([p for _, p in packer.open] if last else [])
-        parts = [pd.DataFrame(rows(ended, base + group * SPAN, False, group))]
-        if not last:
-            parts.append(pd.DataFrame(rows([p for _, p in packer.open], 0, True, group)))
-        return pd.concat([p for p in parts if len(p)] or parts[:1])
+        ended, left = packer.out, [p for _, p in packer.open]
+        parts = [rows(ended + left if last else ended, base + group * SPAN, False, group), rows([] if last else left, 0, True, group)]
+        return pa.Table.from_arrays([pa.array(parts[0][c] + parts[1][c], f.type) for c, f in zip(names, target, strict=True)], schema=target)
 
-    return leftovers.withColumn("by", by).groupBy("by").applyInPandas(merge, f"{COLUMNS}, task int, ids binary")
+    return leftovers.groupBy(F.floor(F.col("task") / GROUP)).applyInArrow(merge, f"{COLUMNS}, task int, ids binary")
 
 
 def pack(documents: DataFrame, path: str | None = None, window: int = WINDOW, open_windows: int = OPEN, slack: int = SLACK) -> DataFrame:
     """COLUMNS of every piece: what document, which of its ids, their CRC-32, in which sequence and where in it."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    first = checkpointed(packed_partitions(documents, path, window, open_windows, slack))
-    open_ = F.col("ids").isNotNull()
-    second = checkpointed(merged(first.filter(open_), F.floor(F.col("task") / GROUP).cast("int"), GROUPS_AT, window, slack, False))
-    third = merged(second.filter(open_), F.lit(0), LAST_AT, window, slack, True)
-    columns = [x.split()[0] for x in COLUMNS.split(", ")]
-    return first.filter(~open_).select(columns).union(second.filter(~open_).select(columns)).union(third.select(columns))
+    found = checkpointed(packed_partitions(documents, path, window, open_windows, slack))
+    open_, columns = F.col("ids").isNotNull(), [x.split()[0] for x in COLUMNS.split(", ")]
+    out, level, last = found.filter(~open_).select(columns), 1, False
+    while not last:
+        left = found.filter(open_)
+        last = (left.agg(F.max("task")).first()[0] or 0) < GROUP
+        found = merged(left, level * LEVEL, window, slack, last)
+        found = found if last else checkpointed(found)
+        out, level = out.union(found.filter(~open_).select(columns)), level + 1
+    return out

@@ -79,7 +79,8 @@ def test_packing_pads_little_over_many_partitions(spark, library):
 
 def test_packing_merges_in_groups(spark, library, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 2)
-    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(40)], "doc_id bigint, text string").repartition(8)
+    # large ids beside a null one
+    docs = spark.createDataFrame([((1 << 60) + i if i else None, prose(i, 30)) for i in range(40)], "doc_id bigint, text string").repartition(9)
     filled = check_packing(packing.pack(docs).collect(), {r.doc_id: [[*library(r.text), 2]] for r in docs.collect()})
     assert len(filled) == 1 + sum(filled) // 4096 or len(filled) == -(-sum(filled) // 4096)
 
