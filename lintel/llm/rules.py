@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import M1, U64, checkpointed, map_arrow, mix, rows_of, slices, sums, text_bytes, words
+from lintel.llm.batches import M1, U64, checkpointed, least_hashed, map_arrow, mix, rows_of, slices, sums, text_bytes, words
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -188,9 +188,8 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(counted: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", rows: int = FIT_ROWS) -> list[Rule]:
     """Rules from rows labelled rows at most; labels that are null, or disagree for a key, teach nothing."""
     known = labels.groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("y_most")).filter("y = y_most and y in (0, 1)")
-    sample = (
-        counted.join(known, key).withColumn("h", F.xxhash64(key)).orderBy("h", key).limit(rows).select("h", key, "y", *(c.alias(n) for n, c in statistics().items())).toPandas().sort_values(["h", key], kind="stable")
-    )
+    found = counted.join(known, key).withColumn("h", F.xxhash64(key)).select("h", key, "y", *(c.alias(n) for n, c in statistics().items()))
+    sample = least_hashed(found, "h", key, rows, found.count()).toPandas().sort_values(["h", key], kind="stable")
     if sample["y"].nunique() < 2:
         return []
     return learn({n: sample[n].to_numpy() for n in statistics()}, sample["y"].to_numpy())

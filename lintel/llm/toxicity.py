@@ -26,26 +26,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, trim, words, written
+from lintel.llm.batches import least_hashed, map_arrow, remainder, rows_of, slices, sums, trim, words, written
 
 FIT_ROWS, FOLDS, ORDER, DISCOUNT = 2000, 4, 10, 0.75
 WINDOWS = (1, 3, 12)
-#: Bits of a character: 1 pads, 2 ends a word, a-z follow, all other characters share the 35 that are left.
-BITS = 6
+#: Bits of a symbol. PAD stands ahead of a word and END behind it; a-z follow, all other characters share the 35 that are left.
+BITS, PAD, END = 6, 1, 2
 
 
 def spelt(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets by word, n-gram keys): each word's ORDER-grams, padded ahead and closed with an end mark."""
-    text = "\x01" * (ORDER - 1) + ("\x02" + "\x01" * (ORDER - 1)).join(vocabulary.to_pylist()).lower() + "\x02" if len(vocabulary) else ""
+    """(offsets by word, n-gram keys): each word's ORDER-grams, padded ahead and closed with an end mark.
+
+    Line feeds, which no word holds, part the words; marks are set after characters became symbols,
+    so no character of a text can be taken for one.
+    """
+    if not len(vocabulary):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+    text = "\n".join(vocabulary.to_pylist()).lower() + "\n"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where((points >= 97) & (points <= 122), points - 94, np.where(points <= 2, points, 29 + points * 11 % 35))
-    n = len(points) - ORDER + 1
-    keys = np.zeros(max(n, 0), np.int64)
+    end = points == 10
+    symbols = np.where((points >= 97) & (points <= 122), points - 94, 29 + points * 11 % 35)
+    symbols[end] = END
+    word = np.cumsum(end) - end
+    place = np.arange(len(points)) + (word + 1) * (ORDER - 1)
+    padded = np.full(len(points) + len(vocabulary) * (ORDER - 1), PAD)
+    padded[place] = symbols
+    keys = np.zeros(len(points), np.int64)
     for k in range(ORDER):
-        keys = (keys << BITS) | points[k : k + n]
-    real = points[ORDER - 1 :] != 1
-    ends = np.flatnonzero(points[ORDER - 1 :][real] == 2) + 1
-    return np.concatenate(([0], ends)), keys[real]
+        keys = (keys << BITS) | padded[place - (ORDER - 1) + k]
+    return np.concatenate(([0], np.flatnonzero(end) + 1)), keys
 
 
 def class_counts(documents: DataFrame, label: str, fold: str, text: str) -> DataFrame:
@@ -180,7 +189,8 @@ class Toxicity:
     @classmethod
     def fit(cls, documents: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = FIT_ROWS) -> Toxicity:
         known = labels.groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("y_most")).filter(F.col("y").isin(0, 1) & (F.col("y") == F.col("y_most"))).select(key, "y", F.xxhash64(key).alias("h"))
-        chosen = known.filter("y = 1").orderBy("h", key).limit(rows).unionByName(known.filter("y = 0").orderBy("h", key).limit(rows)).collect()
+        of_class = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        chosen = [r for y in (1, 0) for r in least_hashed(known.filter(F.col("y") == y), "h", key, rows, of_class.get(y, 0)).collect()]
         spark = documents.sparkSession
         kind = labels.schema[key].dataType.simpleString()
         # at most 2 * rows ids: small enough to send everywhere

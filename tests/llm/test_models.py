@@ -86,6 +86,70 @@ def test_toxicity_of_texts_not_learnt_from(docs, labels):
     assert np.mean(pairs) > 0.8
 
 
+def brute_grams(word):
+    """The padded ORDER-grams of a word as tuples of symbols."""
+    own = [ord(c) - 94 if "a" <= c <= "z" else 29 + ord(c) * 11 % 35 for c in word.lower()]
+    padded = [toxicity.PAD] * (toxicity.ORDER - 1) + own + [toxicity.END]
+    return [tuple(padded[i : i + toxicity.ORDER]) for i in range(len(own) + 1)]
+
+
+def test_grams_of_words_with_control_characters():
+    words = ["good", "a\x01b", "\x02", "x\x02y\x02z", "".join(map(chr, [*range(1, 9), *range(14, 32), 127])), "İi", "vile"]
+    at, keys = toxicity.spelt(pa.array(words))
+    found = [[tuple(int(k) >> toxicity.BITS * s & 63 for s in range(toxicity.ORDER - 1, -1, -1)) for k in keys[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert found == [brute_grams(w) for w in words]
+
+
+def test_ratios_are_those_of_a_plain_kneser_ney_model():
+    rng = np.random.default_rng(4)
+    by_class = {y: ["".join(rng.choice(list("abc\x02"), rng.integers(1, 5))) for _ in range(60)] for y in (0, 1)}
+    counts = {y: Counter(g for w in ws for g in brute_grams(w)) for y, ws in by_class.items()}
+    grams = set(counts[0]) | set(counts[1])
+    d = toxicity.DISCOUNT
+    ending = [{g[-n:] for g in grams} for n in range(toxicity.ORDER + 1)]
+
+    def continued(gram):
+        """Probability of the last symbol by continuation counts, interpolated down to the uniform one."""
+        if not gram:
+            return 1 / 64
+        size = len(gram)
+        after = Counter(g[-size:] for g in ending[size + 1] if g[-size:-1] == gram[:-1])
+        if not after:
+            return continued(gram[1:])
+        total = sum(after.values())
+        return max(after[gram] - d, 0) / total + d * len(after) / total * continued(gram[1:])
+
+    def likely(y, gram):
+        after = {g: n for g, n in counts[y].items() if g[:-1] == gram[:-1]}
+        total, back = sum(after.values()), continued(gram[1:])
+        return max(after.get(gram, 0) - d, 0) / total + d * len(after) / total * back if total else back
+
+    import pandas as pd
+
+    number = lambda g: sum(x << toxicity.BITS * i for i, x in enumerate(g[::-1]))
+    model = toxicity.Ratios.fit(pd.DataFrame([(number(g), counts[1][g], counts[0][g]) for g in grams], columns=["gram", "n1", "n0"]))
+    words = [*by_class[0][:20], *by_class[1][:20], "abcabc", "zzz", "\x02\x01"]
+    expected = [sum(math.log(likely(1, g) / likely(0, g)) for g in brute_grams(w)) for w in words]
+    assert model.of_words(pa.array(words)) == pytest.approx(expected, abs=1e-9)
+
+
+def test_control_characters_move_no_scores(spark):
+    rows = [(i, ("good day " if i % 2 else "vile day ") * 5 + ("" if i % 3 else "\x02 \x01x " + "".join(map(chr, range(1, 32)))), None, None, 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, FIELDS)
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.scored(docs, labels).collect()}
+    assert all((found[i] > 0.5) == (i % 2 == 0) for i in found)
+
+
+def test_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    every = sorted((r.h, r.id) for r in df.collect())
+    assert sorted((r.h, r.id) for r in batches.least_hashed(df, "h", "id", 500, 20_000).collect()) == every[:500]
+    assert batches.least_hashed(df, "h", "id", 30_000, 20_000).count() == 20_000
+
+
 def test_ratios_leave_rare_expressions_to_the_shared_backoff():
     at, keys = toxicity.spelt(pa.array(["good", "day", "vile"]))
     import pandas as pd
