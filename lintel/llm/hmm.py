@@ -35,6 +35,8 @@ STATES, HEAD, KNOWN, SEED = 8, 40_000, 200_000, 11
 SETTLED = 5e-4
 ONES = np.ones(STATES)
 SLICE = 6 << 20
+#: Tokens of a long text, which is put with others of its kind until they have so many together.
+LONG, TOKENS = 1500, 800_000
 END = "\n"  # no word
 LOG = logging.getLogger(__name__)
 SMOOTHING = 4.0
@@ -113,6 +115,23 @@ def laid(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return order, ends, rank, offsets[:-1][order][rank] + np.repeat(np.arange(len(alive)), alive)
 
 
+class Space:
+    """Arrays of vectors that one batch after another is worked out in: fresh ones would be cleared by the system each time."""
+
+    held: dict[str, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, name: str, n: int) -> np.ndarray:
+        if name not in cls.held or len(cls.held[name]) < n:
+            cls.held[name] = np.empty((n + n // 8, STATES))
+        return cls.held[name][:n]
+
+    @classmethod
+    def clear(cls) -> None:
+        cls.held.clear()
+        trim()
+
+
 @dataclass
 class Chain:
     """Start, transition and emission probabilities; emissions have a row for each event."""
@@ -129,23 +148,24 @@ class Chain:
         return cls(np.full(STATES, 1 / STATES), step, emit / emit.sum(0))
 
     def forward(self, offsets: np.ndarray, events: np.ndarray, keep: bool = False):
-        """(log likelihood by text, scaled forward vectors, scales), all texts a token at a time together; the latter two as laid()."""
+        """(log likelihood by text, scaled forward vectors, scales), all texts a token at a time together; the latter two as laid().
+
+        The vectors, which are there with keep alone, lie in a space that the next call overwrites.
+        """
         order, ends, rank, place = laid(offsets)
-        events, bounds = events[place], ends.tolist()
-        alphas = np.empty((len(events), STATES)) if keep else None
-        scales = np.empty(len(events))
-        alpha = np.tile(self.start, (len(order), 1))
+        alphas, bounds = self.emit.take(events[place], 0, Space.of("alphas", len(place)), "clip"), ends.tolist()
+        scales = np.empty(len(alphas))
+        before = None
         for low, high in zip(bounds, bounds[1:]):
-            alpha = alpha[: high - low] @ self.step if low else alpha[: high - low]
-            alpha *= self.emit[events[low:high]]
-            scale = alpha @ ONES
-            alpha /= scale[:, None]
-            scales[low:high] = scale
-            if keep:
-                alphas[low:high] = alpha
+            # a place's emissions turn into its forward vectors
+            alpha, scale = alphas[low:high], scales[low:high]
+            alpha *= self.start if before is None else before[: high - low] @ self.step
+            np.matmul(alpha, ONES, out=scale)
+            alpha *= np.reciprocal(scale)[:, None]
+            before = alpha
         out = np.empty(len(order))
         out[order] = np.bincount(rank, np.log(scales), len(order))
-        return out, alphas, scales
+        return out, alphas if keep else None, scales
 
     def expected(self, offsets: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, transitions and emissions (by event) of texts: one E-step."""
@@ -155,17 +175,22 @@ class Chain:
         """The texts' log likelihood, and as expected()."""
         likelihood, alphas, scales = self.forward(offsets, events, True)
         _, ends, _, place = laid(offsets)
-        events, bounds = events[place], ends.tolist()
-        moves = np.zeros((STATES, STATES))
-        ahead = np.zeros((0, STATES))
+        events, bounds, back = events[place], ends.tolist(), np.ascontiguousarray(self.step.T)
+        aheads = self.emit.take(events, 0, Space.of("aheads", len(events)), "clip")
+        aheads *= np.reciprocal(scales)[:, None]
+        moves, ahead = np.zeros((STATES, STATES)), None
         for low, high in zip(bounds[-2::-1], bounds[:0:-1]):
-            beta = np.ones((high - low, STATES))
-            if more := len(ahead):
-                moves += alphas[low : low + more].T @ ahead
-                beta[:more] = ahead @ self.step.T
-            ahead = self.emit[events[low:high]] * beta / scales[low:high, None]
-            alphas[low:high] *= beta
-        alphas /= (alphas @ ONES)[:, None]
+            # a place's scaled emissions turn into what the place before it looks ahead to
+            own = aheads[low:high]
+            if ahead is not None:
+                more = len(ahead)
+                alpha = alphas[low : low + more]
+                moves += alpha.T @ ahead
+                beta = ahead @ back
+                own[:more] *= beta
+                alpha *= beta
+            ahead = own
+        alphas *= np.reciprocal(alphas @ ONES)[:, None]
         emitted = np.stack([np.bincount(events, alphas[:, s], len(self.emit)) for s in range(STATES)], 1)
         return float(likelihood.sum()), alphas[: bounds[min(1, len(bounds) - 1)]].sum(0), moves * self.step, emitted
 
@@ -179,13 +204,29 @@ class Chain:
 
 
 def coded(documents: DataFrame, shared, text: str) -> DataFrame:
-    """sizes, events: of each slice of texts the tokens of each text and the events of all, as bytes of 32-bit numbers."""
+    """sizes, events: of some texts at a time the tokens of each and the events of all, as bytes of 32-bit numbers.
+
+    Texts of more than LONG tokens are put together apart from the rest, as texts that are read
+    a token at a time together should be about equally long.
+    """
+
+    def part_of(offsets: np.ndarray, events: np.ndarray, pick: np.ndarray) -> tuple[bytes, bytes]:
+        sizes = np.diff(offsets)
+        return sizes[pick].astype(np.int32).tobytes(), events[np.repeat(pick, sizes)].astype(np.int32).tobytes()
 
     def make():
         def run(batches):
-            for part, texts in slices(batches, text, SLICE):
+            held: list[tuple[bytes, bytes]] = []
+            for _, texts in slices(batches, text, SLICE):
                 offsets, events, _, _ = shared.value.read(texts)
-                yield {"sizes": [np.diff(offsets).astype(np.int32).tobytes()], "events": [events.astype(np.int32).tobytes()]}
+                long = np.diff(offsets) > LONG
+                short, more = part_of(offsets, events, ~long), part_of(offsets, events, long)
+                yield {"sizes": [short[0]], "events": [short[1]]}
+                held.append(more)
+                if sum(len(x[1]) for x in held) > 4 * TOKENS:
+                    yield {"sizes": [b"".join(x[0] for x in held)], "events": [b"".join(x[1] for x in held)]}
+                    held = []
+            yield {"sizes": [b"".join(x[0] for x in held)], "events": [b"".join(x[1] for x in held)]}
 
         return run
 
@@ -211,7 +252,7 @@ def trained(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
                         likelihood[0] += own[0]
                         for total, part in zip((start, moves, emitted), own[1:], strict=True):
                             total += part
-                        trim()
+                Space.clear()
                 seen = np.flatnonzero(emitted.any(1))
                 # starts have event -1, transitions from state s have event -2 - s, the likelihood has the event below
                 event = np.concatenate((seen, [-1], -2 - np.arange(STATES), [-2 - STATES]))
@@ -269,6 +310,7 @@ def scored_rows(documents: DataFrame, vocabulary: Vocabulary, chain: Chain) -> D
                     "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists),
                 }
                 row += len(n)
+            Space.clear()
 
         return run
 
