@@ -7,15 +7,22 @@ again into N2 sub-parts, they agree there on N2 - K2 whole sub-parts. Each choic
 sub-parts of a part is hashed into a signature, and a set signs for its own band and for those of
 the larger sets that it can link with. So sets that link share a signature, whatever their size.
 
+A signature of no elements says nothing and is shared by chance. So there are spare parts, one or,
+at low thresholds, two, and as many parts more agree: what agrees in empty choices only agrees in two or three of them, and
+pairs or triples of a set's empty choices are hashed into signatures instead of single ones.
+
 Signatures are sorted by range and then by node, so a signature of any number of nodes spans
-several tasks, and are read as a stream that drops those of one node. Many of the rest are of few
-elements, or none, and shared by chance. So each set has a sketch, the parity of its elements in
+several tasks, and are read as a stream that drops those of one node. Each set has a sketch, the parity of its elements in
 hashed bits: sets differ in at least as many elements as their sketches do in bits. Pairs of a
-signature whose sketches differ too much cannot link and are not tied. (A signature of more than
-MOST nodes is not worth that: all its nodes are tied to its first one.)
+signature whose sketches differ too much cannot link and are not tied. A signature of more than
+TILE nodes is cut into blocks, each of which meets PIVOTS of its nodes: a node that is near one is
+tied to it, pivots that others are tied to are tied together, and only nodes near no pivot go on to
+meet all blocks. So a large group of near copies costs in proportion to its size.
+
 Nodes that hang together through ties are then compared exactly, as products of set matrices, in
-blocks of about BLOCK elements, a pair of blocks a task; blocks report a spanning forest of the
-links they find, never all pairs. Components of those are the result.
+blocks of at most SETS sets and about BLOCK elements. A block is compared with itself and PIVOTS
+sets of its group; what is then not in the group's largest component is compared with all blocks.
+Blocks report a spanning forest of the links they find, never all pairs. Components of those are the result.
 
 Null and wordless texts have no set and link with nothing. Texts are read whole. Rows that share
 an id are one node. Rows with a null id are kept without a component. An empty table gives none.
@@ -24,6 +31,7 @@ an id are one node. Rows with a null id are kept without a component. An empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +43,12 @@ from lintel.llm.batches import M1, M2, U64, checkpointed, distinct_per_row, map_
 from lintel.llm.components import components, grouped, least_reachable, starts
 
 N2, K2, WIDTH = 3, 1, 1.25
-#: Elements of a block's sets, about.
-BLOCK = 400_000
-#: Nodes of a signature whose pairs of sketches are compared; with more, all are tied.
-MOST = 2000
+#: Sets of a block, at most, and elements of it, about.
+SETS, BLOCK = 128, 200_000
+#: Nodes of a signature whose sketches are compared in one task, and the nodes of a larger one, or of a group, that all others meet.
+TILE, PIVOTS = 1024, 8
+#: Parts of a band up to which empty choices are hashed in triples and in pairs, as those grow with a power of it.
+TRIPLES, PAIRS = 100, 1500
 LEAST_BITS = 512
 
 
@@ -47,6 +57,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.spare = 1 if 20 * num >= 17 * den else 2
         self.low, self.high = [1], [1]
 
     def up_to(self, size: int) -> None:
@@ -62,9 +73,13 @@ class Bands:
         return np.searchsorted(low, sizes, "right") - 1, np.searchsorted(low, reach, "right") - 1
 
     def parts(self, band: np.ndarray) -> np.ndarray:
-        """n1 of each band; 0 where only equal sets link."""
+        """n1 of each band, of which one part and the spare ones agree; 0 where only equal sets link."""
         k = 2 * np.array(self.high)[band] * (self.den - self.num) // (self.den + self.num)
-        return np.where(k > 0, k // (K2 + 1) + 1, 0)
+        return np.where(k > 0, k // (K2 + 1) + 1 + self.spare, 0)
+
+    def together(self, parts: np.ndarray) -> np.ndarray:
+        """How many empty choices make a signature."""
+        return np.where(parts <= TRIPLES, 1 + self.spare, np.where(parts <= PAIRS, 2, 1))
 
 
 def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +105,46 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray, bands: Bands) -> tuple[n
         at = (base[row] + part) * N2 + ((spread & U64(0xFFFFFFFF)) % U64(N2)).astype(np.int64)
         total = np.zeros(base[-1] * N2, U64)
         np.add.at(total, at, mix(h + M1))
-        total = total.reshape(-1, N2)
+        total, held = total.reshape(-1, N2), np.bincount(at, minlength=len(total)).reshape(-1, N2)
         who = np.repeat(np.arange(len(sizes)), parts)
         name = (band[who].astype(U64) << U64(40)) + (np.arange(base[-1]) - base[who]).astype(U64) * U64(N2)
         everything = total.sum(1, dtype=U64)
+        empty, together = [], bands.together(parts)
         for left_out in range(N2):
-            rows.append(who)
-            sigs.append(mix(everything - total[:, left_out] + mix(name + U64(left_out))))
+            sig = mix(everything - total[:, left_out] + mix(name + U64(left_out)))
+            bare = (held.sum(1) == held[:, left_out]) & (together[who] > 1)
+            rows.append(who[~bare])
+            sigs.append(sig[~bare])
+            empty.append(np.flatnonzero(bare) * N2 + left_out)
+        empty = np.sort(np.concatenate(empty))
+        for size in (2, 3):
+            row, sig = choices(empty[together[who[empty // N2]] == size], who, name, size)
+            rows.append(row)
+            sigs.append(sig)
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(sigs).view(np.int64)
 
 
+def choices(empty: np.ndarray, who: np.ndarray, name: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of each size of a row's empty choices that are of different parts; empty: parts * N2 + what is left out, ascending."""
+    own, sig = who[empty // N2], mix(name[empty // N2] + (empty % N2).astype(U64))
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begin, len(own)))
+    rows, sigs = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for n in np.unique(counts[counts >= size]):
+        picks = np.array(list(combinations(range(n), size)))
+        at = (begin[counts == n][:, None, None] + picks[None]).reshape(-1, size)
+        part = empty[at] // N2
+        at = at[(part[:, 1:] != part[:, :-1]).all(1)]
+        total = sig[at[:, 0]]
+        for k in range(1, size):
+            total = total * M1 + sig[at[:, k]]
+        rows.append(own[at[:, 0]])
+        sigs.append(mix(total))
+    return np.concatenate(rows), np.concatenate(sigs)
+
+
 def sketches(offsets: np.ndarray, hashes: np.ndarray) -> list[bytes]:
     """Of each set, the parities of its elements' counts by hashed bit, in as many bits as elements or up to twice that."""
     bits = LEAST_BITS << np.ceil(np.log2(np.maximum(np.diff(offsets), LEAST_BITS) / LEAST_BITS)).astype(np.int64)
@@ -204,13 +247,24 @@ def shared(pairs: DataFrame) -> DataFrame:
     return map_arrow(dealt, make, "sig bigint, node bigint")
 
 
+def near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of nx and ny elements with sketches x and y, a row each, could link."""
+    differ = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return (np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num) & (differ * (den + num) <= (nx + ny) * (den - num))
+
+
+def forest_of(a: np.ndarray, b: np.ndarray) -> dict:
+    """A spanning forest of ties or links, which says as much."""
+    node, to = least_reachable(a, b)
+    return {"a": node[node != to], "b": to[node != to]}
+
+
 def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: nodes of one signature that could link; sketched: node, n, sketch."""
     rows = released(checkpointed(shared(pairs).distinct()))
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("nodes"), F.min("node").alias("hub")).filter("nodes > 1")
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("nodes")).filter("nodes > 1")
     each = checkpointed(rows.join(sizes, "sig"))
-    large = each.filter((F.col("nodes") > MOST) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    small = each.filter(F.col("nodes") <= MOST).select("sig", "node").join(sketched, "node")
+    small, large = each.filter(F.col("nodes") <= TILE).select("sig", "node").join(sketched, "node"), each.filter(F.col("nodes") > TILE)
 
     def make():
         def run(tables):
@@ -230,78 +284,179 @@ def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame
                     for nodes in np.unique(counts[least]):
                         u, v = np.triu_indices(nodes, 1)
                         own = place[counts[least] == nodes]
-                        step = max(1, 400_000 // (len(u) * width))
+                        step = max(1, 400_000 // max(1, len(u) * width))
                         for low in range(0, len(own), step):
                             i, j = ((own[low : low + step, None] + w[None, :]).ravel() for w in (u, v))
                             for part in range(0, len(i), 1 << 18):
                                 a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
-                                na, nb = n[at[a]], n[at[b]]
-                                near = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) * (den + num) <= (na + nb) * (den - num))
-                                if near.any():
-                                    # a spanning forest of them says as much
-                                    x, to = least_reachable(node[at[a[near]]], node[at[b[near]]])
-                                    yield {"a": x[x != to], "b": to[x != to]}
+                                close = near(bits[a], bits[b], n[at[a]], n[at[b]], num, den)
+                                if close.any():
+                                    yield forest_of(node[at[a[close]]], node[at[b[close]]])
 
         return run
 
-    return large.union(grouped(small, ["sig"], ["node"], make, "a bigint, b bigint"))
+    found = grouped(small, ["sig"], ["node"], make, "a bigint, b bigint")
+    return found if large.isEmpty() else found.union(large_ties(large, sketched, num, den))
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Boolean matrix of which sets' Jaccard similarity is num / den or more; exact."""
-    sizes = np.array([len(s) for s in sets])
-    both = np.zeros((len(sets), len(sets)))
-    if len(sets) == 2:
-        both[0, 1] = both[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-    else:
-        _, found, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = (n > 1)[found]
-        column = (np.cumsum(n > 1) - 1)[found[shared]]
-        row = np.repeat(np.arange(len(sets)), sizes)[shared]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        width = max(64, (4 << 20) // len(sets))
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, b = np.searchsorted(column, (low, low + width))
-            x = np.zeros((len(sets), min(width, int(column[-1]) + 1 - low)), np.float32)
-            x[row[a:b], column[a:b] - low] = 1
-            both += x @ x.T
-    out = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
-    np.fill_diagonal(out, False)
-    return out
+def pivoted(rows: DataFrame, key: str, node: str, carried: list[str]) -> DataFrame:
+    """own, key and carried of PIVOTS rows of each key, drawn by hash, once for each of its blocks; rows: these, node and blocks."""
+    drawn = rows.groupBy(key, F.pmod(F.xxhash64(node, F.lit(3)), F.lit(PIVOTS)).alias("class")).agg(F.min_by(F.struct(node, *carried, "blocks"), F.xxhash64(node, F.lit(5))).alias("p"))
+    return drawn.select(key, "p.*").select(key, node, *carried, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
 
 
-def compared(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """a, b: a spanning forest of the links within each group; members: grp, total, node, packed."""
+def large_ties(large: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """As ties, for signatures of more than TILE nodes; large: sig, node, nodes."""
+    blocks = F.ceil(F.col("nodes") / TILE).cast("int")
+    rows = checkpointed(large.join(sketched, "node").select("sig", "node", "n", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")))
+    columns = ["sig", "own", "node", "n", "sketch"]
+    tiles = rows.select(*columns, F.lit(False).alias("marked")).union(pivoted(rows, "sig", "node", ["n", "sketch"]).select(*columns, F.lit(True)))
 
-    def make_sets():
-        def run(batches):
-            for part, texts in slices(unpacked(batches), "text"):
-                offsets, hashes = sets_of(texts, size)
-                yield {c: part.column(c) for c in ("grp", "total", "node")} | {"elements": [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]}
+    def apart(keys: list[str]):
+        """(first column of keys, nodes, sketches as words, sizes, nodes marked) of each tile."""
+
+        def run(tables):
+            for table in tables:
+                begin = [*starts(table, keys), table.num_rows]
+                for a, b in zip(begin[:-1], begin[1:], strict=True):
+                    part = table.slice(a, b - a)
+                    width = int(pc.min(pc.binary_length(part.column("sketch"))).as_py()) // 8
+                    yield int(part.column("sig")[0].as_py()), part.column("node").to_numpy(), np.stack([folded(x, width) for x in part.column("sketch").to_pylist()]), part.column("n").to_numpy(), part.column("marked").to_numpy(zero_copy_only=False).astype(bool)
 
         return run
 
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = map_arrow(members, make_sets, "grp bigint, total bigint, node bigint, elements binary").select("grp", "node", "elements", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tiles = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "elements")
+    def met(node, bits, n, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which of the rows left could link with which of right, other than themselves."""
+        out = np.zeros((len(left), len(right)), bool)
+        step = max(1, (1 << 20) // max(1, len(right) * bits.shape[1]))
+        for low in range(0, len(left), step):
+            i = left[low : low + step]
+            out[low : low + step] = near(bits[i][:, None], bits[right][None], n[i][:, None], n[right][None], num, den)
+        return out & (node[left][:, None] != node[right][None])
+
+    def make():
+        def run(tables):
+            for sig, node, bits, n, marked in apart(["sig", "own"])(tables):
+                pivots, rest = np.flatnonzero(marked), np.flatnonzero(~marked)
+                close = met(node, bits, n, rest, pivots)
+                tied = close.any(1)
+                u, v = np.nonzero(close)
+                used = np.unique(node[pivots[v]])
+                links = forest_of(node[rest[u]], node[pivots[v]]) if len(u) else {"a": node[:0], "b": node[:0]}
+                # kinds: ties, pivots in use, and nodes that are left
+                kinds = [(links["a"], links["b"], 0), (used, used, 1), (node[rest[~tied]], node[rest[~tied]], 2)]
+                yield {
+                    "sig": np.full(sum(len(a) for a, _, _ in kinds), sig),
+                    "a": np.concatenate([a for a, _, _ in kinds]),
+                    "b": np.concatenate([b for _, b, _ in kinds]),
+                    "kind": np.concatenate([np.full(len(a), k) for a, _, k in kinds]),
+                }
+
+        return run
+
+    found = checkpointed(grouped(tiles, ["sig", "own"], ["node"], make, "sig bigint, a bigint, b bigint, kind int"))
+    used = found.filter("kind = 1").groupBy("sig").agg(F.min("a").alias("a"), F.collect_set("b").alias("all")).select("a", F.explode("all").alias("b")).filter("a <> b")
+    out = found.filter("kind = 0").select("a", "b").union(used)
+    left = found.filter("kind = 2").select("sig", F.col("a").alias("node"))
+    if left.isEmpty():
+        return out
+    counts = left.groupBy("sig").agg(F.ceil(F.count("*") / TILE).cast("int").alias("left_blocks"))
+    all_ = rows.join(counts, "sig")
+    every = all_.select("sig", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.col("own").alias("j"), "node", "n", "sketch", F.lit(False).alias("marked"))
+    those = all_.join(left, ["sig", "node"]).select("sig", F.pmod(F.xxhash64("node", F.lit(9)), F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "n", "sketch", F.lit(True).alias("marked"))
+
+    def make_left():
+        def run(tables):
+            for _, node, bits, n, marked in apart(["sig", "i", "j"])(tables):
+                ours, others = np.flatnonzero(marked), np.flatnonzero(~marked)
+                u, v = np.nonzero(met(node, bits, n, ours, others))
+                if len(u):
+                    yield forest_of(node[ours[u]], node[others[v]])
+
+        return run
+
+    return out.union(grouped(every.union(those), ["sig", "i", "j"], ["node"], make_left, "a bigint, b bigint"))
+
+
+def linked(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sets whose Jaccard similarity is num / den or more; exact."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return (np.zeros(1, np.int64), np.ones(1, np.int64)) if den * both >= num * (sizes.sum() - both) else (np.zeros(0, np.int64),) * 2
+    both = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers of up to 2^24
+    _, found, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = (n > 1)[found]
+    column = (np.cumsum(n > 1) - 1)[found[shared]]
+    row = np.repeat(np.arange(len(sets)), sizes)[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(64, (4 << 20) // len(sets))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        x = np.zeros((len(sets), min(width, int(column[-1]) + 1 - low)), np.float32)
+        x[row[a:b], column[a:b] - low] = 1
+        both += x @ x.T
+    out = []
+    for low in range(0, len(sets), 256):
+        i = np.arange(low, min(low + 256, len(sets)))
+        own = both[i].astype(np.float64)
+        hit = (den * own >= num * (sizes[i][:, None] + sizes[None, :] - own)) & (i[:, None] < np.arange(len(sets))[None, :])
+        u, v = np.nonzero(hit)
+        out.append((u + low, v))
+    return np.concatenate([u for u, _ in out]), np.concatenate([v for _, v in out])
+
+
+def compared_tiles(tiles: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest of the links within each tile; tiles: keys, node, elements. A node may be there twice."""
 
     def make():
         def run(tables):
             for table in tables:
-                begin = [*starts(table, ["grp", "i", "j"]), table.num_rows]
+                begin = [*starts(table, keys), table.num_rows]
                 nodes, elements = table.column("node").to_numpy(), table.column("elements")
                 for a, b in zip(begin[:-1], begin[1:], strict=True):
-                    if b - a > 1:
-                        links = linked([np.frombuffer(x, U64) for x in elements.slice(a, b - a).to_pylist()], num, den)
-                        u, v = np.nonzero(np.triu(links))
-                        node, to = least_reachable(nodes[a:b][u], nodes[a:b][v])
-                        yield {"a": node[node != to], "b": to[node != to]}
+                    own, first = np.unique(nodes[a:b], return_index=True)
+                    if len(own) > 1:
+                        u, v = linked([np.frombuffer(x, U64) for x in elements.take(pa.array(first + a)).to_pylist()], num, den)
+                        yield forest_of(own[u], own[v])
+
+        return run
+
+    return grouped(tiles, keys, ["node"], make, "a bigint, b bigint")
+
+
+def compared(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """node, component: components of the links within each group; members: grp, blocks, node, packed."""
+
+    def make_sets():
+        def run(batches):
+            for part, texts in slices(unpacked(batches), "text"):
+                offsets, hashes = sets_of(texts, size)
+                yield {c: part.column(c) for c in ("grp", "blocks", "node")} | {"elements": [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]}
 
         return run
 
-    return grouped(tiles, ["grp", "i", "j"], ["node"], make, "a bigint, b bigint")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    rows = checkpointed(map_arrow(members, make_sets, "grp bigint, blocks int, node bigint, elements binary").select("grp", "blocks", own, "node", "elements"))
+    columns = ["grp", "own", "node", "elements"]
+    several = rows.filter("blocks > 1")
+    if several.isEmpty():
+        return components(compared_tiles(rows.select(columns), ["grp", "own"], num, den))
+    tiles = rows.select(columns).union(pivoted(several, "grp", "node", ["elements"]).select(columns))
+    first = checkpointed(compared_tiles(tiles, ["grp", "own"], num, den))
+    labels = checkpointed(components(first))
+    # of a group of several blocks, what is not in its largest component meets all blocks
+    each = several.select("grp", "node", "blocks", F.length("elements").alias("bytes")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    most = each.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", "n").alias("largest"))
+    left = checkpointed(each.join(most, "grp").filter("component <> largest").select("grp", "node", "bytes"))
+    if left.isEmpty():
+        return labels
+    counts = left.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("bytes") / (8 * BLOCK))).cast("int").alias("left_blocks"))
+    all_ = several.join(counts, "grp")
+    every = all_.select("grp", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.col("own").alias("j"), "node", "elements")
+    those = all_.join(left.select("grp", "node"), ["grp", "node"]).select("grp", F.pmod(F.xxhash64("node", F.lit(9)), F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "elements")
+    return components(first.union(compared_tiles(every.union(those), ["grp", "i", "j"], num, den)))
 
 
 def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -315,9 +470,10 @@ def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, t
     coarse = checkpointed(components(tied).select(F.col("node").alias("f1"), F.col("component").alias("grp")))
     groups = checkpointed(base.filter(has).groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")))
     sized = groups.join(coarse, "f1")
-    totals = sized.groupBy("grp").agg(F.sum("n").alias("total"))
-    members = packed_texts(texts, "node", "text").join(sized.join(totals, "grp").select(F.col("rep").alias("node"), "grp", "total").distinct(), "node")
-    labels = components(compared(members, size, num, den))
+    blocks = F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / BLOCK)).cast("int")
+    totals = sized.groupBy("grp").agg(blocks.alias("blocks"))
+    members = packed_texts(texts, "node", "text").join(sized.join(totals, "grp").select(F.col("rep").alias("node"), "grp", "blocks").distinct(), "node")
+    labels = compared(members, size, num, den)
     released(groups)
     found = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     # rows that share an id are one node, whatever their texts

@@ -79,15 +79,30 @@ def test_join_finds_every_link(spark, size, num, den):
     assert all(r.n_shingles == len(shingled(dict(rows)[r.doc_id], size)) for r in found)
 
 
-def test_join_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 200)
-    base = prose(5, 60)
-    docs = spark.createDataFrame([(i, edited(base.replace("\n", " "), 0.02, i)) for i in range(50)], "doc_id bigint, text string")
+@pytest.mark.parametrize(("block", "sets", "tile", "pivots"), [(200, 128, 1024, 8), (200_000, 7, 5, 2), (150, 9, 6, 1)])
+def test_join_in_blocks(spark, monkeypatch, block, sets, tile, pivots):
+    """Large signatures and groups, of near copies and of texts with a shared passage, in small tiles."""
+    for name, value in (("BLOCK", block), ("SETS", sets), ("TILE", tile), ("PIVOTS", pivots)):
+        monkeypatch.setattr(jaccard, name, value)
+    base, other = prose(5, 60).replace("\n", " "), prose(6, 40).replace("\n", " ")
+    rows = [(i, edited(base, 0.02, i)) for i in range(50)] + [(100 + i, f"{other} {prose(200 + i, 5 + i % 9)}") for i in range(40)] + [(300 + i, prose(300 + i, 20)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id: r.component_id for r in jaccard.joined(docs, 3, 90, 100).collect()} == brute_join(docs.collect(), 3, 90, 100)
+    assert {r.doc_id: r.component_id for r in jaccard.joined(docs, 5, 80, 100).collect()} == brute_join(docs.collect(), 5, 80, 100)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
+def test_chance_signatures_are_rare():
+    """Of unrelated sets no signature is shared by many, for empty choices count together."""
+    rng = np.random.default_rng(6)
+    n, size = 60_000, 40
+    hashes = np.sort(rng.integers(0, 2**63, (n, size)).astype(np.uint64), 1).ravel()
+    _, sigs = jaccard.signatures(np.arange(n + 1) * size, hashes, jaccard.Bands(80, 100))
+    _, counts = np.unique(sigs, return_counts=True)
+    assert counts.max() < 30 and len(sigs) < 60 * n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100), (70, 100)]))
 def test_sets_that_link_share_a_signature(seed, threshold):
     num, den = threshold
     rng = np.random.default_rng(seed)
