@@ -41,12 +41,12 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """(slice, its texts without nulls), each of about limit bytes of text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, kind: pa.DataType = pa.string()) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """(slice, its texts without nulls), each of about limit bytes of text; kind: string or binary."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        whole = pc.fill_null(batch.column(text).cast(pa.string()), "")
+        whole = pc.fill_null(batch.column(text).cast(kind), "" if kind == pa.string() else b"")
         ends = np.cumsum(pc.binary_length(whole).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
@@ -171,12 +171,15 @@ def packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with the column text in place of packed, some thousand rows at a time."""
+    """Batches with the column text in place of packed, a slice's bytes or one text at a time."""
     restore = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         at = batch.schema.get_field_index("packed")
-        for low in range(0, batch.num_rows, 1000):
-            part = batch.slice(low, 1000)
+        sizes = np.array([zstandard.frame_content_size(p) for p in batch.column(at).to_pylist()], np.int64)
+        ends, low, high = np.cumsum(sizes), 0, 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE_BYTES, "right")))
+            part, low = batch.slice(low, high - low), high
             yield part.set_column(at, "text", pa.array([restore(p) for p in part.column(at).to_pylist()], pa.binary()).cast(pa.string()))
 
 

@@ -8,17 +8,18 @@ id, or earlier in the same one. Whether it does is decided for each start, in th
    sorted by hash, content and place: a run with the content of an earlier one repeats it wholly.
    Slices drop such runs by themselves first, so a passage that is everywhere is shuffled once for each
    slice and not for each document. Hashes with one content only are done with.
-2. The remaining contents are fetched and dealt by hash into shards of about SHARD bytes. A shard
-   is indexed: its suffixes are sorted, the transform's runs of equal characters found, and for
-   the run ends alone the position and the length shared with the suffix before or behind are sampled. Streaming over
-   the text, the match of each position with a neighbour in suffix order is that of the last sampled position less the
-   distance; where either reaches SPAN the string is repeated.
-3. Of the repeated strings the earliest of each is found by its bytes' hash; all others go.
-
-A hash with more than MANY contents would fill a task. Its strings are told apart one by one
-instead: each is hashed as a whole and goes through the sorted stream of step 1.
-
-Null texts count as empty. Texts may be of any length. Rows that share an id are read as one after
+2. The remaining contents are fetched and dealt by hash into shards of about SHARD bytes, each in the order of
+   places. A shard is indexed: the runs of equal characters in its Burrows-Wheeler transform are found,
+   and where a run begins the position, the position before it in suffix order and the length that
+   both share are sampled; nothing else is kept.
+3. Streaming over the shard, the matching statistic of each position and the place it matches follow
+   from the last sample before it. Positions that match SPAN bytes or more hang together in chains,
+   whose first place is the earliest occurrence; the strings at all others go.
+
+A hash of more than MANY contents would outgrow a shard. Its strings are dealt anew by longer
+strings within them, in the end by themselves as a whole, and go through the same steps.
+
+Null texts count as empty. Texts may be of any length and are hashed in overlapping windows. Rows that share an id are read as one after
 the other in the order of their texts' hashes: where there are any, all rows are sorted and numbered,
 and the numbers stand for the ids. An empty table gives an empty one.
 """
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +44,10 @@ SPAN, KMER, SHARD = 100, 32, 1 << 20
 #: Bytes of text whose hashes a task holds at a time, about, as they take some sixty times as much memory;
 #: and bytes of text among whose runs it looks for repeats before it passes them on.
 HASHED, COMBINED = 1 << 20, 8 << 20
+#: Contents of a hash, of less than two SPAN bytes each, that a shard takes.
 MANY = 20_000
 SEPARATOR = 0xFF  # in no UTF-8 text
-#: Bits that tell places in a slice of up to 256 MB apart.
+#: Bits that tell places in a window or slice apart, which are far smaller.
 PLACE = U64((1 << 28) - 1)
 
 
@@ -98,8 +101,18 @@ def runs(offsets: np.ndarray, data: np.ndarray, span: int, kmer: int) -> tuple[n
     return key.view(np.int64), row[at], start[at] - offsets[row[at]], np.diff(np.append(at, len(start)))
 
 
-def run_rows(documents: DataFrame, span: int, kmer: int) -> DataFrame:
-    """hash, content, doc_id, start, n: n starts from start on; content null: they are repeats already."""
+def windows(offsets: np.ndarray, data: np.ndarray, span: int, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first place, offsets, bytes) of a slice, which may be one long text: that is cut, so that each span bytes lie in one window."""
+    if len(offsets) == 2 and len(data) > limit + span:
+        for low in range(0, len(data) - span + 1, limit):
+            own = data[low : low + limit + span - 1]
+            yield low, np.array([0, len(own)]), own
+    else:
+        yield 0, offsets, data
+
+
+def run_rows(texts: DataFrame, span: int, kmer: int) -> DataFrame:
+    """hash, content, doc_id, start, n: n starts from start on; content null: they are repeats already. texts: doc_id, at, bytes."""
 
     def combined(parts: list[tuple[np.ndarray, ...]]) -> dict:
         key, content, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -113,24 +126,24 @@ def run_rows(documents: DataFrame, span: int, kmer: int) -> DataFrame:
     def make():
         def run(batches):
             held, size = [], 0
-            for part, texts in slices(batches, "text", HASHED):
-                offsets, data = text_bytes(texts)
-                doc = part.column("doc_id").to_numpy()
-                key, row, start, n = runs(offsets, data, span, kmer)
-                view = memoryview(data)
-                begin = (offsets[row] + start).tolist() if len(row) else []
-                content = np.fromiter((xxhash.xxh3_64_intdigest(view[b : b + m]) for b, m in zip(begin, (n + span - 1).tolist(), strict=True)), U64, len(n)).view(np.int64)
-                held.append((key, content, doc[row], start.astype(np.int32), n.astype(np.int32)))
-                size += len(data)
-                if size >= COMBINED:
-                    yield combined(held)
-                    held, size = [], 0
+            for part, own in slices(batches, "bytes", HASHED, pa.binary()):
+                doc, at = part.column("doc_id").to_numpy(), part.column("at").to_numpy()
+                for low, offsets, data in windows(*text_bytes(own), span, HASHED):
+                    key, row, start, n = runs(offsets, data, span, kmer)
+                    view = memoryview(data)
+                    begin = (offsets[row] + start).tolist() if len(row) else []
+                    content = np.fromiter((xxhash.xxh3_64_intdigest(view[b : b + m]) for b, m in zip(begin, (n + span - 1).tolist(), strict=True)), U64, len(n)).view(np.int64)
+                    held.append((key, content, doc[row], (start + at[row] + low).astype(np.int32), n.astype(np.int32)))
+                    size += len(data)
+                    if size >= COMBINED:
+                        yield combined(held)
+                        held, size = [], 0
             if held:
                 yield combined(held)
 
         return run
 
-    return map_arrow(documents, make, "hash bigint, content bigint, doc_id bigint, start int, n int")
+    return map_arrow(texts.select("doc_id", F.col("at").cast("int").alias("at"), F.col("bytes").cast("binary").alias("bytes")), make, "hash bigint, content bigint, doc_id bigint, start int, n int")
 
 
 def sifted(rows: DataFrame) -> DataFrame:
@@ -205,26 +218,6 @@ def contents(documents: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     return map_arrow(packed_texts(documents, "doc_id", "text").join(by_doc, "doc_id"), make, "hash bigint, many boolean, doc_id bigint, start int, bytes binary")
 
 
-def singly(found: DataFrame, span: int) -> DataFrame:
-    """Each string of the contents as a run of its own, for sifted."""
-
-    def make():
-        def run(batches):
-            for batch in batches:
-                for low in range(0, batch.num_rows, 2000):
-                    part = batch.slice(low, 2000)
-                    doc, start = part.column("doc_id").to_numpy(), part.column("start").to_numpy()
-                    strings = part.column("bytes").to_pylist()
-                    n = np.fromiter(map(len, strings), np.int64, len(strings)) - span + 1
-                    own = np.fromiter((xxhash.xxh3_64_intdigest(s[i : i + span]) for s, m in zip(strings, n.tolist(), strict=True) for i in range(m)), U64, int(n.sum())).view(np.int64)
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield {"hash": own, "content": own, "doc_id": np.repeat(doc, n), "start": np.repeat(start, n) + at, "n": np.ones(len(own), np.int64)}
-
-        return run
-
-    return map_arrow(found.select("doc_id", "start", "bytes"), make, "hash bigint, content bigint, doc_id bigint, start int, n int")
-
-
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """The suffix array by prefix doubling; only suffixes that are not yet told apart are sorted again."""
     n = len(text)
@@ -277,60 +270,58 @@ def shared_length(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """A run-length compressed transform of a text: the runs, and samples where runs begin and end."""
+    """A run-length compressed transform of a text: samples where its runs begin, in the order of the text."""
 
     def __init__(self, text: np.ndarray):
         self.size = len(text)
         order = suffix_order(text)
         before = text[order - 1].astype(np.int16)
         before[order == 0] = -1  # no character
-        change = np.flatnonzero(before[1:] != before[:-1]) + 1
-        self.heads, self.characters = np.concatenate(([0], change)), before[np.concatenate(([0], change))]
-        head, tail = order[change], order[change - 1]
-        length = shared_length(text, head, tail)
-        # a run's first suffix with the one before it, and a run's last one with the one behind it
-        self.samples = [self.sorted_samples(head, length, order[:1]), self.sorted_samples(tail, length, order[-1:])]
-
-    @staticmethod
-    def sorted_samples(at: np.ndarray, length: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, length = np.concatenate((at, end)), np.concatenate((length, [0]))
+        head = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        at, behind = order[head], np.append(-1, order[head[1:] - 1])
+        length = np.append(0, shared_length(text, at[1:], behind[1:]))
         by = np.argsort(at)
-        return at[by], length[by]
+        #: Position of each run's first suffix, of the suffix before it (none: -1), and how long both are equal.
+        self.at, self.behind, self.length = at[by], behind[by], length[by]
 
-    def matches(self) -> np.ndarray:
-        """By position: the longest match with another position, streamed from the samples.
+    def streamed(self) -> tuple[np.ndarray, np.ndarray]:
+        """By position: the suffix before it in suffix order (where none is, any), and how long both are equal.
 
-        Inside a run the neighbour's match goes on by one character, so it is one less a position further.
+        Inside a run both suffixes have the same character ahead, so from one position to the next
+        the suffix before moves along by one and the match is shorter by one.
         """
-        out = np.zeros(self.size, np.int64)
         place = np.arange(self.size)
-        for at, length in self.samples:
-            i = np.searchsorted(at, place, "right") - 1
-            out = np.maximum(out, np.where(i >= 0, length[i] - (place - at[i]), 0))
-        return out
+        i = np.searchsorted(self.at, place, "right") - 1
+        # the text's first position begins a run, as no other suffix has no character ahead
+        return self.behind[i] + place - self.at[i], self.length[i] - (place - self.at[i])
+
+    def earliest(self, span: int) -> np.ndarray:
+        """By position: the first one of those with the same span characters; itself where fewer are left."""
+        behind, length = self.streamed()
+        place = np.arange(self.size)
+        root = np.where(length >= span, behind, place)
+        live = np.flatnonzero(root != place)
+        while len(live):
+            after = root[root[live]]
+            live, after = live[after != root[live]], after[after != root[live]]
+            root[live] = after
+        first = place.copy()
+        np.minimum.at(first, root, place)
+        return first[root]
 
 
 def later(doc: np.ndarray, start: np.ndarray, strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the span-byte strings that occur in an earlier place among the strings."""
+    """(doc, start) of the span-byte strings that occur in an earlier place among the strings, which are in the order of places."""
     joined = np.frombuffer(bytes([SEPARATOR]).join(strings), np.uint8)
     if len(joined) < span:
         return doc[:0], start[:0]
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    repeated = np.flatnonzero(RunIndex(joined).matches() >= span)
+    repeated = np.flatnonzero(RunIndex(joined).earliest(span) < np.arange(len(joined)))
     which = np.searchsorted(begin, repeated, "right") - 1
     inside = repeated + span <= (begin + sizes)[which]
     repeated, which = repeated[inside], which[inside]
-    at = start[which] + repeated - begin[which]
-    content = rolling(joined, span)[repeated] if len(repeated) else np.zeros(0, U64)
-    order = np.lexsort((at, doc[which], content))
-    again = np.zeros(len(order), bool)
-    again[1:] = content[order[1:]] == content[order[:-1]]
-    # the same place twice is one place
-    same = np.zeros(len(order), bool)
-    same[1:] = again[1:] & (doc[which][order[1:]] == doc[which][order[:-1]]) & (at[order[1:]] == at[order[:-1]])
-    pick = order[again & ~same]
-    return doc[which][pick], at[pick]
+    return doc[which], start[which] + repeated - begin[which]
 
 
 def compared(found: DataFrame, span: int) -> DataFrame:
@@ -366,18 +357,22 @@ def compared(found: DataFrame, span: int) -> DataFrame:
 
 def spans(documents: DataFrame, span: int = SPAN, kmer: int = KMER) -> DataFrame:
     """doc_id, spans: sorted starts and ends of the bytes that go, for rows that lose any. documents: doc_id, text."""
-    known = checkpointed(sifted(run_rows(documents, span, kmer)))
-    released(known)
-    several = known.filter("hash is not null")
-    sizes = several.groupBy("hash").agg((F.count("*") > MANY).alias("many"))
-    found = contents(documents, several.join(sizes, "hash"), span)
-    if sizes.filter("many").isEmpty():
-        apart = compared(found, span)
-    else:
+    texts = documents.select("doc_id", F.lit(0).alias("at"), F.coalesce("text", F.lit("")).alias("bytes"))
+    every = []
+    for size in [*range(kmer, span, kmer), span]:
+        known = checkpointed(sifted(run_rows(texts, span, size)))
+        released(known)
+        every.append(known.filter("hash is null").select("doc_id", "start", "n"))
+        several = known.filter("hash is not null")
+        sizes = several.groupBy("hash").agg((F.count("*") > MANY).alias("many"))
+        found = contents(documents, several.join(sizes, "hash"), span)
+        if size == span or sizes.filter("many").isEmpty():
+            every.append(compared(found, span))
+            break
         found = checkpointed(found)
-        apart = compared(found.filter("not many"), span).union(sifted(singly(found.filter("many"), span)).filter("hash is null").select("doc_id", "start", "n"))
-    every = known.filter("hash is null").select("doc_id", "start", "n").union(apart)
-    return every.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (span - 1)).alias("end")))).alias("spans"))
+        every.append(compared(found.filter("not many"), span))
+        texts = found.filter("many").select("doc_id", F.col("start").alias("at"), "bytes")
+    return reduce(DataFrame.union, every).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (span - 1)).alias("end")))).alias("spans"))
 
 
 def merged(pairs: list[dict] | None) -> list[tuple[int, int]]:

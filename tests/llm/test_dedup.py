@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import defaultdict
 
@@ -160,14 +161,32 @@ def test_repeats_are_exactly_those_of_brute_force(spark):
     assert digested(docs) == brute_repeats(sorted(rows), 100)
 
 
-def test_hashes_of_many_contents_are_told_apart_singly(spark, monkeypatch):
+def test_hashes_of_many_contents_are_dealt_anew(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "MANY", 3)
-    line = prose(77, 14)
+    line = prose(77, 30)
     rows = [(i, prose(i, 12) + line + prose(i + 300, 12)) for i in range(30)] + [(40, line * 2), (41, "z" * 260)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert digested(docs) == brute_repeats(rows, 100)
 
 
+def test_long_texts_are_hashed_in_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HASHED", 700)
+    text = prose(5, 900)
+    rows = [(1, text), (2, prose(6, 20) + text[333:2900] + prose(7, 300)), (3, text[-650:] * 3), (4, "ab" * 900), (5, "short"), (6, text[690:790] + "|" + text[700:799])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert digested(docs) == brute_repeats(rows, 100)
+
+
+def test_repeats_come_from_the_index(spark, monkeypatch):
+    """Without it, only runs that are repeated as a whole are found."""
+    line = prose(77, 40)
+    rows = [(i, prose(i, 12) + line + prose(i + 300, 12)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    whole = digested(docs)
+    monkeypatch.setattr(suffixes, "later", lambda doc, start, strings, span: (doc[:0], start[:0]))
+    assert digested(docs) != whole == brute_repeats(rows, 100)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", max_size=60), min_size=1, max_size=6))
 def test_index_matches_brute_force(texts):
@@ -183,8 +202,15 @@ def test_index_matches_brute_force(texts):
             n += 1
         return n
 
-    got = suffixes.RunIndex(text).matches()
-    assert got.tolist() == [max([0, *(shared(i, j) for j in range(len(data)) if j != i)]) for i in range(len(data))]
+    index = suffixes.RunIndex(text)
+    behind, length = index.streamed()
+    for i, j in zip(order, order[1:], strict=False):
+        assert (behind[j], length[j]) == (i, shared(i, j))
+    # one sample for each run of the transform
+    before = [data[i - 1] if i else -1 for i in order]
+    assert len(index.at) == len([*itertools.groupby(before)])
+    for span in (1, 3, 8):
+        assert index.earliest(span).tolist() == [data.find(data[i : i + span]) if i + span <= len(data) else i for i in range(len(data))]
     where, start = suffixes.later(np.arange(len(strings)), np.zeros(len(strings), np.int64), strings, 8)
     seen, expected = set(), set()
     for d, s in enumerate(strings):
