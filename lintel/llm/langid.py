@@ -6,11 +6,10 @@ rotated once, times the third's. A text's vector bundles (adds) its trigrams' ve
 language's prototype bundles those of all texts it is learnt from. Prototypes are added up over
 all partitions, so they rest on every labelled text.
 
-A text is compared with prototypes by cosine. Dot products are linear in the bundle, so they are
-summed from one product for each distinct trigram and prototype instead of from the text's
-vector; the text's own norm, which does not change the order of languages, is taken as the square
-root of DIMENSIONS times the sum of squared trigram counts, its value for uncorrelated trigrams. Prototypes are centred on their
-mean, which removes what all languages share.
+A text is compared with prototypes by the cosine of its bundle. Bundles of some texts at a time are
+products of their trigram counts with the vectors of the trigrams that they hold. Prototypes are centred on their
+mean, which removes what all languages share. Unrelated letters have cosines of about 0 with a
+deviation of 1 over the root of DIMENSIONS, so a best cosine below a few of those is no language's.
 
 Null texts and texts without a letter are "und" with score 0. Text is read whole and lower-cased.
 Repeated rows give repeated results; ties go to the language that sorts first; without any labels
@@ -28,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.batches import map_arrow, remainder, rows_of, slices, sums, words
+from lintel.llm.batches import map_arrow, remainder, rows_of, slices, words
 
 DIMENSIONS, SEED, SHARPNESS, EDGE = 2048, 7919, 30.0, 32
 BITS = 21
-#: Trigrams whose products a worker keeps, at most; others are computed again.
+#: Trigrams whose counts a worker adds up before it bundles them, at most.
 KEPT = 1 << 20
+#: Deviations above 0 from which on a cosine is more than chance; texts of fewer than SHORT trigrams are too short to tell.
+CHANCE, SHORT = 3.5, 12
+#: Texts that are bundled together, and trigrams whose vectors are there at a time.
+TOGETHER, AT_ONCE = 512, 2048
 
 
 @lru_cache(1)
@@ -120,48 +123,51 @@ class Profiles:
         if len(matrix) > 1:
             matrix = matrix - matrix.mean(0)
             matrix /= np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-12
-        self.matrix = matrix
-        self.grams, self.products = np.zeros(0, np.int64), np.zeros((0, len(matrix)))
-
-    def of_grams(self, grams: np.ndarray) -> np.ndarray:
-        """Dot products of distinct, sorted trigrams' vectors with the prototypes."""
-        at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
-        new = self.grams[at] != grams if len(self.grams) else np.ones(len(grams), bool)
-        out = np.zeros((len(grams), len(self.langs)))
-        if not new.all():
-            out[~new] = self.products[at[~new]]
-        if new.any():
-            own = grams[new]
-            found = np.concatenate([gram_vectors(own[i : i + 4096]).astype(np.float32) @ self.matrix.T.astype(np.float32) for i in range(0, len(own), 4096)])
-            out[new] = found
-            if len(self.grams) + len(own) <= KEPT:
-                keys = np.concatenate((self.grams, own))
-                order = np.argsort(keys)
-                self.grams, self.products = keys[order], np.concatenate((self.products, found))[order]
-        return out
+        self.matrix = matrix.astype(np.float32)
 
     def cosines(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(cosine by text and language, trigrams by text)"""
         offsets, codes, vocabulary = words(texts)
         at, grams = trigrams(vocabulary)
         values, found = np.unique(grams, return_inverse=True)
-        products = self.of_grams(values)
-        of_words = np.stack([sums(p[found], at) for p in products.T], 1) if len(self.langs) else np.zeros((len(vocabulary), 0))
-        dots = np.stack([sums(of_words[codes, k], offsets) for k in range(len(self.langs))], 1)
-        # squared counts of each text's trigrams
+        # each text's distinct trigrams and their counts
         each = np.diff(at)[codes]
         flat = np.arange(each.sum()) + np.repeat(at[codes] - (np.cumsum(each) - each), each)
         row = np.repeat(rows_of(offsets), each)
         pair, uniques = pd.factorize(row * np.int64(len(values) + 1) + found[flat])
-        squares = np.bincount(uniques // (len(values) + 1), np.bincount(pair).astype(float) ** 2, len(texts)) if len(uniques) else np.zeros(len(texts))
-        return dots / np.sqrt(DIMENSIONS * np.maximum(squares, 1))[:, None], np.bincount(row, minlength=len(texts))
+        of, gram, n = uniques // (len(values) + 1), uniques % (len(values) + 1), np.bincount(pair, minlength=len(uniques))
+        out = np.zeros((len(texts), len(self.langs)))
+        for low in range(0, len(texts), TOGETHER):
+            a, b = np.searchsorted(of, (low, low + TOGETHER))
+            bundles = bundled(of[a:b] - low, values, gram[a:b], n[a:b], min(TOGETHER, len(texts) - low))
+            size = np.sqrt(np.einsum("ij,ij->i", bundles, bundles, dtype=np.float64))
+            out[low : low + TOGETHER] = (bundles @ self.matrix.T) / np.maximum(size, 1e-12)[:, None]
+        return out, np.bincount(row, minlength=len(texts))
+
+
+def bundled(row: np.ndarray, values: np.ndarray, gram: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of n times the vectors of values[gram], by row."""
+    out = np.zeros((rows, DIMENSIONS), np.float32)
+    held, column = np.unique(gram, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column, n = row[order], column[order], n[order]
+    for low in range(0, len(held), AT_ONCE):
+        own = held[low : low + AT_ONCE]
+        a, b = np.searchsorted(column, (low, low + len(own)))
+        counts = np.zeros((rows, len(own)), np.float32)
+        counts[row[a:b], column[a:b] - low] = n[a:b]
+        out += counts @ gram_vectors(values[own]).astype(np.float32)
+    return out
+
 
+def identified(documents: DataFrame, learn_from: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """extra columns and, under names that are none of theirs, the language, the softmax of SHARPNESS times the cosines, and whether it is known.
 
-def identified(documents: DataFrame, learn_from: DataFrame, text: str = "text", extra: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """extra columns and, under two names that are none of theirs, the language and the softmax of SHARPNESS times the cosines."""
+    Known is a language whose cosine is more than chance, or that of a text too short to tell, but never "und".
+    """
     profiles = Profiles(prototypes(learn_from, text))
     if not profiles.langs:
-        return documents.select(*extra, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
+        return documents.select(*extra, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(False).alias(names[2]))
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
 
     def make():
@@ -173,12 +179,13 @@ def identified(documents: DataFrame, learn_from: DataFrame, text: str = "text",
                 best = cosines.argmax(1)
                 likely = np.exp(SHARPNESS * (cosines - cosines.max(1, keepdims=True)))
                 score = np.where(n > 0, 1 / likely.sum(1), 0.0)
-                yield {c: part.column(c) for c in extra} | {names[0]: [own.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], names[1]: score}
+                known = (n > 0) & ((n < SHORT) | (cosines.max(1) >= CHANCE / np.sqrt(DIMENSIONS)))
+                yield {c: part.column(c) for c in extra} | {names[0]: [own.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], names[1]: score, names[2]: known}
 
         return run
 
     fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in extra]
-    return map_arrow(documents.select(*dict.fromkeys([*extra, text])), make, ", ".join([*fields, f"`{names[0]}` string, `{names[1]}` double"]))
+    return map_arrow(documents.select(*dict.fromkeys([*extra, text])), make, ", ".join([*fields, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"]))
 
 
 def predicted(documents: DataFrame) -> DataFrame:

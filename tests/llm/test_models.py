@@ -43,17 +43,23 @@ def test_language_is_learnt_only_from_the_rest(spark, docs):
     assert sorted(langid.predicted(wrong).collect()) == sorted(langid.predicted(docs).collect())
 
 
-def test_summed_products_are_the_bundles_products():
-    langs = {k: langid.bundle(*grams(t)) [0] for k, t in (("a", prose(1, 50)), ("b", prose(2, 50).replace("k", "w")))}
+def test_cosines_are_those_of_whole_bundles(monkeypatch):
+    """Against vectors added up one trigram at a time."""
+    monkeypatch.setattr(langid, "TOGETHER", 3)
+    monkeypatch.setattr(langid, "AT_ONCE", 50)
+    langs = {k: langid.bundle(*grams(t))[0] for k, t in (("a", prose(1, 50)), ("b", prose(2, 50).replace("k", "w")))}
     profiles = langid.Profiles(langs)
-    text = prose(5, 30)
-    found, n = profiles.cosines(pa.array([text, ""]))
-    values, weights = grams(text)
-    vector = langid.bundle(values, weights)[0]
-    norm = math.sqrt(langid.DIMENSIONS * (weights**2).sum())
-    assert np.allclose(found[0], profiles.matrix @ vector / norm, atol=1e-5) and n.tolist() == [int(weights.sum()), 0]
-    # the norm that is used is the vector's own but for chance correlations
-    assert abs(np.linalg.norm(vector) / norm - 1) < 0.2
+    texts = [prose(5, 30), "", "x", "Ñandú 12 über, über!", prose(6, 400), None, prose(7, 3)]
+    found, n = profiles.cosines(pa.array([t or "" for t in texts]))
+    for own, count, text in zip(found, n, texts, strict=True):
+        vector = np.zeros(langid.DIMENSIONS)
+        runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        for word in runs:
+            points = [langid.EDGE, *map(ord, word), langid.EDGE]
+            for x, y, z in zip(points, points[1:], points[2:], strict=False):
+                vector += np.roll(langid.letter_vector(x), 2).astype(int) * np.roll(langid.letter_vector(y), 1) * langid.letter_vector(z)
+        assert count == sum(map(len, runs))
+        assert np.allclose(own, profiles.matrix @ vector / max(np.linalg.norm(vector), 1e-9), atol=1e-5)
 
 
 def grams(text):
