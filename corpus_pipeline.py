@@ -9,16 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm import jaccard, langid, packing, suffixes, toxicity
 from lintel.llm.batches import fresh, written
 
-#: A language is identified if its share of the softmax is at least this.
-LEAST_SCORE = 0.3
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those scored 0.5 or more; learnt from all labels."""
     model = toxicity.Toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,21 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those in no learnt language: no letter, or no language that stands out."""
+    """docs without those in no learnt language: no letter, or like none more than letters are by chance."""
     if docs.filter("lang is not null").isEmpty():
         return docs  # nothing to learn from, so nothing to reject by
-    names = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = langid.identified(docs, docs, extra=tuple(docs.columns), names=names)
-    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).select(docs.columns)
+    names = fresh(docs, "lang_pred"), fresh(docs, "score"), fresh(docs, "known")
+    return langid.identified(docs, docs, extra=tuple(docs.columns), names=names).filter(F.col(names[2])).select(docs.columns)
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates, once; rows without an id stay."""
-    joined = jaccard.joined(docs)
-    kept = joined.filter("doc_id = component_id").select("doc_id").distinct()
-    n, order = fresh(docs, "n"), Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    once = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1)
-    return once.select(docs.columns).union(docs.filter("doc_id is null"))
+    """The row with the least id of each group of near-duplicates, also among rows that share an id; rows without an id stay."""
+    key = fresh(docs, "own_row")
+    rows, _ = suffixes.placed(docs, key)
+    kept = jaccard.joined(rows.filter(F.col(key).isNotNull()), key=key).filter(F.col(key) == F.col("component_id")).select(key)
+    return rows.join(kept, key, "left_semi").select(docs.columns).union(rows.filter(F.col(key).isNull()).select(docs.columns))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
