@@ -3,8 +3,8 @@ import pytest
 from corpus_pipeline import STAGES
 
 from ..conftest import DATA
-from .conftest import prose
-from .test_dedup import brute_join
+from .conftest import FIELDS, prose
+from .test_dedup import brute_join, brute_repeats
 
 BY_NAME = dict(STAGES)
 
@@ -41,6 +41,35 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
 
 
+def test_rows_that_share_an_id_go_only_as_near_duplicates(spark):
+    rows = [(1, prose(1, 50), "en", "s", 1), (1, prose(2, 50), "en", "s", 1), (2, prose(2, 50), "en", "s", 1), (None, prose(2, 50), "en", "s", 1)]
+    out = BY_NAME["jaccard_join"](spark, spark.createDataFrame(rows, FIELDS), DATA)
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, prose(2, 50)), (1, prose(1, 50)), (1, prose(2, 50))])
+
+
+PLANTED = ["xqzj vkpw zzqx jjkw qxv wvk", "talo kissa koira hyvää huomenta mitä kuuluu tänään ystäväni", "Привет как дела сегодня хорошо", "東京都は日本の首都です。東京都は日本の首都です", "12345 !!! 67890", ""]
+
+
+def test_documents_in_no_learnt_language_go_and_others_stay(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    strange = spark.createDataFrame([(10**7 + i, t * 20, None, "planted", len(t)) for i, t in enumerate(PLANTED)], FIELDS)
+    kept = {r.doc_id for r in BY_NAME["language_id"](spark, docs.union(strange), folder).select("doc_id").collect()}
+    assert not kept & {10**7 + i for i in range(len(PLANTED))}
+    assert len(kept) >= 0.995 * docs.count()
+
+
+def test_repeats_go_as_by_brute_force(spark, docs):
+    own = docs.limit(120)
+    rows = sorted((r.doc_id, r.text) for r in own.collect())
+    cut = {d: n for d, (_, n, _, _) in brute_repeats(rows, 100).items()}
+    for r in BY_NAME["suffix_dedup"](spark, own, DATA).collect():
+        before = (dict(rows)[r.doc_id] or "").encode()
+        # characters that are covered in part stay
+        assert 0 <= len((r.text or "").encode()) - (len(before) - cut[r.doc_id]) <= 6 * (1 + cut[r.doc_id] // 100)
+    assert sum(cut.values()) > 0
+
+
 def test_toxic_documents_go_and_others_stay(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
