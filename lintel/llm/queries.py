@@ -17,12 +17,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(read(spark, sf_dir, "documents"))
 
 
-def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.digests(read(spark, sf_dir, "documents"))
-
-
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.digests(read(spark, sf_dir, "documents"), "line", 1)
+    return units.digests(read(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,16 +59,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-UNIT_DEDUP = rf"""
-with cut as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*(?:[.!?]+|\n|$)') as units from documents),
-flat as (select doc_id, unnest(units) as unit, generate_subscripts(units, 1) as i from cut),
-placed as (select *, coalesce(sum(length(unit)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s, trim(regexp_replace({LOWERED.format("unit")}, '[ \t\n\v\f\r]+', ' ', 'g'), ' ') as plain from flat),
-ranked as (select *, s + length(unit) as e, length(plain) - length(replace(plain, ' ', '')) + 1 >= 8 and row_number() over (partition by plain order by doc_id, s) > 1 as again from placed)
-select doc_id, count(*) filter (again) as n_removed, coalesce(sum(e - s) filter (again), 0)::bigint as n_chars_removed,
-  coalesce(string_agg(s || '-' || e, ',' order by s) filter (again), '') as removed, md5(coalesce(string_agg(unit, '' order by s) filter (not again), '')) as kept_md5
-from ranked group by doc_id
-"""
-
 LINE_DEDUP = rf"""
 with cut as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]*(?:\n|$)') as units from documents),
 flat as (select doc_id, unnest(units) as unit, generate_subscripts(units, 1) as i from cut),
@@ -106,4 +92,4 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id from documents d j
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express and run over whole tables."""
-    return {"op2_unit_dedup": UNIT_DEDUP, "op2_line_dedup": LINE_DEDUP, "op4_vector_dedup": VECTOR_DEDUP, "op7_jaccard_join": JACCARD_JOIN}
+    return {"op2_line_dedup": LINE_DEDUP, "op4_vector_dedup": VECTOR_DEDUP, "op7_jaccard_join": JACCARD_JOIN}

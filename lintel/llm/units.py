@@ -1,9 +1,8 @@
 """Removal of repeated units of text by their digests.
 
-A unit is a line or, the default, a sentence within a line: a run of characters up to and with the
-marks that end it. Units are normalised (A-Z lowered, ASCII white space runs made one space,
-trimmed). Of sentences those of at least MIN_WORDS words count by default, so that headings and stock
-phrases stay; with min_words = 1 all but blank units do, whatever their script. Of the
+A unit is a line or, on request, a paragraph (what blank lines part) or a sentence within a line: a run of
+characters up to and with the marks that end it. Units are normalised (A-Z lowered, ASCII white space runs made one space,
+trimmed). All but blank units count, whatever their length and script; min_words lets only longer ones count. Of the
 units with equal digests the one with the least (doc_id, start) stays, all others go; starts and
 ends of what goes are offsets into the original text, in characters.
 
@@ -27,8 +26,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.batches import checkpointed, map_arrow, slices
 
-MIN_WORDS = 8
-PATTERNS = {"sentence": r"[^.!?\n]*(?:[.!?]+|\n|$)", "line": r"[^\n]*(?:\n|$)"}
+PATTERNS = {"line": r"[^\n]*(?:\n|$)", "paragraph": r"(?:[^\n]|\n(?![ \t]*\n))*(?:\n[ \t]*\n|$)", "sentence": r"[^.!?\n]*(?:[.!?]+|\n|$)"}
 SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -68,7 +66,7 @@ def unit_rows(documents: DataFrame, kind: str, min_words: int) -> DataFrame:
     return map_arrow(documents, make, "d1 bigint, d2 bigint, doc_id bigint, start int, end int")
 
 
-def repeats(documents: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(documents: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """doc_id, start, end of each unit that goes. documents: doc_id, text."""
 
     def make():
@@ -94,14 +92,14 @@ def repeats(documents: DataFrame, kind: str = "sentence", min_words: int = MIN_W
     return map_arrow(dealt, make, "doc_id bigint, start int, end int")
 
 
-def with_repeats(documents: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def with_repeats(documents: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """All columns of documents and own_spans, the sorted starts and ends of what goes, null where nothing does."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     found = checkpointed(repeats(own, kind, min_words)).groupBy(F.col("doc_id").alias("own_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("own_spans"))
     return documents.join(found, F.col("doc_id") == F.col("own_id"), "left").drop("own_id")
 
 
-def digests(documents: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def digests(documents: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """doc_id, n_removed, n_chars_removed, removed (start-end of each unit, commas between), kept_md5 of every row."""
 
     def make():

@@ -259,7 +259,7 @@ def test_shortened_keeps_whole_characters(spark):
 def test_units_keep_the_first(spark, hard_docs, no_docs):
     long = "one two three four five six seven eight nine."
     rows = [(1, f"Start here. {long}\nshort line\n"), (2, f"{long.upper()} tail"), (0, f"x y\n  One  two three four five six seven eight nine.\n{long}"), (3, "short line\nshort line")]
-    found = {r.doc_id: r for r in units.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = {r.doc_id: r for r in units.digests(spark.createDataFrame(rows, "doc_id bigint, text string"), "sentence", 8).collect()}
     text = dict(rows)
     assert {d: r.n_removed for d, r in found.items()} == {0: 1, 1: 1, 2: 1, 3: 0}
     a, b = map(int, found[1].removed.split("-"))
@@ -269,6 +269,12 @@ def test_units_keep_the_first(spark, hard_docs, no_docs):
     assert lines[3] == 2
 
 
+def test_paragraphs_are_units(spark):
+    rows = [(1, "one two\nthree\n\nother"), (2, "new\n \nOne  two\nthree\n\n\n\nother\n"), (3, None)]
+    found = {r.doc_id: (r.n_removed, r.n_chars_removed) for r in units.digests(spark.createDataFrame(rows, "doc_id bigint, text string"), "paragraph").collect()}
+    assert found == {1: (0, 0), 2: (2, len("One  two\nthree\n\n") + len("other\n")), 3: (0, 0)}
+
+
 def test_lines_of_any_length_and_script_are_units(spark, tmp_path):
     rows = [(1, "a b\n\n \t\n東京都は日本の首都です\nShort one. Short two.\n"), (2, "東京都は日本の首都です\nA  b\n\n \nnew"), (3, "x\nx\nshort one. short two."), (4, None), (5, ""), (6, "\n\n\n")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
