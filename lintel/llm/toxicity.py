@@ -98,11 +98,13 @@ def shared_backoff(grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ratios:
-    """Log-likelihood ratios of observed n-grams and, where only the context was observed, of contexts."""
+    """Log-likelihood ratios of the observed n-grams, ascending, and, by each of them, of its context where only that was observed.
+
+    In single precision, as every task holds them.
+    """
 
     grams: np.ndarray
     of_gram: np.ndarray
-    contexts: np.ndarray
     of_context: np.ndarray
 
     @classmethod
@@ -112,12 +114,13 @@ class Ratios:
         grams, n = counts["gram"].to_numpy(), {k: counts[k].to_numpy().astype(float) for k in ("n1", "n0")}
         backoff = shared_backoff(grams)
         contexts, of = np.unique(grams >> BITS, return_inverse=True)
-        logs, weights = {}, {}
-        for k, own in n.items():
-            total, types = np.bincount(of, own, len(contexts)), np.bincount(of, own > 0, len(contexts))
-            weights[k] = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
-            logs[k] = np.log(np.maximum(own - DISCOUNT, 0) / np.maximum(total[of], 1) + weights[k][of] * backoff)
-        return cls(grams, logs["n1"] - logs["n0"], contexts, np.log(weights["n1"]) - np.log(weights["n0"]))
+        of_gram, of_context = np.zeros(len(grams)), np.zeros(len(contexts))
+        for k, sign in (("n1", 1), ("n0", -1)):
+            total, types = np.bincount(of, n[k], len(contexts)), np.bincount(of, n[k] > 0, len(contexts))
+            weight = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
+            of_gram += sign * np.log(np.maximum(n[k] - DISCOUNT, 0) / np.maximum(total[of], 1) + weight[of] * backoff)
+            of_context += sign * np.log(weight)
+        return cls(grams, of_gram.astype(np.float32), of_context.astype(np.float32)[of])
 
     def of_words(self, vocabulary: pa.Array) -> np.ndarray:
         at, keys = spelt(vocabulary)
@@ -125,8 +128,9 @@ class Ratios:
             return np.zeros(len(vocabulary))
         keys, found = np.unique(keys, return_inverse=True)
         i = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
-        j = np.minimum(np.searchsorted(self.contexts, keys >> BITS), len(self.contexts) - 1)
-        ratio = np.where(self.grams[i] == keys, self.of_gram[i], np.where(self.contexts[j] == keys >> BITS, self.of_context[j], 0.0))
+        # the first n-gram of a context
+        j = np.minimum(np.searchsorted(self.grams, keys >> BITS << BITS), len(self.grams) - 1)
+        ratio = np.where(self.grams[i] == keys, self.of_gram[i], np.where(self.grams[j] >> BITS == keys >> BITS, self.of_context[j], 0.0)).astype(float)
         return sums(ratio[found], at)
 
 
