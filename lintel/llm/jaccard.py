@@ -259,6 +259,21 @@ def forest_of(a: np.ndarray, b: np.ndarray) -> dict:
     return {"a": node[node != to], "b": to[node != to]}
 
 
+def gathered(parts: Iterator[dict], most: int = 400_000) -> Iterator[dict]:
+    """Forests of ties or links as one forest a task, or a few where it has more than most nodes; a group's ties come once, not once a signature."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part["a"])
+        if size > most:
+            held = [forest_of(*(np.concatenate([p[c] for p in held]) for c in "ab"))]
+            if len(held[0]["a"]) > most // 2:
+                yield held.pop()
+            size = sum(len(p["a"]) for p in held)
+    if held:
+        yield forest_of(*(np.concatenate([p[c] for p in held]) for c in "ab"))
+
+
 def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: nodes of one signature that could link; sketched: node, n, sketch."""
     rows = released(checkpointed(shared(pairs).distinct()))
@@ -295,7 +310,7 @@ def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame
 
         return run
 
-    found = grouped(small, ["sig"], ["node"], make, "a bigint, b bigint")
+    found = grouped(small, ["sig"], ["node"], lambda: lambda tables: gathered(make()(tables)), "a bigint, b bigint")
     return found if large.isEmpty() else found.union(large_ties(large, sketched, num, den))
 
 
@@ -375,7 +390,7 @@ def large_ties(large: DataFrame, sketched: DataFrame, num: int, den: int) -> Dat
 
         return run
 
-    return out.union(grouped(every.union(those), ["sig", "i", "j"], ["node"], make_left, "a bigint, b bigint"))
+    return out.union(grouped(every.union(those), ["sig", "i", "j"], ["node"], lambda: lambda tables: gathered(make_left()(tables)), "a bigint, b bigint"))
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -423,7 +438,7 @@ def compared_tiles(tiles: DataFrame, keys: list[str], num: int, den: int) -> Dat
 
         return run
 
-    return grouped(tiles, keys, ["node"], make, "a bigint, b bigint")
+    return grouped(tiles, keys, ["node"], lambda: lambda tables: gathered(make()(tables)), "a bigint, b bigint")
 
 
 def compared(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
