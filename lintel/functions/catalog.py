@@ -115,6 +115,54 @@ cidr_contains       string, string -> bool
 cidr_match          string, list(string) -> bool
 ip_to_int           string -> int
 int_to_ip           int -> string
+is_true             bool? -> bool                               consume
+is_not_true         bool? -> bool                               consume
+is_false            bool? -> bool                               consume
+is_not_false        bool? -> bool                               consume
+nullif              T:Comparable?, T? -> T                      consume
+least_skip_null     T:Ordered?, T? -> T                         consume
+greatest_skip_null  T:Ordered?, T? -> T                         consume
+factorial           int -> int                                  error
+sin                 double -> double
+cos                 double -> double
+tan                 double -> double
+asin                double -> double
+acos                double -> double
+atan                double -> double
+atan2               double, double -> double
+sinh                double -> double
+cosh                double -> double
+tanh                double -> double
+asinh               double -> double
+acosh               double -> double
+atanh               double -> double
+radians             double -> double
+degrees             double -> double
+bitwise_not         T:Signed -> T
+bitwise_and         T:Signed, T -> T                            swap
+bitwise_or          T:Signed, T -> T                            swap
+bitwise_xor         T:Signed, T -> T                            swap
+shift_left          int, int -> int
+shift_right         int, int -> int
+shift_right_unsigned int, int -> int
+log2                double -> double
+logb                double, double -> double
+log1p               double -> double
+like                string, string -> bool
+repeat              string, int -> string
+reverse             string -> string
+replace_slice       string, int, int, string -> string
+swapcase            string -> string
+capitalize          string -> string
+title               string -> string
+initcap             string -> string
+bit_length          string -> int
+lpad                string, int; string -> string
+rpad                string, int; string -> string
+center              string, int; string -> string
+extract_boolean     timestamp, string -> bool
+strptime_date       string, string -> date                      error
+strptime_time       string, string -> duration                  error
 """
 
 # Quantifiers and comprehensions.

@@ -124,27 +124,84 @@ def regex_replace(kids, cols):
     return F.regexp_replace(cols[0], pattern(kids[1], cols[1]), to)
 
 
+# The modes of URLs, and schemes that always have a host.
 MODES = ("auto", "require_scheme", "require_authority")
+SPECIAL = "(?i)^(https?|ftp|wss?|file):"
 
 
-def url_ok(url: Column, kids, cols, at: int) -> Column:
-    """Whether a URL satisfies the mode, which is auto where it is left out or null."""
-    scheme, host = F.try_parse_url(url, F.lit("PROTOCOL")).isNotNull(), F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")) != ""
-    if len(cols) <= at:
-        return F.lit(True)
-    mode = F.coalesce(cols[at], F.lit("auto"))
-    if isinstance(kids[at].node, Lit):
-        return {"auto": F.lit(True), None: F.lit(True), "require_scheme": scheme, "require_authority": scheme & host}.get(kids[at].node.value, F.lit(False))
-    return F.when(mode == "auto", F.lit(True)).when(mode == "require_scheme", scheme).when(mode == "require_authority", scheme & host).otherwise(F.lit(False))
+@dataclass
+class Url:
+    """Parts of a URL or reference, taken apart leniently as browsers do; path and query are null where it is none."""
+
+    scheme: Column
+    host: Column
+    path: Column
+    query: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Url:
+        text = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+        body = F.regexp_extract(text, "^[^#]*", 0)
+        before, query = F.regexp_extract(body, r"^[^?]*", 0), F.regexp_extract(body, r"^[^?]*\?(.*)$", 1)
+        scheme = F.regexp_extract(before, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+        special = before.rlike(SPECIAL)
+        before = F.when(special | (scheme == ""), F.translate(before, "\\", "/")).otherwise(before)
+        rest = F.when(scheme == "", before).otherwise(F.substr(before, F.length(scheme) + 2))
+        # schemes with a host have one after any number of slashes, but for files
+        web = special & (F.lower(scheme) != "file")
+        rest = F.when(web, F.concat(F.lit("//"), F.regexp_replace(rest, "^/+", ""))).otherwise(rest)
+        authority = F.regexp_extract(rest, "^//([^/]*)", 1)
+        host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "")
+        path = F.when(rest.startswith("//"), F.substr(rest, F.length(authority) + 3)).otherwise(rest)
+        bad = host.rlike(r"[\x00-\x20#<>?^|%]") | (host.contains(":") & ~host.rlike(r"^\[[0-9A-Fa-f:.]+\]$")) | (web & (host == ""))
+        # other schemes without slashes have no path of segments
+        opaque = (scheme != "") & ~special & ~rest.startswith("/")
+        path = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+        good = ~bad & ((scheme != "") | (body != ""))
+        return cls(scheme, host, F.when(good & ~opaque, path), F.when(good & body.contains("?"), query))
+
+    def meets(self, kids, cols, at: int) -> Column:
+        """Whether it satisfies the mode, which is auto where it is left out or null."""
+        if len(cols) <= at:
+            return F.lit(True)
+        has, mode = self.scheme != "", F.coalesce(cols[at], F.lit("auto"))
+        full = has & (self.host != "")
+        if isinstance(kids[at].node, Lit):
+            return {"auto": F.lit(True), None: F.lit(True), "require_scheme": has, "require_authority": full}.get(kids[at].node.value, F.lit(False))
+        return F.when(mode == "auto", F.lit(True)).when(mode == "require_scheme", has).when(mode == "require_authority", full).otherwise(F.lit(False))
+
+
+ODD = r'[^!$%&\'()*+,\-./0-9:;=@A-Z\[\\\]_a-z|~]'
+
+
+def encoded(segment: Column) -> Column:
+    """A path's segment with the characters percent-encoded that may not stand in one."""
+    each = F.transform(F.split(segment, ""), lambda c: F.when(c.rlike(ODD), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(segment.rlike(ODD), F.array_join(each, "")).otherwise(segment)
+
+
+def segments(path: Column) -> Column:
+    """Segments of a path, those of one and two dots worked off."""
+    parts, dot, up = F.split(F.substr(path, F.lit(2)), "/", -1), "(?i)^(\\.|%2e)$", "(?i)^(\\.|%2e){2}$"
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p.rlike(dot), done).when(p.rlike(up), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    walked = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}$"), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), walked).otherwise(parts)
 
 
 def url_path_segment(kids, cols):
-    path = F.try_parse_url(cols[0], F.lit("PATH"))
-    return F.when(url_ok(cols[0], kids, cols, 2) & path.startswith("/"), F.get(F.split(F.substr(path, F.lit(2)), "/"), cols[1].cast("int")))
+    url = Url.of(cols[0])
+    return F.when(url.meets(kids, cols, 2) & url.path.isNotNull(), encoded(F.get(segments(url.path), cols[1].cast("int"))))
+
+
+def decoded(text: Column) -> Column:
+    """Form-decoded text; what is no escape stays."""
+    return F.when(text.rlike("[%+]"), F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(text)
 
 
 def url_query_param(kids, cols):
-    return F.when(url_ok(cols[0], kids, cols, 2), F.try_url_decode(F.try_parse_url(cols[0], F.lit("QUERY"), F.concat(F.lit(r"\Q"), cols[1], F.lit(r"\E")) if not isinstance(kids[1].node, Lit) else F.lit(re.escape(kids[1].node.value)))))
+    url = Url.of(cols[0])
+    found = F.get(F.filter(F.split(url.query, "&"), lambda p: (p != "") & (decoded(F.substring_index(p, "=", 1)) == cols[1])), 0)
+    return F.when(url.meets(kids, cols, 2), decoded(F.regexp_extract(found, "(?s)^[^=]*=(.*)$", 1)))
 
 
 def size(kids, cols):
@@ -285,21 +342,8 @@ def member(kids, cols):
 
 def cidr_match(kids, cols):
     if isinstance(kids[1].node, Make) and all(isinstance(p, Lit) for p in kids[1].node.parts):
-        tests = [net.in_block(cols[0], p.value) for p in kids[1].node.parts]
-        out = F.lit(False)
-        for t in tests:
-            out = out | sure(t)
-        return F.when(cols[0].isNotNull(), out)
-    v4 = net.v4_number(cols[0])
-
-    def hit(c: Column) -> Column:
-        head, bits = F.split(c, "/")[0], F.try_element_at(F.split(c, "/"), F.lit(2)).try_cast("int")
-        octets = F.concat(F.split(head, r"\."), F.array_repeat(F.lit("0"), 3))
-        base = net.v4_number(F.concat_ws(".", F.slice(octets, 1, 4)))
-        rest = F.pow(F.lit(2.0), 32 - bits).cast("long")
-        return sure(bits.between(0, 32) & (v4 - F.pmod(v4, rest) == base - F.pmod(base, rest)))
-
-    return F.when(cols[0].isNotNull() & cols[1].isNotNull(), F.exists(cols[1], hit))
+        return net.in_any(cols[0], [p.value for p in kids[1].node.parts])
+    return F.when(cols[0].isNotNull() & cols[1].isNotNull(), F.exists(cols[1], lambda c: sure(net.in_block_of(cols[0], c))))
 
 
 def json_extract_string(kids, cols):
@@ -313,6 +357,34 @@ def scalar_json(text: Column, path: str) -> Column:
     return F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID"), F.get_json_object(text, path))
 
 
+def padded(side: str):
+    return lambda kids, cols: F.call_function(side, cols[0], cols[1].cast("int"), cols[2] if len(cols) > 2 else F.lit(" "))
+
+
+def centred(kids, cols):
+    """As many on both sides, one more behind where it does not come out even; text that is wide enough stays."""
+    s, wide, by = cols[0], cols[1].cast("int"), cols[2] if len(cols) > 2 else F.lit(" ")
+    ahead = F.call_function("lpad", s, F.length(s) + F.floor((wide - F.length(s)) / 2).cast("int"), by)
+    return F.when(F.length(s) >= wide, s).otherwise(F.call_function("rpad", ahead, wide, by))
+
+
+def extract_boolean(kids, cols):
+    part = constant(kids[1], "the part of a timestamp")
+    if part.lower() != "is_leap_year":
+        raise LowerError(f"no boolean part: {part}")
+    year = F.year(cols[0])
+    return (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+
+
+def time_of_day(kids, cols):
+    """The time that a text states, as what has passed since midnight."""
+    moment = F.try_to_timestamp(*cols).cast("timestamp_ntz")
+    return moment - F.date_trunc("day", moment).cast("timestamp_ntz")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def stringified(kids, cols):
     if kids[0].type.kind in ("struct", "array", "map", "any"):
         return F.to_json(cols[0])
@@ -402,6 +474,40 @@ BY_OP: dict[str, Callable] = {
     "json_extract_string": json_extract_string,
     "cidr_contains": lambda kids, cols: net.in_block(cols[0], kids[1].node.value) if isinstance(kids[1].node, Lit) else net.in_block_of(*cols),
     "cidr_match": cidr_match,
+    "is_true": PLAIN(lambda a: a.eqNullSafe(True)),
+    "is_not_true": PLAIN(lambda a: ~a.eqNullSafe(True)),
+    "is_false": PLAIN(lambda a: a.eqNullSafe(False)),
+    "is_not_false": PLAIN(lambda a: ~a.eqNullSafe(False)),
+    "nullif": lambda kids, cols: F.when(~sure(compared("equal")(kids, cols)), cols[0]),
+    "least_skip_null": PLAIN(F.least),
+    "greatest_skip_null": PLAIN(F.greatest),
+    "factorial": PLAIN(F.factorial),
+    **{op: PLAIN(getattr(F, op)) for op in ("sin", "cos", "tan", "asin", "acos", "atan", "atan2", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh", "radians", "degrees")},
+    "bitwise_not": PLAIN(F.bitwise_not),
+    "bitwise_and": PLAIN(lambda a, b: a.bitwiseAND(b)),
+    "bitwise_or": PLAIN(lambda a, b: a.bitwiseOR(b)),
+    "bitwise_xor": PLAIN(lambda a, b: a.bitwiseXOR(b)),
+    "shift_left": PLAIN(lambda a, n: F.call_function("shiftleft", a, n.cast("int"))),
+    "shift_right": PLAIN(lambda a, n: F.call_function("shiftright", a, n.cast("int"))),
+    "shift_right_unsigned": PLAIN(lambda a, n: F.call_function("shiftrightunsigned", a, n.cast("int"))),
+    "log2": logged(F.log2),
+    "logb": lambda kids, cols: logged(F.ln)(kids, cols) / logged(F.ln)(kids[1:], cols[1:]),
+    "log1p": lambda kids, cols: F.when(cols[0] > -1, F.log1p(cols[0])).when(cols[0] == -1, F.lit(float("-inf"))).when(cols[0].isNotNull(), F.lit(float("nan"))),
+    "like": PLAIN(lambda s, like: F.like(s, like)),
+    "repeat": PLAIN(lambda s, n: F.repeat(s, n.cast("int"))),
+    "reverse": PLAIN(F.reverse),
+    "replace_slice": PLAIN(lambda s, at, n, by: F.overlay(s, by, at.cast("int"), n.cast("int"))),
+    "swapcase": PLAIN(lambda s: F.translate(s, LETTERS + LETTERS.upper(), LETTERS.upper() + LETTERS)),
+    "capitalize": PLAIN(lambda s: F.concat(F.upper(F.left(s, F.lit(1))), F.substr(s, F.lit(2)))),
+    "title": PLAIN(F.initcap),
+    "initcap": PLAIN(F.initcap),
+    "bit_length": PLAIN(lambda s: F.bit_length(s).cast("long")),
+    "lpad": padded("lpad"),
+    "rpad": padded("rpad"),
+    "center": centred,
+    "extract_boolean": extract_boolean,
+    "strptime_date": PLAIN(lambda s, form: F.try_to_timestamp(s, form).cast("date")),
+    "strptime_time": time_of_day,
     "ip_to_int": PLAIN(net.v4_number),
     "int_to_ip": PLAIN(net.number_v4),
 }

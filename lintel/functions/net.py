@@ -1,17 +1,15 @@
-"""Addresses and blocks: IPv4 as expressions over big integers, IPv6 through one vectorised function."""
+"""Addresses and blocks as expressions over big integers: IPv4 as one, IPv6 as two halves, with IPv4 as its mapped part."""
 
 from __future__ import annotations
 
 import ipaddress
 import re
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 OCTETS = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
-V4_IN_V6 = ipaddress.ip_network("::ffff:0:0/96")
+MAPPED = 0xFFFF << 32
 
 
 def block(text: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network | None:
@@ -30,58 +28,109 @@ def block(text: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network | None:
         return None
 
 
-def contains(address: str | None, net) -> bool | None:
-    """Whether an address is in a block; v4 addresses within v6 count as either. None for what is no address."""
-    try:
-        own = ipaddress.ip_address(address if isinstance(address, str) else "")
-    except ValueError:
-        return None
-    if own.version == net.version:
-        return own in net
-    if own.version == 6:
-        return own.ipv4_mapped is not None and own.ipv4_mapped in net
-    return ipaddress.ip_address(f"::ffff:{own}") in net
-
-
 def v4_number(address: Column) -> Column:
     """The number of an IPv4 address; null for anything else."""
-    total = F.aggregate(F.split(address, r"\."), F.lit(0).cast("long"), lambda sum_, part: sum_ * 256 + part.try_cast("long"))
+    octets = F.split(address, r"\.")
+    total = sum((F.get(octets, i).try_cast("long") * (1 << 8 * (3 - i)) for i in range(1, 4)), F.get(octets, 0).try_cast("long") * (1 << 24))
     return F.when(address.rlike(OCTETS), total)
 
 
+def halves(address: Column) -> Column:
+    """The two halves of an IPv6 address, or of the one that an IPv4 address maps to, as hi and lo; null for anything else."""
+    tail = F.regexp_extract(address, r":([0-9.]+)$", 1)
+    last = v4_number(tail)
+    text = F.when(address.contains("."), F.concat(F.left(address, F.length(address) - F.length(tail)), F.lower(F.hex(F.shiftright(last, 16))), F.lit(":"), F.lower(F.hex(last.bitwiseAND(0xFFFF))))).otherwise(address)
+    sides = F.split(text, "::", -1)
+    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+    left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
+    zeros = 8 - F.size(left) - F.size(right)
+    whole = F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (zeros >= 1), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right))
+    good = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    number = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, g: F.shiftleft(n, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
+    own = F.when(address.contains(":") & good, F.struct(number(F.slice(whole, 1, 4)).alias("hi"), number(F.slice(whole, 5, 4)).alias("lo")))
+    v4 = v4_number(address)
+    return F.when(v4.isNotNull(), F.struct(F.lit(0).cast("long").alias("hi"), v4.bitwiseOR(F.lit(MAPPED)).alias("lo"))).otherwise(own)
+
+
 def number_v4(number: Column) -> Column:
     octets = [F.shiftright(number, shift).bitwiseAND(255).cast("string") for shift in (24, 16, 8, 0)]
     return F.when(number.between(0, 2**32 - 1), F.concat_ws(".", *octets))
 
 
+def signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def within(number: Column, net) -> Column:
+    """Whether halves are in a block, which for IPv4 is that of its mapped addresses."""
+    size, base = (net.prefixlen + 96, MAPPED | int(net.network_address)) if net.version == 4 else (net.prefixlen, int(net.network_address))
+    mask = ((1 << 128) - 1) ^ ((1 << 128 - size) - 1)
+    out = F.lit(True)
+    for name, shift in (("hi", 64), ("lo", 0)):
+        own, of = (signed(x >> shift & ((1 << 64) - 1)) for x in (mask, base))
+        out = out & (number.getField(name).bitwiseAND(F.lit(own).cast("long")) == F.lit(of).cast("long"))
+    return out
+
+
 def in_block(address: Column, text: str | None) -> Column:
-    """A literal block: a mask for IPv4 addresses, and the vectorised function only for rows that hold a colon."""
+    """Whether an address is in a literal block; null for what is no address or block. IPv4 rows need one mask."""
     net = block(text) if text is not None else None
     if net is None:
         return F.lit(None).cast("boolean")
+    six = within(halves(address), net)
+    if net.version == 6:
+        return six
+    return F.when(address.contains(":"), six).otherwise(v4_number(address).bitwiseAND(F.lit(int(net.netmask)).cast("long")) == int(net.network_address))
 
-    @F.pandas_udf(BooleanType())
-    def other(values: pd.Series) -> pd.Series:
-        return pd.Series([contains(v, net) for v in values], dtype=object)
 
-    if net.version == 6 and not net.overlaps(V4_IN_V6):
-        return F.when(v4_number(address).isNotNull(), F.lit(False)).when(address.contains(":"), other(F.when(address.contains(":"), address)))
-    if net.version == 6:
-        return other(address)
-    mask = int(net.netmask)
-    return F.when(address.contains(":"), other(F.when(address.contains(":"), address))).otherwise(v4_number(address).bitwiseAND(F.lit(mask).cast("long")) == int(net.network_address))
+def in_any(address: Column, texts: list[str | None]) -> Column:
+    """Whether an address is in one of literal blocks: it is read once, and blocks that touch are one."""
+    nets = [n for n in (block(t) for t in texts if t is not None) if n is not None]
+    nets = [n for version in (4, 6) for n in ipaddress.collapse_addresses([x for x in nets if x.version == version])]
+    hit = F.lit(False)
 
+    def any_of(number: Column) -> Column:
+        out = hit
+        for net in nets:
+            out = out | within(number, net)
+        return F.coalesce(out, hit)
 
-@F.pandas_udf(BooleanType())
-def in_block_of(address: pd.Series, text: pd.Series) -> pd.Series:
-    """Blocks that are not literal."""
-    known: dict[str, object] = {}
+    return F.when(address.isNotNull(), F.get(F.transform(F.array(halves(address)), any_of), 0))
 
-    def one(a, b):
-        if not isinstance(a, str) or not isinstance(b, str):
-            return None
-        if b not in known:
-            known[b] = block(b)
-        return None if known[b] is None else contains(a, known[b])
 
-    return pd.Series([one(a, b) for a, b in zip(address, text, strict=True)], dtype=object)
+def block_halves(text: Column) -> tuple[Column, Column]:
+    """(halves of a block's address, its bits among 128) of text such as 10/8 or fe80::/10; null for what is none."""
+    head, bits = F.regexp_extract(text, r"^\s*([^/\s]+)/\d+\s*$", 1), F.regexp_extract(text, r"^\s*[^/\s]+/(\d+)\s*$", 1).try_cast("int")
+    v4 = ~head.contains(":")
+    dotted = F.concat(head, F.array_join(F.array_repeat(F.lit(".0"), F.greatest(4 - F.size(F.split(head, r"\.")), F.lit(0))), ""))
+    good = F.when(v4, bits <= 32).otherwise(bits <= 128)
+    return halves(F.when(v4, dotted).otherwise(head)), F.when(good, F.when(v4, bits + 96).otherwise(bits))
+
+
+def masked(number: Column, bits: Column) -> Column:
+    """Halves with all but the leading bits cleared."""
+    ones = F.lit(-1).cast("long")
+    mask = lambda n: F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, ones).otherwise(F.call_function("shiftleft", ones, (64 - n).cast("int")))
+    return F.when(bits.isNotNull(), F.struct(number.getField("hi").bitwiseAND(mask(bits)).alias("hi"), number.getField("lo").bitwiseAND(mask(bits - 64)).alias("lo")))
+
+
+def in_block_of(address: Column, text: Column) -> Column:
+    """Blocks that are not literal."""
+    base, bits = block_halves(text)
+    return masked(halves(address), bits) == masked(base, bits)
+
+
+def in_listed(df: DataFrame, address: str, blocks: DataFrame, block_column: str, name: str = "listed") -> DataFrame:
+    """df and, under name, whether the address is in one of any number of blocks: null for what is no address.
+
+    A join on equal leading bits, once for each size of block that occurs, of which there are 129
+    at most; a small list is broadcast by Spark on its measured size.
+    """
+    base, bits = block_halves(F.col(block_column))
+    known = blocks.select(masked(base, bits).alias("_base"), bits.alias("_bits")).filter("_base is not null").distinct()
+    sizes = sorted(r[0] for r in known.select("_bits").distinct().collect())
+    own = df.select(F.col(address).alias("_address")).distinct().withColumn("_number", halves(F.col("_address"))).filter("_number is not null")
+    each = own.select("_address", "_number", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("_bits"))
+    hits = each.select("_address", "_bits", masked(F.col("_number"), F.col("_bits")).alias("_base")).join(known, ["_bits", "_base"], "left_semi").select("_address").distinct().withColumn("_hit", F.lit(True))
+    found = df.join(hits, df[address] == hits["_address"], "left")
+    return found.select(*(df[c] for c in df.columns), F.when(F.col("_hit"), True).when(halves(df[address]).isNotNull(), False).alias(name))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from typing import Any
+from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lintel.types import Field, TypeBook, ValueType, to_spark
 
@@ -51,23 +52,22 @@ class Function:
             raise UdfError(f"{':'.join(self.ref)} is declared but has no implementation")
         body, optional, arity, kinds = self.body, [p.nullable for p in self.params], len(self.params), [PYTHON.get(p.type.kind) for p in self.params]
         returns = relaxed(to_spark(self.result))
-        names = [f.name for f in self.result.fields]
-
-        def run(rows: pd.Series) -> pd.Series:
-            def one(values: tuple) -> Any:
-                given = [None if v is None or v is pd.NaT or (kind and not isinstance(v, kind)) else v for v, kind in zip(values, kinds, strict=True)]
-                if any(v is None and not o for v, o in zip(given, optional, strict=True)):
-                    return None
-                return body(*given)
-
-            return pd.Series([one(r) for r in rows], dtype=object)
-
-        @F.udf(returns, useArrow=True)
-        def call(*values):
-            out = run(pd.Series([values] if arity else [()]))[0]
-            return tuple(out.get(n) for n in names) if isinstance(out, dict) else out
-
-        return (call if self.language != "opaque" else call.asNondeterministic())(*args)
+        names, arrow = [f.name for f in self.result.fields], to_arrow_type(returns)
+
+        def checked(values: list, kind) -> list:
+            return values if kind is None else [v if isinstance(v, kind) else None for v in values]
+
+        @F.arrow_udf(returns)
+        def call(*columns: pa.Array) -> pa.Array:
+            given = [checked(c.to_pylist(), kind) for c, kind in zip(columns, kinds, strict=False)]
+            needed = [values for values, may in zip(given, optional, strict=True) if not may]
+            rows = zip(*given, strict=True) if arity else repeat((), len(columns[0]))
+            lacking = (any(v is None for v in r) for r in zip(*needed, strict=True)) if needed else repeat(False)
+            out = [None if lacks else body(*values) for values, lacks in zip(rows, lacking, strict=False)]
+            return pa.array([dict(zip(names, x, strict=True)) if names and isinstance(x, tuple) else x for x in out], arrow)
+
+        # a function of nothing needs a column that tells how many rows there are
+        return (call if self.language != "opaque" else call.asNondeterministic())(*(args or (F.lit(0),)))
 
     def inlined(self, args: tuple[Column, ...]) -> Column:
         from lintel.functions.cel import parse
