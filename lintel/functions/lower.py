@@ -129,46 +129,48 @@ MODES = ("auto", "require_scheme", "require_authority")
 SPECIAL = "(?i)^(https?|ftp|wss?|file):"
 
 
-@dataclass
-class Url:
-    """Parts of a URL or reference, taken apart leniently as browsers do; path and query are null where it is none."""
-
-    scheme: Column
-    host: Column
-    path: Column
-    query: Column
-
-    @classmethod
-    def of(cls, text: Column) -> Url:
-        text = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-        body = F.regexp_extract(text, "^[^#]*", 0)
-        before, query = F.regexp_extract(body, r"^[^?]*", 0), F.regexp_extract(body, r"^[^?]*\?(.*)$", 1)
-        scheme = F.regexp_extract(before, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-        special = before.rlike(SPECIAL)
-        before = F.when(special | (scheme == ""), F.translate(before, "\\", "/")).otherwise(before)
-        rest = F.when(scheme == "", before).otherwise(F.substr(before, F.length(scheme) + 2))
+def url(text: Column) -> Column:
+    """scheme, host, path and query of a URL or reference, taken apart leniently as browsers do; path and query are null where it is none."""
+
+    def start(t: Column) -> Column:
+        body = F.regexp_extract(t, "^[^#]*", 0)
+        return F.struct(F.regexp_extract(t, "^[^?#]*", 0).alias("before"), F.when(body.contains("?"), F.regexp_extract(body, r"^[^?]*\?(.*)$", 1)).alias("query"), F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1).alias("scheme"), t.rlike(SPECIAL).alias("special"), (body != "").alias("any"))
+
+    def rest(x: Column) -> Column:
+        none = x.scheme == ""
+        before = F.when(x.special | none, F.translate(x.before, "\\", "/")).otherwise(x.before)
+        behind = F.when(none, before).otherwise(F.substr(before, F.length(x.scheme) + 2))
         # schemes with a host have one after any number of slashes, but for files
-        web = special & (F.lower(scheme) != "file")
-        rest = F.when(web, F.concat(F.lit("//"), F.regexp_replace(rest, "^/+", ""))).otherwise(rest)
-        authority = F.regexp_extract(rest, "^//([^/]*)", 1)
-        host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "")
-        path = F.when(rest.startswith("//"), F.substr(rest, F.length(authority) + 3)).otherwise(rest)
-        bad = host.rlike(r"[\x00-\x20#<>?^|%]") | (host.contains(":") & ~host.rlike(r"^\[[0-9A-Fa-f:.]+\]$")) | (web & (host == ""))
+        web = x.special & (F.lower(x.scheme) != "file")
+        return F.struct(x.alias("x"), web.alias("web"), F.when(web, F.concat(F.lit("//"), F.regexp_replace(behind, "^/+", ""))).otherwise(behind).alias("rest"))
+
+    def split(y: Column) -> Column:
+        authority = F.regexp_extract(y.rest, "^//([^/]*)", 1)
+        path = F.when(y.rest.startswith("//"), F.substr(y.rest, F.length(authority) + 3)).otherwise(y.rest)
+        return F.struct(y.alias("y"), F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "").alias("host"), path.alias("path"))
+
+    def judged(z: Column) -> Column:
+        x = z.y.x
+        bad = z.host.rlike(r"[\x00-\x20#<>?^|%]") | (z.host.contains(":") & ~z.host.rlike(r"^\[[0-9A-Fa-f:.]+\]$")) | (z.y.web & (z.host == ""))
         # other schemes without slashes have no path of segments
-        opaque = (scheme != "") & ~special & ~rest.startswith("/")
-        path = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-        good = ~bad & ((scheme != "") | (body != ""))
-        return cls(scheme, host, F.when(good & ~opaque, path), F.when(good & body.contains("?"), query))
-
-    def meets(self, kids, cols, at: int) -> Column:
-        """Whether it satisfies the mode, which is auto where it is left out or null."""
-        if len(cols) <= at:
-            return F.lit(True)
-        has, mode = self.scheme != "", F.coalesce(cols[at], F.lit("auto"))
-        full = has & (self.host != "")
-        if isinstance(kids[at].node, Lit):
-            return {"auto": F.lit(True), None: F.lit(True), "require_scheme": has, "require_authority": full}.get(kids[at].node.value, F.lit(False))
-        return F.when(mode == "auto", F.lit(True)).when(mode == "require_scheme", has).when(mode == "require_authority", full).otherwise(F.lit(False))
+        opaque = (x.scheme != "") & ~x.special & ~z.y.rest.startswith("/")
+        good = ~bad & ((x.scheme != "") | x["any"])
+        path = F.when((z.path != "") & ~z.path.startswith("/"), F.concat(F.lit("/"), z.path)).otherwise(z.path)
+        return F.struct(x.scheme.alias("scheme"), z.host.alias("host"), F.when(good & ~opaque, path).alias("path"), F.when(good, x.query).alias("query"))
+
+    text = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    return net.let(text, lambda t: net.let(start(t), lambda x: net.let(rest(x), lambda y: net.let(split(y), judged))))
+
+
+def meets(u: Column, kids, cols, at: int) -> Column:
+    """Whether a URL satisfies the mode, which is auto where it is left out or null."""
+    if len(cols) <= at:
+        return F.lit(True)
+    has, mode = u.scheme != "", F.coalesce(cols[at], F.lit("auto"))
+    full = has & (u.host != "")
+    if isinstance(kids[at].node, Lit):
+        return {"auto": F.lit(True), None: F.lit(True), "require_scheme": has, "require_authority": full}.get(kids[at].node.value, F.lit(False))
+    return F.when(mode == "auto", F.lit(True)).when(mode == "require_scheme", has).when(mode == "require_authority", full).otherwise(F.lit(False))
 
 
 ODD = r'[^!$%&\'()*+,\-./0-9:;=@A-Z\[\\\]_a-z|~]'
@@ -189,8 +191,8 @@ def segments(path: Column) -> Column:
 
 
 def url_path_segment(kids, cols):
-    url = Url.of(cols[0])
-    return F.when(url.meets(kids, cols, 2) & url.path.isNotNull(), encoded(F.get(segments(url.path), cols[1].cast("int"))))
+    found = net.let(url(cols[0]), lambda u: F.when(meets(u, kids, cols, 2), F.get(segments(u.path), cols[1].cast("int"))))
+    return net.let(found, encoded)
 
 
 def decoded(text: Column) -> Column:
@@ -199,9 +201,11 @@ def decoded(text: Column) -> Column:
 
 
 def url_query_param(kids, cols):
-    url = Url.of(cols[0])
-    found = F.get(F.filter(F.split(url.query, "&"), lambda p: (p != "") & (decoded(F.substring_index(p, "=", 1)) == cols[1])), 0)
-    return F.when(url.meets(kids, cols, 2), decoded(F.regexp_extract(found, "(?s)^[^=]*=(.*)$", 1)))
+    def value(u: Column) -> Column:
+        named = F.filter(F.split(u.query, "&"), lambda p: (p != "") & (decoded(F.substring_index(p, "=", 1)) == cols[1]))
+        return F.when(meets(u, kids, cols, 2), F.get(named, 0))
+
+    return net.let(net.let(url(cols[0]), value), lambda p: decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))
 
 
 def size(kids, cols):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +36,34 @@ def v4_number(address: Column) -> Column:
     return F.when(address.rlike(OCTETS), total)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def halves(address: Column) -> Column:
     """The two halves of an IPv6 address, or of the one that an IPv4 address maps to, as hi and lo; null for anything else."""
-    tail = F.regexp_extract(address, r":([0-9.]+)$", 1)
-    last = v4_number(tail)
-    text = F.when(address.contains("."), F.concat(F.left(address, F.length(address) - F.length(tail)), F.lower(F.hex(F.shiftright(last, 16))), F.lit(":"), F.lower(F.hex(last.bitwiseAND(0xFFFF))))).otherwise(address)
-    sides = F.split(text, "::", -1)
-    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
-    zeros = 8 - F.size(left) - F.size(right)
-    whole = F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (zeros >= 1), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right))
-    good = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-    number = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, g: F.shiftleft(n, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
-    own = F.when(address.contains(":") & good, F.struct(number(F.slice(whole, 1, 4)).alias("hi"), number(F.slice(whole, 5, 4)).alias("lo")))
-    v4 = v4_number(address)
-    return F.when(v4.isNotNull(), F.struct(F.lit(0).cast("long").alias("hi"), v4.bitwiseOR(F.lit(MAPPED)).alias("lo"))).otherwise(own)
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+
+    def plain(tail: Column) -> Column:
+        """The address with its dotted end, if any, as two groups."""
+        last = let(v4_number(tail), lambda n: F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
+        return F.when(tail.contains("."), F.concat(F.left(address, F.length(address) - F.length(tail)), last)).otherwise(address)
+
+    def whole(sides: Column) -> Column:
+        both = let(F.struct(groups(F.get(sides, 0)).alias("l"), groups(F.get(sides, 1)).alias("r")), lambda x: let(8 - F.size(x.l) - F.size(x.r), lambda n: F.when(n >= 1, F.concat(x.l, F.array_repeat(F.lit("0"), F.greatest(n, F.lit(0))), x.r))))
+        return F.when(F.size(sides) == 1, groups(F.get(sides, 0))).when(F.size(sides) == 2, both)
+
+    def numbers(all_: Column) -> Column:
+        number = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, g: F.shiftleft(n, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
+        good = (F.size(all_) == 8) & F.forall(all_, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+        return F.when(good, F.struct(number(F.slice(all_, 1, 4)).alias("hi"), number(F.slice(all_, 5, 4)).alias("lo")))
+
+    six = let(plain(F.regexp_extract(address, r":([0-9.]+)$", 1)), lambda text: let(F.split(text, "::", -1), lambda sides: let(whole(sides), numbers)))
+    four = let(v4_number(address), lambda n: F.when(n.isNotNull(), F.struct(F.lit(0).cast("long").alias("hi"), n.bitwiseOR(F.lit(MAPPED)).alias("lo"))))
+    return F.when(address.contains(":"), six).otherwise(four)
 
 
 def number_v4(number: Column) -> Column:
@@ -77,7 +91,7 @@ def in_block(address: Column, text: str | None) -> Column:
     net = block(text) if text is not None else None
     if net is None:
         return F.lit(None).cast("boolean")
-    six = within(halves(address), net)
+    six = let(halves(address), lambda n: within(n, net))
     if net.version == 6:
         return six
     return F.when(address.contains(":"), six).otherwise(v4_number(address).bitwiseAND(F.lit(int(net.netmask)).cast("long")) == int(net.network_address))
@@ -95,7 +109,7 @@ def in_any(address: Column, texts: list[str | None]) -> Column:
             out = out | within(number, net)
         return F.coalesce(out, hit)
 
-    return F.when(address.isNotNull(), F.get(F.transform(F.array(halves(address)), any_of), 0))
+    return F.when(address.isNotNull(), let(halves(address), any_of))
 
 
 def block_halves(text: Column) -> tuple[Column, Column]:
@@ -111,13 +125,13 @@ def masked(number: Column, bits: Column) -> Column:
     """Halves with all but the leading bits cleared."""
     ones = F.lit(-1).cast("long")
     mask = lambda n: F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, ones).otherwise(F.call_function("shiftleft", ones, (64 - n).cast("int")))
-    return F.when(bits.isNotNull(), F.struct(number.getField("hi").bitwiseAND(mask(bits)).alias("hi"), number.getField("lo").bitwiseAND(mask(bits - 64)).alias("lo")))
+    return F.when(bits.isNotNull() & number.isNotNull(), F.struct(number.getField("hi").bitwiseAND(mask(bits)).alias("hi"), number.getField("lo").bitwiseAND(mask(bits - 64)).alias("lo")))
 
 
 def in_block_of(address: Column, text: Column) -> Column:
     """Blocks that are not literal."""
     base, bits = block_halves(text)
-    return masked(halves(address), bits) == masked(base, bits)
+    return let(F.struct(halves(address).alias("a"), base.alias("b"), bits.alias("n")), lambda x: F.when(x.a.isNotNull() & x.b.isNotNull() & x.n.isNotNull(), masked(x.a, x.n) == masked(x.b, x.n)))
 
 
 def in_listed(df: DataFrame, address: str, blocks: DataFrame, block_column: str, name: str = "listed") -> DataFrame:
@@ -127,7 +141,7 @@ def in_listed(df: DataFrame, address: str, blocks: DataFrame, block_column: str,
     at most; a small list is broadcast by Spark on its measured size.
     """
     base, bits = block_halves(F.col(block_column))
-    known = blocks.select(masked(base, bits).alias("_base"), bits.alias("_bits")).filter("_base is not null").distinct()
+    known = blocks.select(base.alias("_own"), bits.alias("_bits")).select(masked(F.col("_own"), F.col("_bits")).alias("_base"), "_bits").filter("_base is not null").distinct()
     sizes = sorted(r[0] for r in known.select("_bits").distinct().collect())
     own = df.select(F.col(address).alias("_address")).distinct().withColumn("_number", halves(F.col("_address"))).filter("_number is not null")
     each = own.select("_address", "_number", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("_bits"))

@@ -14,18 +14,20 @@ from lintel.types import NUMERIC, to_spark
 
 
 class Aggregate:
-    """id over an expression. by: an expression that orders rows, for first, last and nth_value; at: a percentile's share or a place."""
+    """id over an expression. by: an expression that orders rows, for first, last and nth_value; at: a percentile's share, a place, or what parts strings; other: the second expression of a correlation."""
 
-    def __init__(self, id: str, expr: str | None = None, by: str | None = None, at: float | int | None = None, approximate: float | None = None, population: bool = False):
+    def __init__(self, id: str, expr: str | None = None, by: str | None = None, at: float | int | str | None = None, approximate: float | None = None, population: bool = False, other: str | None = None):
         if id not in AGGREGATES and id != "nth_value":
             raise TypeCheckError(f"no aggregate {id}; there are {', '.join(AGGREGATES)} and nth_value")
         if (expr is None) != (id == "count" and expr is None):
             raise TypeCheckError(f"{id} takes an expression")
         if (id in ORDERED) != (by is not None):
             raise TypeCheckError(f"{id} is {'ordered by' if id in ORDERED else 'not ordered by'} an expression")
-        if (id in ("percentile", "nth_value")) != (at is not None):
+        if (id in ("percentile", "nth_value", "string_agg")) != (at is not None):
             raise TypeCheckError(f"{id} {'needs' if at is None else 'takes no'} at")
-        self.id, self.expr, self.by, self.at, self.approximate, self.population = id, expr, by, at, approximate, population
+        if (id == "corr") != (other is not None):
+            raise TypeCheckError(f"{id} {'needs' if other is None else 'takes no'} other expression")
+        self.id, self.expr, self.by, self.at, self.approximate, self.population, self.other = id, expr, by, at, approximate, population, other
 
     def column(self, engine: Engine, df: DataFrame) -> Column:
         if self.expr is None:
@@ -37,6 +39,8 @@ class Aggregate:
             raise TypeCheckError(f"{self.id} takes numbers, not {typed.type}")
         c = column(typed, engine.registry.functions)
         by = engine.column(df, self.by) if self.by else None
+        if self.other:
+            return F.corr(c, engine.column(df, self.other))
         out = AGGREGATES[self.id](c, by, self)
         return out.cast(to_spark(typed.type)) if self.id in ("min", "max") else out
 
@@ -59,9 +63,16 @@ AGGREGATES: dict[str, Callable[[Column, Column | None, Aggregate], Column]] = {
     "std_dev": lambda c, by, own: F.stddev_pop(c) if own.population else F.stddev_samp(c),
     "variance": lambda c, by, own: F.var_pop(c) if own.population else F.var_samp(c),
     "product": lambda c, by, own: F.product(c),
+    "bool_and_agg": lambda c, by, own: F.bool_and(c),
+    "bool_or_agg": lambda c, by, own: F.bool_or(c),
+    "string_agg": lambda c, by, own: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(by.alias("k"), c.alias("v"))))), lambda x: x.getField("v")), own.at),
+    "sum0": lambda c, by, own: F.coalesce(F.sum(c), F.lit(0)),
+    "corr": lambda c, by, own: c,
+    "mode": lambda c, by, own: F.mode(c, True),
+    "any_value": lambda c, by, own: F.any_value(c, True),
 }
-NUMERIC_ONLY = ("sum", "avg", "median", "percentile", "std_dev", "variance", "product")
-ORDERED = ("first", "last", "nth_value")
+NUMERIC_ONLY = ("sum", "avg", "median", "percentile", "std_dev", "variance", "product", "sum0", "corr")
+ORDERED = ("first", "last", "nth_value", "string_agg")
 
 
 def nth_rows(engine: Engine, df: DataFrame, by: dict[str, str], name: str, own: Aggregate) -> DataFrame:

@@ -12,6 +12,7 @@ from lintel.engine import Engine
 from lintel.functions.udf import Registry
 from lintel.operators.aggregates import Aggregate, aggregate
 from lintel.operators.validation import Rule, Rules, checked, split
+from lintel.operators.windows import Over, over
 from lintel.plans.passes import Import
 from lintel.plans.typecheck import CastMode
 from lintel.sources.events import read_events
@@ -328,6 +329,92 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
 }
 
 
+PROJECTIONS |= {
+    "truth_tests": Projection(
+        "orders",
+        ("o_orderkey",),
+        {"yes": "is_true(f)", "not_yes": "is_not_true(f)", "no": "is_false(f)", "not_no": "is_not_false(f)", "other": "nullif(o_orderstatus, 'O')", "low": "least_skip_null(n, 5)", "high": "greatest_skip_null(n, 5)"},
+        "with t as (select *, case when o_custkey % 3 = 0 then null else o_custkey % 3 = 1 end as f, nullif(o_custkey % 10, 3) as n from orders) select o_orderkey, f is not distinct from true as yes, f is distinct from true as not_yes, f is not distinct from false as no, f is distinct from false as not_no, nullif(o_orderstatus, 'O') as other, least(coalesce(n, 5), 5) as low, greatest(coalesce(n, 5), 5) as high from t",
+        prepare="case when o_custkey % 3 = 0 then null else o_custkey % 3 = 1 end as f ; nullif(o_custkey % 10, 3) as n",
+    ),
+    "trigonometry": Projection(
+        "part",
+        ("p_partkey",),
+        {op: f"int(round({op}({arg}) * 10000.0))" for op, arg in {"sin": "x", "cos": "x", "tan": "x / 40.0", "asin": "x / 60.0", "acos": "x / 60.0", "atan": "x", "sinh": "x / 20.0", "cosh": "x / 20.0", "tanh": "x / 20.0", "asinh": "x", "acosh": "x + 1.0", "atanh": "x / 60.0", "radians": "x", "degrees": "x", "log2": "x + 1.0", "log1p": "x"}.items()} | {"atan2": "int(round(atan2(x, 7.0) * 10000.0))", "logb": "int(round(logb(x + 2.0, 3.0) * 10000.0))", "fact": "factorial(p_size % 10)"},
+        "with t as (select p_partkey, p_size, p_size::double as x from part) select p_partkey, "
+        + ", ".join(f"round({op}({arg}) * 10000)::bigint as {op}" for op, arg in {"sin": "x", "cos": "x", "tan": "x / 40", "asin": "x / 60", "acos": "x / 60", "atan": "x", "sinh": "x / 20", "cosh": "x / 20", "tanh": "x / 20", "asinh": "x", "acosh": "x + 1", "atanh": "x / 60", "radians": "x", "degrees": "x"}.items())
+        + ", round(log2(x + 1) * 10000)::bigint as log2, round(ln(1 + x) * 10000)::bigint as log1p, round(atan2(x, 7) * 10000)::bigint as atan2, round(ln(x + 2) / ln(3) * 10000)::bigint as logb, factorial((p_size % 10)::integer)::bigint as fact from t",
+        prepare="double(p_size) as x",
+    ),
+    "bits": Projection(
+        "orders",
+        ("o_orderkey",),
+        {"not_": "bitwise_not(o_custkey)", "and_": "bitwise_and(o_custkey, o_orderkey)", "or_": "bitwise_or(o_custkey, o_orderkey)", "xor_": "bitwise_xor(o_custkey, 255)", "left_": "shift_left(o_custkey, 3)", "right_": "shift_right(o_custkey, 2)", "right_u": "shift_right_unsigned(o_custkey, 2)"},
+        "select o_orderkey, ~o_custkey as not_, o_custkey & o_orderkey as and_, o_custkey | o_orderkey as or_, xor(o_custkey, 255) as xor_, o_custkey << 3 as left_, o_custkey >> 2 as right_, o_custkey >> 2 as right_u from orders",
+    ),
+    "string_forms": Projection(
+        "orders",
+        ("o_orderkey",),
+        {"twice": "repeat(o_orderstatus, 2)", "back": "reverse(o_orderpriority)", "cut": "replace_slice(o_orderpriority, 2, 3, '**')", "swapped": "swapcase(o_orderpriority)", "cap": "capitalize(lower(o_orderpriority))", "titled": "title(w)", "init": "initcap(w)", "bits_": "bit_length(o_orderpriority)", "l": "lpad(o_orderpriority, 12, '.')", "r": "rpad(o_orderpriority, 12)", "mid": "center(o_orderstatus, 4, '-')", "like_": "like(o_orderpriority, '_-H%')"},
+        "select o_orderkey, repeat(o_orderstatus, 2) as twice, reverse(o_orderpriority) as back, left(o_orderpriority, 1) || '**' || substr(o_orderpriority, 5) as cut, case when o_orderpriority = upper(o_orderpriority) then lower(o_orderpriority) end as swapped, lower(o_orderpriority) as cap, 'Some ' || case o_orderstatus when 'F' then 'F' when 'O' then 'O' else 'P' end || ' here' as titled, 'Some ' || o_orderstatus || ' here' as init, bit_length(o_orderpriority)::bigint as bits_, lpad(o_orderpriority, 12, '.') as l, rpad(o_orderpriority, 12, ' ') as r, '-' || o_orderstatus || '--' as mid, o_orderpriority like '_-H%' as like_ from orders".replace("' here'", "' Here'"),
+        prepare="concat('some ', lower(o_orderstatus), ' here') as w",
+    ),
+    "times_read": Projection(
+        "events",
+        ("event_id",),
+        {"day": "strptime_date('2024-02-29 x', \"yyyy-MM-dd 'x'\")", "time_": "strptime_time('10:20:30', 'HH:mm:ss') == duration('10h20m30s')", "leap": "extract_boolean(ts, 'is_leap_year')", "zoned": "assume_timezone(ts, 'America/New_York').getHours()", "past": "ts < current_timestamp()", "parsed": "json_stringify(json_parse_struct(props, 'k bigint'))"},
+        "select event_id, date '2024-02-29' as day, true as time_, year(ts) % 4 = 0 as leap, hour(timezone('America/New_York', timezone('UTC', ts))) as zoned, true as past, '{\"k\":' || json_extract_string(props, '$.k') || '}' as parsed from events",
+    ),
+    "url_forms": Projection(
+        "orders",
+        ("o_orderkey",),
+        {"blank": "url_path_segment(u, 0)", "name": "url_query_param(u, 'x_y')", "bare": "url_query_param(u, 'a')", "odd": "url_query_param(u, 'z')", "up": "url_path_segment(u, 1)", "mail": "url_path_segment('mailto:a@b/c', 0)", "ref": "url_path_segment('/foo/bar.php?baz=quux', 1)", "no_host": "url_path_segment('http:///', 0, 'require_authority')"},
+        "select o_orderkey, 'a%20b|' || o_custkey as blank, '1 ' || o_custkey as name, '' as bare, '%zz' as odd, 'é'.replace('é', '%C3%A9') as up, null::varchar as mail, 'bar.php' as ref, null::varchar as no_host from orders",
+        prepare="concat('HTTPS://u@h:80/./x/../a b|', o_custkey, '/é?x%5Fy=1+', o_custkey, '&a&z=%zz#f') as u",
+    ),
+    "addresses": Projection(
+        "orders",
+        ("o_orderkey",),
+        {"net": "cidr_contains(six, '2001:db8::/32')", "host": "cidr_contains(six, '2001:db8::7/128')", "mapped": "cidr_contains(four, '10.0.0.0/8')", "some": "cidr_match(six, ['fe80::/10', '2001:db8:0:0::/125', '10/8'])", "given": "cidr_contains(six, blk)", "none": "cidr_contains('2001::db8::1', '::/0')"},
+        "select o_orderkey, true as net, o_custkey % 16 = 7 as host, o_custkey % 2 = 0 as mapped, o_custkey % 16 < 8 as some, o_custkey % 16 < 4 as given, null::boolean as none from orders",
+        prepare="concat('2001:DB8::', lower(hex(o_custkey % 16))) as six ; concat('::ffff:', if(o_custkey % 2 = 0, '10', '11'), '.1.2.3') as four ; concat('2001:db8::/', if(o_orderkey >= 0, '126', '0')) as blk",
+    ),
+}
+
+
+def more_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aggregate(Engine(), read(spark, sf_dir, "orders"), {"status": "o_orderstatus"}, every=Aggregate("bool_and_agg", "o_totalprice > 2000.0"), some=Aggregate("bool_or_agg", "o_totalprice > 2000.0"), total=Aggregate("sum0", "o_custkey"), both=Aggregate("corr", "double(o_custkey)", other="o_totalprice"), most=Aggregate("mode", "o_orderpriority"), any_=Aggregate("any_value", "o_orderstatus"))
+    return out.withColumn("both", F.round("both", 6))
+
+
+def strings_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate(Engine(), read(spark, sf_dir, "nation"), {"n_regionkey": "n_regionkey"}, names=Aggregate("string_agg", "n_name", by="n_nationkey", at="; "))
+
+
+def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    out = over(Engine(), rows, ["o_custkey"], ["o_orderstatus"], r=Over("rank"), d=Over("dense_rank"), p=Over("percent_rank"), c=Over("cume_dist"))
+    out = over(Engine(), out, ["o_custkey"], ["-o_orderkey"], n=Over("row_number"), q=Over("ntile", n=3), after=Over("lead", "o_totalprice"), before=Over("lag", "o_orderkey", n=2))
+    return out.select("o_orderkey", "r", "d", F.round("p", 6).alias("p"), F.round("c", 6).alias("c"), "n", "q", "after", "before")
+
+
+def listed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses against a table of blocks, one for each customer."""
+    from lintel.functions.net import in_listed
+
+    blocks = read(spark, sf_dir, "customer").select(F.concat(F.lit("10."), (F.col("c_custkey") % 256).cast("string"), F.lit("."), (F.col("c_custkey") % 7).cast("string"), F.lit("/"), F.when(F.col("c_custkey") % 3 == 0, F.lit("24")).otherwise(F.lit("32"))).alias("b"))
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey", IP)
+    return in_listed(rows, "ip", blocks, "b").select("o_orderkey", "listed")
+
+
+OTHERS |= {
+    "more_aggregates": (more_aggregates, "with m as (select o_orderstatus, o_orderpriority, row_number() over (partition by o_orderstatus order by count(*) desc, o_orderpriority) as k from orders group by o_orderstatus, o_orderpriority) select o.o_orderstatus as status, bool_and(o_totalprice > 2000) as every, bool_or(o_totalprice > 2000) as some, sum(o_custkey)::bigint as total, round(corr(o_custkey::double, o_totalprice), 6) as both, min(m.o_orderpriority) as most, min(o.o_orderstatus) as any_ from orders o join m on m.o_orderstatus = o.o_orderstatus and k = 1 group by 1"),
+    "strings_together": (strings_together, "select n_regionkey, string_agg(n_name, '; ' order by n_nationkey) as names from nation group by 1"),
+    "window_functions": (window_functions, "select o_orderkey, rank() over s as r, dense_rank() over s as d, round(percent_rank() over s, 6) as p, round(cume_dist() over s, 6) as c, row_number() over k as n, ntile(3) over k as q, lead(o_totalprice) over k as after, lag(o_orderkey, 2) over k as before from orders window s as (partition by o_custkey order by o_orderstatus), k as (partition by o_custkey order by o_orderkey desc)"),
+    "listed_addresses": (listed_addresses, "with b as (select distinct c_custkey % 256 as x, c_custkey % 7 as y from customer where c_custkey % 3 = 0) select o_orderkey, b.x is not null as listed from orders left join b on b.x = o_custkey % 256 and b.y = o_orderkey % 7"),
+}
+
+
 def queries() -> dict[str, Query]:
     return {**PROJECTIONS, **{name: query for name, (query, _) in OTHERS.items()}}
 

@@ -247,3 +247,28 @@ def test_aggregates_are_checked(rows):
     assert {r.b: r.first_ for r in only} == {0: 10, 2: -7, None: 7, 3: 2**62}
     empty = aggregate(Engine(), rows.limit(0), n=Aggregate("count"), total=Aggregate("sum", "a")).first()
     assert (empty.n, empty.total) == (0, None)
+
+
+@pytest.mark.parametrize(
+    ("address", "block", "expected"),
+    [
+        ("fe80::1", "fe80::/10", True), ("ff00::1", "fe80::/10", False), ("::ffff:10.1.2.3", "10/8", True), ("::ffff:a01:203", "10.0.0.0/8", True), ("10.1.2.3", "::ffff:0:0/96", True), ("10.1.2.3", "::/0", True), ("11.1.2.3", "10/8", False),
+        ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8/128", True), ("1:2:3:4:5:6:7::", "1:2::/32", True), ("1:2:3:4:5:6:7:8:9", "::/0", None), ("::1::2", "::/0", None), (":1", "::/0", None), ("12345::", "::/0", None), ("1.2.3", "0/0", None), ("::1.2.3.256", "::/0", None), ("::", "::/0", True), (None, "::/0", None), ("::1", "10.0.0.0/33", None), ("::1", "::/129", None),
+    ],
+)
+def test_addresses_in_blocks_without_python(spark, address, block, expected):
+    from lintel.functions import net
+
+    df = spark.createDataFrame([(address, block)], "a string, b string").select(net.in_block(F.col("a"), block).alias("x"), net.in_block_of(F.col("a"), F.col("b")).alias("y"), net.in_any(F.col("a"), ["fe80::/64", block]).alias("z"))
+    assert tuple(df.first()) == (expected, expected, None if address is None else bool(expected))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_functions_refuse_what_they_cannot(spark):
+    from lintel.operators.windows import Over, over
+
+    for args in (("median",), ("lag",), ("rank", "x"), ("ntile", None, 0)):
+        with pytest.raises(TypeCheckError):
+            Over(*args)
+    with pytest.raises(TypeCheckError):
+        over(Engine(), spark.range(1), [], [], r=Over("rank"))
