@@ -49,7 +49,7 @@ def halves(address: Column) -> Column:
 
     def plain(tail: Column) -> Column:
         """The address with its dotted end, if any, as two groups."""
-        last = let(v4_number(tail), lambda n: F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
+        last = let(v4_number(tail), lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
         return F.when(tail.contains("."), F.concat(F.left(address, F.length(address) - F.length(tail)), last)).otherwise(address)
 
     def whole(sides: Column) -> Column:
