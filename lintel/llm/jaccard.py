@@ -14,7 +14,10 @@ pairs or triples of a set's empty choices are hashed into signatures instead of
 Signatures are sorted by range and then by node, so a signature of any number of nodes spans
 several tasks, and are read as a stream that drops those of one node. Each set has a sketch, the parity of its elements in
 hashed bits: sets differ in at least as many elements as their sketches do in bits. Pairs of a
-signature whose sketches differ too much cannot link and are not tied. A signature of more than
+signature whose sketches differ too much cannot link and are not tied. First each node meets the
+least nodes of its signatures, every such pair once however many signatures have it; a signature
+whose nodes hang together by then is done. In the others, all pairs that do not hang together yet
+meet. A signature of more than
 TILE nodes is cut into blocks, each of which meets PIVOTS of its nodes: a node that is near one is
 tied to it, pivots that others are tied to are tied together, and only nodes near no pivot go on to
 meet all blocks. So a large group of near copies costs in proportion to its size.
@@ -274,19 +277,56 @@ def gathered(parts: Iterator[dict], most: int = 400_000) -> Iterator[dict]:
         yield forest_of(*(np.concatenate([p[c] for p in held]) for c in "ab"))
 
 
+def least_ties(each: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: ties between nodes and the least nodes of their signatures, of which each pair is compared once; each: node, least."""
+    pairs = each.filter("node <> least").select("least", "node").distinct()
+    blocks = pairs.groupBy("least").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    rows = pairs.join(blocks, "least").select("least", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "node")
+    heads = blocks.select("least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.col("least").alias("node"))
+
+    def make():
+        def run(tables):
+            for table in tables:
+                begin = starts(table, ["least", "own"])
+                node, n, sketch = table.column("node").to_numpy(), table.column("n").to_numpy(), table.column("sketch")
+                head = node == table.column("least").to_numpy()
+                rest = np.flatnonzero(~head)
+                # a tile has its head once
+                to = np.repeat(np.flatnonzero(head), np.diff(np.append(begin, table.num_rows)))[rest]
+                size = pc.binary_length(sketch).to_numpy() // 8
+                width = np.minimum(size[rest], size[to])
+                for w in np.unique(width):
+                    i, j = rest[width == w], to[width == w]
+                    heads_, at = np.unique(j, return_inverse=True)
+                    x, y = (np.stack([folded(k, w) for k in sketch.take(pa.array(those)).to_pylist()]) for those in (i, heads_))
+                    close = near(x, y[at], n[i], n[j], num, den)
+                    if close.any():
+                        yield forest_of(node[i[close]], node[j[close]])
+
+        return run
+
+    tiles = rows.union(heads).join(sketched, "node")
+    return grouped(tiles, ["least", "own"], ["node"], lambda: lambda tables: gathered(make()(tables)), "a bigint, b bigint")
+
+
 def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: nodes of one signature that could link; sketched: node, n, sketch."""
+    """a, b: nodes of one signature that could link, or hang together with such; sketched: node, n, sketch."""
     rows = released(checkpointed(shared(pairs).distinct()))
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("nodes")).filter("nodes > 1")
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("nodes"), F.min("node").alias("least")).filter("nodes > 1")
     each = checkpointed(rows.join(sizes, "sig"))
-    small, large = each.filter(F.col("nodes") <= TILE).select("sig", "node").join(sketched, "node"), each.filter(F.col("nodes") > TILE)
+    first = checkpointed(least_ties(each, sketched, num, den))
+    labels = checkpointed(components(first))
+    labelled = checkpointed(each.join(labels, "node", "left").select("sig", "node", "nodes", F.coalesce("component", "node").alias("label")))
+    undone = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    left = labelled.join(undone, "sig", "left_semi")
+    small, large = left.filter(F.col("nodes") <= TILE).select("sig", "node", "label").join(sketched, "node"), left.filter(F.col("nodes") > TILE)
 
     def make():
         def run(tables):
             for table in tables:
                 begin = starts(table, ["sig"])
                 counts = np.diff(np.append(begin, table.num_rows))
-                node, n, sketch = table.column("node").to_numpy(), table.column("n").to_numpy(), table.column("sketch")
+                label, n, sketch = table.column("label").to_numpy(), table.column("n").to_numpy(), table.column("sketch")
                 size = pc.binary_length(sketch).to_numpy() // 8
                 for width in np.unique(size):
                     # signatures by the shortest sketch among their nodes
@@ -302,15 +342,17 @@ def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame
                         step = max(1, 400_000 // max(1, len(u) * width))
                         for low in range(0, len(own), step):
                             i, j = ((own[low : low + step, None] + w[None, :]).ravel() for w in (u, v))
+                            open_ = label[at[i]] != label[at[j]]
+                            i, j = i[open_], j[open_]
                             for part in range(0, len(i), 1 << 18):
                                 a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
                                 close = near(bits[a], bits[b], n[at[a]], n[at[b]], num, den)
                                 if close.any():
-                                    yield forest_of(node[at[a[close]]], node[at[b[close]]])
+                                    yield forest_of(label[at[a[close]]], label[at[b[close]]])
 
         return run
 
-    found = grouped(small, ["sig"], ["node"], lambda: lambda tables: gathered(make()(tables)), "a bigint, b bigint")
+    found = first.union(grouped(small, ["sig"], ["node"], lambda: lambda tables: gathered(make()(tables)), "a bigint, b bigint"))
     return found if large.isEmpty() else found.union(large_ties(large, sketched, num, den))
 
 
@@ -321,14 +363,14 @@ def pivoted(rows: DataFrame, key: str, node: str, carried: list[str]) -> DataFra
 
 
 def large_ties(large: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
-    """As ties, for signatures of more than TILE nodes; large: sig, node, nodes."""
+    """Ties between labels, for signatures of more than TILE nodes; large: sig, node, nodes, label."""
     blocks = F.ceil(F.col("nodes") / TILE).cast("int")
-    rows = checkpointed(large.join(sketched, "node").select("sig", "node", "n", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")))
-    columns = ["sig", "own", "node", "n", "sketch"]
-    tiles = rows.select(*columns, F.lit(False).alias("marked")).union(pivoted(rows, "sig", "node", ["n", "sketch"]).select(*columns, F.lit(True)))
+    rows = checkpointed(large.join(sketched, "node").select("sig", "node", "label", "n", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")))
+    columns = ["sig", "own", "node", "label", "n", "sketch"]
+    tiles = rows.select(*columns, F.lit(False).alias("marked")).union(pivoted(rows, "sig", "node", ["label", "n", "sketch"]).select(*columns, F.lit(True)))
 
     def apart(keys: list[str]):
-        """(first column of keys, nodes, sketches as words, sizes, nodes marked) of each tile."""
+        """(first column of keys, nodes, labels, sketches as words, sizes, nodes marked) of each tile."""
 
         def run(tables):
             for table in tables:
@@ -336,7 +378,7 @@ def large_ties(large: DataFrame, sketched: DataFrame, num: int, den: int) -> Dat
                 for a, b in zip(begin[:-1], begin[1:], strict=True):
                     part = table.slice(a, b - a)
                     width = int(pc.min(pc.binary_length(part.column("sketch"))).as_py()) // 8
-                    yield int(part.column("sig")[0].as_py()), part.column("node").to_numpy(), np.stack([folded(x, width) for x in part.column("sketch").to_pylist()]), part.column("n").to_numpy(), part.column("marked").to_numpy(zero_copy_only=False).astype(bool)
+                    yield int(part.column("sig")[0].as_py()), part.column("node").to_numpy(), part.column("label").to_numpy(), np.stack([folded(x, width) for x in part.column("sketch").to_pylist()]), part.column("n").to_numpy(), part.column("marked").to_numpy(zero_copy_only=False).astype(bool)
 
         return run
 
@@ -351,14 +393,14 @@ def large_ties(large: DataFrame, sketched: DataFrame, num: int, den: int) -> Dat
 
     def make():
         def run(tables):
-            for sig, node, bits, n, marked in apart(["sig", "own"])(tables):
+            for sig, node, label, bits, n, marked in apart(["sig", "own"])(tables):
                 pivots, rest = np.flatnonzero(marked), np.flatnonzero(~marked)
                 close = met(node, bits, n, rest, pivots)
                 tied = close.any(1)
                 u, v = np.nonzero(close)
-                used = np.unique(node[pivots[v]])
-                links = forest_of(node[rest[u]], node[pivots[v]]) if len(u) else {"a": node[:0], "b": node[:0]}
-                # kinds: ties, pivots in use, and nodes that are left
+                used = np.unique(label[pivots[v]])
+                links = forest_of(label[rest[u]], label[pivots[v]]) if len(u) else {"a": node[:0], "b": node[:0]}
+                # kinds: ties, labels of pivots in use, and nodes that are left
                 kinds = [(links["a"], links["b"], 0), (used, used, 1), (node[rest[~tied]], node[rest[~tied]], 2)]
                 yield {
                     "sig": np.full(sum(len(a) for a, _, _ in kinds), sig),
@@ -377,16 +419,16 @@ def large_ties(large: DataFrame, sketched: DataFrame, num: int, den: int) -> Dat
         return out
     counts = left.groupBy("sig").agg(F.ceil(F.count("*") / TILE).cast("int").alias("left_blocks"))
     all_ = rows.join(counts, "sig")
-    every = all_.select("sig", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.col("own").alias("j"), "node", "n", "sketch", F.lit(False).alias("marked"))
-    those = all_.join(left, ["sig", "node"]).select("sig", F.pmod(F.xxhash64("node", F.lit(9)), F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "n", "sketch", F.lit(True).alias("marked"))
+    every = all_.select("sig", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.col("own").alias("j"), "node", "label", "n", "sketch", F.lit(False).alias("marked"))
+    those = all_.join(left, ["sig", "node"]).select("sig", F.pmod(F.xxhash64("node", F.lit(9)), F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "label", "n", "sketch", F.lit(True).alias("marked"))
 
     def make_left():
         def run(tables):
-            for _, node, bits, n, marked in apart(["sig", "i", "j"])(tables):
+            for _, node, label, bits, n, marked in apart(["sig", "i", "j"])(tables):
                 ours, others = np.flatnonzero(marked), np.flatnonzero(~marked)
                 u, v = np.nonzero(met(node, bits, n, ours, others))
                 if len(u):
-                    yield forest_of(node[ours[u]], node[others[v]])
+                    yield forest_of(label[ours[u]], label[others[v]])
 
         return run
 
