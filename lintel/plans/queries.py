@@ -282,7 +282,7 @@ def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and orders as entities: a cut, and what the first customers' orders reach."""
+    """Customers and orders as entities: a cut, and what all orders reach."""
     import uuid
 
     from lintel.sources.epochs import EpochStore
@@ -302,8 +302,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.put_versions(customers.filter("substr(c, 2) % 2 = 0").select(F.col("c").alias("entity_id"), F.lit(b"b").alias("content"), none))
     store.add_edges("entity", orders.join(customers, "c").select(F.col("o").alias("from_id"), F.lit(1).cast("long").alias("from_ver"), F.col("c").alias("to_id"), F.lit(None).cast("long").alias("to_ver")))
     epoch = store.cut_epoch()
-    roots = [r[0] for r in orders.orderBy(F.length("o"), "o").limit(20).collect()]
-    return store.closure(epoch, roots).entities
+    return store.closure(epoch, orders.select("o")).entities
 
 
 OTHERS: dict[str, tuple[Query, str | None]] = {
@@ -325,7 +324,7 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     "sliding": (sliding, "select b - to_minutes(k * 10) as window_start, event_type, count(*) as n from (select time_bucket(interval '10 minutes', ts) as b, event_type, unnest([0, 1]) as k from events) group by 1, 2"),
     "sessions": (sessions, "with s as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)), g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from s) select user_id, min(ts) as window_start, count(*) as n from g group by user_id, k"),
     "time_buckets": (time_buckets, "select event_id, time_bucket(interval '1 hour', ts - interval 877 second) + interval 877 second as start from events"),
-    "epochs": (epochs, "with r as (select o_orderkey, o_custkey from orders order by length('o' || o_orderkey), 'o' || o_orderkey limit 20) select 'o' || o_orderkey as entity_id, 1::bigint as version_id from r union select 'c' || c_custkey, case when c_custkey % 2 = 0 then 2 else 1 end from customer where c_custkey in (select o_custkey from r)"),
+    "epochs": (epochs, "select 'o' || o_orderkey as entity_id, 1::bigint as version_id from orders union select 'c' || c_custkey, case when c_custkey % 2 = 0 then 2 else 1 end from customer where c_custkey in (select o_custkey from orders)"),
 }
 
 

@@ -194,16 +194,17 @@ class EpochStore:
             raise NotFound(f"no epoch {epoch}")
         return self.table("epoch_entities" if kind == "entity" else "epoch_types").filter(F.col("epoch_id") == epoch).select(F.col(f"{kind}_id").alias("id"), F.col("version_id").alias("ver"))
 
-    def resolved_edges(self, epoch: int, kind: str) -> DataFrame:
-        """Edges with floating ends set to what the epoch selects; null where it selects nothing."""
+    def edges_from(self, nodes: DataFrame, epoch: int, kind: str) -> DataFrame:
+        """The nodes' edges, floating ends set to what the epoch selects; null where it selects nothing. nodes: id, ver."""
+        own = self.table(f"{kind}_edges").join(nodes, (F.col("from_id") == F.col("id")) & (F.col("from_ver") == F.col("ver"))).drop("id", "ver")
         chosen = self.selected(epoch, kind).withColumnRenamed("id", "to_id")
-        return self.table(f"{kind}_edges").join(chosen, "to_id", "left").select("from_id", "from_ver", "to_id", F.coalesce("to_ver", "ver").alias("to_ver"))
+        return own.join(chosen, "to_id", "left").select("from_id", "from_ver", "to_id", F.coalesce("to_ver", "ver").alias("to_ver"))
 
-    def reach(self, seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    def reach(self, seeds: DataFrame, epoch: int, kind: str) -> DataFrame:
         """id, ver: everything that the seeds reach; a frontier is joined to the edges until it brings nothing new."""
         seen = frontier = self.cut(seeds.distinct())
         while frontier.head() is not None:
-            ahead = edges.join(frontier, (F.col("from_id") == F.col("id")) & (F.col("from_ver") == F.col("ver"))).select(F.col("to_id").alias("id"), F.col("to_ver").alias("ver")).distinct()
+            ahead = self.edges_from(frontier, epoch, kind).select(F.col("to_id").alias("id"), F.col("to_ver").alias("ver")).distinct()
             frontier = self.cut(ahead.join(seen, ["id", "ver"], "left_anti"))
             if lost := frontier.filter("ver is null").head():
                 raise NotInEpoch(f"{lost['id']} is not in the epoch")
@@ -217,16 +218,20 @@ class EpochStore:
             context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.root}/_checkpoints")
         return df.checkpoint()
 
-    def closure(self, epoch: int, roots: str | Iterable[str]) -> Closure:
-        """What the roots reach: entities by their edges, then the types they pin and those types' edges."""
-        ids = [roots] if isinstance(roots, str) else list(roots)
-        asked = self.spark.createDataFrame([(i,) for i in ids], "id string")
+    def closure(self, epoch: int, roots: str | Iterable[str] | DataFrame) -> Closure:
+        """What the roots reach: entities by their edges, then the types they pin and those types' edges.
+
+        roots: an id, some ids, or any number of them as the first column of a DataFrame.
+        """
+        if isinstance(roots, DataFrame):
+            asked = roots.select(F.col(roots.columns[0]).alias("id")).distinct()
+        else:
+            asked = self.spark.createDataFrame([(i,) for i in ([roots] if isinstance(roots, str) else roots)], "id string")
         seeds = asked.join(self.selected(epoch, "entity"), "id", "left")
         if lost := seeds.filter("ver is null").head():
             raise NotInEpoch(f"{lost['id']} is not in epoch {epoch}")
-        edges = self.resolved_edges(epoch, "entity")
-        entities = self.reach(seeds, edges)
+        entities = self.reach(seeds, epoch, "entity")
         pinned = entities.join(self.table("entity_versions"), (F.col("id") == F.col("entity_id")) & (F.col("ver") == F.col("version_id"))).select(F.col("type_id").alias("id"), F.col("type_version_id").alias("ver"))
-        types = self.reach(pinned, self.resolved_edges(epoch, "type"))
-        inside = edges.join(entities, (F.col("from_id") == F.col("id")) & (F.col("from_ver") == F.col("ver"))).select(edges.columns)
+        types = self.reach(pinned, epoch, "type")
+        inside = self.edges_from(entities, epoch, "entity")
         return Closure(entities.select(F.col("id").alias("entity_id"), F.col("ver").alias("version_id")), types.select(F.col("id").alias("type_id"), F.col("ver").alias("version_id")), inside)

@@ -104,6 +104,8 @@ def test_store(spark, tmp_path):
     second = store.cut_epoch()
     assert second == 2 and ("cust-1", 2) in map(tuple, store.closure(second, "order-4711").entities.collect())
     assert sorted(map(tuple, store.closure(first, "order-4711").entities.collect())) == [("cust-1", 1), ("order-4711", 1)]
+    roots = spark.createDataFrame([("order-4711",), ("order-4711",), ("cust-1",)], "some string")
+    assert sorted(map(tuple, store.closure(first, roots).entities.collect())) == [("cust-1", 1), ("order-4711", 1)]
     assert store.version("entity", "cust-1").content == b"d" and store.version("entity", "cust-1", 1).content == b"c"
     assert store.version("entity", "cust-1", 2).type_version_id == 1
     with pytest.raises(Conflict):
