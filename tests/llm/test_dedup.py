@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from lintel.llm import components, jaccard, queries, suffixes, units, vectors
 
 from .conftest import prose
@@ -315,3 +317,29 @@ def test_vectors_lose_no_link(spark, monkeypatch, cell, block):
 
 def test_no_vectors(spark):
     assert vectors.deduplicated(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
+def test_ties_of_a_group_come_in_proportion_to_it_however_many_tasks_have_signatures_of_it(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for at in rng.integers(0, 400, 3):
+            own[at] = f"x{i}_{at}"
+        texts.append((i, " ".join(own)))
+    docs = spark.createDataFrame(texts, "node bigint, text string").repartition(4)
+    sketched = jaccard.described(docs, 5).select(F.col("f1").alias("node"), "n", "sketch").distinct()
+    settings_ = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        found = jaccard.checkpointed(jaccard.ties(jaccard.signed(docs, 5, 80, 100), sketched, 80, 100))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tied = components.components(found).agg(F.count("*"), F.countDistinct("component")).first()
+    assert tuple(tied) == (300, 1)
+    # 3943 ties here; with all pairs met at once, 14341, which is once in each of the 48 tasks
+    assert found.count() <= 48 * 300 // 2
