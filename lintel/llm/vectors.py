@@ -8,7 +8,8 @@ border with its own it could reach: two vectors of cosine at least t lie within
 acos(t), so the visit is needed only if the vector lies within that angle of the plane between the
 two centroids. Cells are cut into blocks of BLOCK vectors by hash, and a task multiplies a block of residents with
 a block of residents and visitors in double precision. Blocks report how many links each resident has, and a
-spanning forest of the links, never all pairs.
+spanning forest of the links, never all pairs. Products with centroids and the copies of visiting vectors are made
+in steps of STEP_BYTES, however many cells there are.
 
 Vectors that are null, zero, or hold a null or non-finite component, and vectors with a null
 label, link with nothing. Rows that share an id are one node of the graph but have their own
@@ -18,6 +19,7 @@ counts. An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ from lintel.llm.components import components, grouped, least_reachable, starts
 THRESHOLD, CELL, SAMPLE, ROUNDS, BLOCK, SEED = 0.93, 4096, 20_000, 8, 2048, 5
 #: Of all centroids together, which go to every task; a group that is larger than a cell has rounding on top.
 CENTROID_BYTES = 32 << 20
+#: Of products with centroids, and of copies of vectors, that a task holds at once.
+STEP_BYTES = 32 << 20
 #: Against rounding, when deciding whom to visit; links themselves are decided by the threshold alone.
 MARGIN = 1e-6
 
@@ -68,12 +72,19 @@ def unit(data: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def centroids(x: np.ndarray, n: int) -> np.ndarray:
+def products(x: np.ndarray, c: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """x @ c.T in steps of rows of at most limit bytes, each with its first row's place."""
+    step = max(1, limit // (8 * len(c)))
+    for low in range(0, len(x), step):
+        yield low, x[low : low + step] @ c.T
+
+
+def centroids(x: np.ndarray, n: int, limit: int) -> np.ndarray:
     """Spherical k-means from seeded starts; empty cells are dropped."""
     rng = np.random.default_rng(SEED)
     c = x[rng.choice(len(x), min(n, len(x)), replace=False)]
     for _ in range(ROUNDS):
-        own = (x @ c.T).argmax(1)
+        own = np.concatenate([near.argmax(1) for _, near in products(x, c, limit)])
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         size = np.linalg.norm(total, axis=1)
@@ -85,7 +96,7 @@ def fitted(nodes: DataFrame) -> dict[str, np.ndarray]:
     """Centroids by group, where it is larger than a cell; each group's are fitted in one task on its sample."""
     whole = nodes.agg(F.count("*").alias("n"), F.max(F.length("data")).alias("bytes")).first()
     # cells grow so that all centroids together stay within their bound
-    cell = max(CELL, -(-whole["n"] * (whole["bytes"] or 0) // CENTROID_BYTES))
+    limit, cell = STEP_BYTES, max(CELL, -(-whole["n"] * (whole["bytes"] or 0) // CENTROID_BYTES))
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > cell)
     # a hash decides, so the sample is the same whenever a task runs again
     drawn = F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < F.lit(SAMPLE) / F.col("size") * (1 << 30)
@@ -93,7 +104,7 @@ def fitted(nodes: DataFrame) -> dict[str, np.ndarray]:
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("print")
-        found = centroids(unit(own["data"].tolist()), -(-int(own["size"].iloc[0]) // cell))
+        found = centroids(unit(own["data"].tolist()), -(-int(own["size"].iloc[0]) // cell), limit)
         return pd.DataFrame({"grp": own["grp"].iloc[0], "centroids": [found.tobytes()], "cells": [len(found)]})
 
     rows = sample.groupBy("grp").applyInPandas(fit, "grp string, centroids binary, cells int").collect()
@@ -104,29 +115,31 @@ def assigned(nodes: DataFrame, cells: dict[str, np.ndarray], threshold: float) -
     """grp, cell, home, node, copies, data: each node in its own cell and in those it has to visit."""
     shared = nodes.sparkSession.sparkContext.broadcast(cells)
     reach = np.sqrt(1 - threshold**2) + MARGIN if threshold > 0 else 2.0
+    limit = STEP_BYTES
+
+    def placed(batch, at, cell, home):
+        return {n: batch.column(n).take(pa.array(at)) for n in ("grp", "node", "copies", "data")} | {"cell": cell, "home": home}
 
     def make():
         def run(batches):
             for batch in batches:
                 groups = np.array(batch.column("grp").to_pylist())
-                row, cell, home = [], [], []
-                for grp in np.unique(groups):
-                    own, c = np.flatnonzero(groups == grp), shared.value.get(grp)
-                    if c is None or len(c) < 2:
-                        row.append(own), cell.append(np.zeros(len(own), np.int64)), home.append(np.ones(len(own), bool))
-                        continue
-                    for low in range(0, len(own), 512):
-                        part = own[low : low + 512]
-                        near = unit(batch.column("data").take(pa.array(part)).to_pylist()) @ c.T
+                alone = np.array([len(shared.value.get(grp, ())) < 2 for grp in groups], bool)
+                if alone.any():
+                    at = np.flatnonzero(alone)
+                    yield placed(batch, at, np.zeros(len(at), np.int64), np.ones(len(at), bool))
+                for grp in np.unique(groups[~alone]):
+                    own, c = np.flatnonzero(groups == grp), shared.value[grp]
+                    x, rows = unit(batch.column("data").take(pa.array(own)).to_pylist()), max(1, limit // c[0].nbytes)
+                    for low, near in products(x, c, limit):
                         best = near.argmax(1)
-                        gap = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-18))
-                        visit = near.max(1)[:, None] - near <= reach * gap[best]
-                        visit[np.arange(len(part)), best] = True
+                        gap = np.sqrt(np.maximum(2 - 2 * c[best] @ c.T, 1e-18))
+                        visit = near.max(1)[:, None] - near <= reach * gap
+                        visit[np.arange(len(near)), best] = True
                         i, k = np.nonzero(visit)
-                        row.append(part[i]), cell.append(k), home.append(best[i] == k)
-                if row:
-                    at = pa.array(np.concatenate(row))
-                    yield {n: batch.column(n).take(at) for n in ("grp", "node", "copies", "data")} | {"cell": np.concatenate(cell), "home": np.concatenate(home)}
+                        for first in range(0, len(i), rows):
+                            a, b = i[first : first + rows], k[first : first + rows]
+                            yield placed(batch, own[low + a], b, best[a] == b)
 
         return run
 

@@ -303,10 +303,11 @@ def brute_vectors(rows, threshold):
     return {k: (n[k], least[k], least[k] == k) for k, _, _ in rows}
 
 
-@pytest.mark.parametrize(("cell", "block"), [(4096, 2048), (20, 7)])
-def test_vectors_lose_no_link(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize(("cell", "block", "step"), [(4096, 2048, 32 << 20), (20, 7, 32 << 20), (20, 7, 200)])
+def test_vectors_lose_no_link(spark, monkeypatch, cell, block, step):
     monkeypatch.setattr(vectors, "CELL", cell)
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "STEP_BYTES", step)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(12, 8))
     rows = [(i, (centres[i % 12] + rng.normal(size=8) * [0.05, 0.2, 0.4][i % 3]).astype(np.float32).tolist(), i % 2) for i in range(150)]
@@ -315,6 +316,11 @@ def test_vectors_lose_no_link(spark, monkeypatch, cell, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.deduplicated(df).collect()} == brute_vectors(rows, 0.93)
 
 
+def test_centroids_do_not_depend_on_the_steps():
+    x = vectors.unit([v.tobytes() for v in np.random.default_rng(3).normal(size=(500, 16))])
+    assert np.allclose(vectors.centroids(x, 40, 1), vectors.centroids(x, 40, 1 << 20))
+
+
 def test_no_vectors(spark):
     assert vectors.deduplicated(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
