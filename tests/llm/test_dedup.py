@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import pathlib
 import random
+import time
 from collections import defaultdict
 
 import duckdb
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lintel.llm import components, jaccard, queries, suffixes, units, vectors
+from lintel.llm import batches, components, jaccard, queries, suffixes, units, vectors
 
 from .conftest import prose
 
@@ -287,6 +289,25 @@ def test_lines_of_any_length_and_script_are_units(spark, tmp_path):
         assert found == sorted(sql.sql(queries.LINE_DEDUP).fetchall())
 
 
+# --- disk
+
+
+def test_a_checkpoint_in_use_keeps_no_shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    batches.released(spark.range(1))
+    time.sleep(1)
+    files = lambda: {str(f) for f in pathlib.Path(folder).rglob("shuffle_*.data")}
+    before = files()
+    kept = batches.checkpointed(spark.range(100_000).select("id", F.xxhash64("id").alias("h")).repartition(5, "h"))
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        batches.released(kept)
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 100_000
+    assert spark.conf.get(batches.CLEANUP, None) in (None, "false")
+
+
 # --- vectors
 
 
@@ -316,6 +337,25 @@ def test_vectors_lose_no_link(spark, monkeypatch, cell, block, step):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.deduplicated(df).collect()} == brute_vectors(rows, 0.93)
 
 
+def test_rounds_lose_no_link_and_bound_what_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "SHUFFLE_BYTES", 0)
+    rng, shuffled, tiled = np.random.default_rng(8), [], vectors.tiled
+    base = rng.normal(size=(100, 12))
+    rows = [(i, (base[i % 100] + rng.normal(size=12) * 0.3 * (i >= 100)).astype(np.float32).tolist(), 0) for i in range(400)]
+
+    def counted(*args):
+        shuffled.append(tiled(*args).agg(F.sum(F.length("data"))).first()[0] or 0)
+        return tiled(*args)
+
+    monkeypatch.setattr(vectors, "tiled", counted)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.deduplicated(df).collect()} == brute_vectors(rows, 0.93)
+    # without structure each vector is copied many times in all, but about once in a round
+    assert sum(shuffled) > 5 * 400 * 48 and max(shuffled) <= 2 * 400 * 48
+
+
 def test_centroids_do_not_depend_on_the_steps():
     x = vectors.unit([v.tobytes() for v in np.random.default_rng(3).normal(size=(500, 16))])
     assert np.allclose(vectors.centroids(x, 40, 1), vectors.centroids(x, 40, 1 << 20))
