@@ -107,7 +107,7 @@ def packed_partitions(documents: DataFrame, path: str, window: int, open_windows
     """COLUMNS, task, ids: the pieces of each partition; ids only where the window is its leftover."""
 
     def make():
-        encode = tokenizer(path)
+        encode = tokenizer(path, __name__)
 
         def run(batches) -> Iterator[dict]:
             task = TaskContext.get().partitionId()

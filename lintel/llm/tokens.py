@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from lintel.llm.batches import words
+from lintel.llm.batches import LEFT, words
 
 KEPT = 150_000
 SIMPLE = re.compile(r"([a-zà-öø-ÿÀ-ÖØ-Þ]*)([.,;:!?#$%&*|<>()]*)")
@@ -71,5 +71,11 @@ class WordTokenizer:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> WordTokenizer:
+def loaded(path: str) -> WordTokenizer:
     return WordTokenizer(path)
+
+
+def tokenizer(path: str, module: str = __name__) -> WordTokenizer:
+    """The tokenizer, which the worker keeps until it runs another module's tasks."""
+    LEFT[module] = loaded.cache_clear
+    return loaded(path)

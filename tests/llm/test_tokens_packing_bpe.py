@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lintel.llm import bpe, packing
+from lintel.llm import batches, bpe, packing
 from lintel.llm.tokens import tokenizer
 
 from .conftest import HARD, prose
@@ -125,3 +125,11 @@ def test_round_trip(spark, hard_docs):
     back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(tokens).collect()}
     assert back == {r.doc_id: (r.text or "").encode() for r in hard_docs.collect() if r.doc_id is not None}
     assert len(HARD) > 5
+
+
+def test_workers_drop_the_tokenizer_when_they_run_other_operators():
+    kept = tokenizer(WORDS, "lintel.llm.packing")
+    batches.clear_others("lintel.llm.packing")
+    assert tokenizer(WORDS, "lintel.llm.packing") is kept
+    batches.clear_others("lintel.llm.toxicity")
+    assert tokenizer(WORDS, "lintel.llm.packing") is not kept
