@@ -34,6 +34,8 @@ STATES, HEAD, KNOWN, SEED = 8, 40_000, 200_000, 11
 #: The likelihood has settled once a round gains no more than this share of it.
 SETTLED = 5e-4
 ONES = np.ones(STATES)
+#: Every so many tokens a text's vectors are scaled; no product of so many probabilities leaves the doubles.
+SCALED = 8
 SLICE = 6 << 20
 #: Tokens of a long text, which is put with others of its kind until they have so many together.
 LONG, TOKENS = 1500, 800_000
@@ -115,6 +117,13 @@ def laid(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return order, ends, rank, offsets[:-1][order][rank] + np.repeat(np.arange(len(alive)), alive)
 
 
+def lasts(offsets: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the texts with tokens, as laid: where their last ones lie."""
+    sizes = np.diff(offsets)[order]
+    sizes = sizes[sizes > 0]
+    return ends[sizes - 1] + np.arange(len(sizes))
+
+
 class Space:
     """Arrays of vectors that one batch after another is worked out in: fresh ones would be cleared by the system each time."""
 
@@ -148,23 +157,25 @@ class Chain:
         return cls(np.full(STATES, 1 / STATES), step, emit / emit.sum(0))
 
     def forward(self, offsets: np.ndarray, events: np.ndarray, keep: bool = False):
-        """(log likelihood by text, scaled forward vectors, scales), all texts a token at a time together; the latter two as laid().
+        """(log likelihood by text, scaled forward vectors, scales, 1 where none is), all texts a token at a time together; the latter two as laid().
 
         The vectors, which are there with keep alone, lie in a space that the next call overwrites.
         """
         order, ends, rank, place = laid(offsets)
         alphas, bounds = self.emit.take(events[place], 0, Space.of("alphas", len(place)), "clip"), ends.tolist()
-        scales = np.empty(len(alphas))
+        scales, step = np.ones(len(alphas)), self.step
         before = None
-        for low, high in zip(bounds, bounds[1:]):
+        for at, (low, high) in enumerate(zip(bounds, bounds[1:])):
             # a place's emissions turn into its forward vectors
-            alpha, scale = alphas[low:high], scales[low:high]
-            alpha *= self.start if before is None else before[: high - low] @ self.step
-            np.matmul(alpha, ONES, out=scale)
-            alpha *= np.reciprocal(scale)[:, None]
+            alpha = alphas[low:high]
+            alpha *= self.start if before is None else before[: high - low] @ step
+            if not at % SCALED:
+                scale = np.matmul(alpha, ONES, out=scales[low:high])
+                alpha *= np.reciprocal(scale)[:, None]
             before = alpha
-        out = np.empty(len(order))
+        out, last = np.empty(len(order)), lasts(offsets, order, ends)
         out[order] = np.bincount(rank, np.log(scales), len(order))
+        out[order[: len(last)]] += np.log(alphas[last] @ ONES)
         return out, alphas if keep else None, scales
 
     def expected(self, offsets: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,10 +185,13 @@ class Chain:
     def judged(self, offsets: np.ndarray, events: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """The texts' log likelihood, and as expected()."""
         likelihood, alphas, scales = self.forward(offsets, events, True)
-        _, ends, _, place = laid(offsets)
+        order, ends, _, place = laid(offsets)
+        last = lasts(offsets, order, ends)
         events, bounds, back = events[place], ends.tolist(), np.ascontiguousarray(self.step.T)
         aheads = self.emit.take(events, 0, Space.of("aheads", len(events)), "clip")
-        aheads *= np.reciprocal(scales)[:, None]
+        for low, high in zip(bounds[:-1:SCALED], bounds[1::SCALED]):
+            aheads[low:high] *= np.reciprocal(scales[low:high])[:, None]
+        aheads[last] *= np.reciprocal(alphas[last] @ ONES)[:, None]
         moves, ahead = np.zeros((STATES, STATES)), None
         for low, high in zip(bounds[-2::-1], bounds[:0:-1]):
             # a place's scaled emissions turn into what the place before it looks ahead to
@@ -191,6 +205,7 @@ class Chain:
                 alpha *= beta
             ahead = own
         alphas *= np.reciprocal(alphas @ ONES)[:, None]
+        events = events.astype(np.int64)
         emitted = np.stack([np.bincount(events, alphas[:, s], len(self.emit)) for s in range(STATES)], 1)
         return float(likelihood.sum()), alphas[: bounds[min(1, len(bounds) - 1)]].sum(0), moves * self.step, emitted
 

@@ -272,6 +272,32 @@ def test_forward_is_the_sum_over_all_paths():
     assert got == pytest.approx([likelihood(t) for t in texts], rel=1e-10)
 
 
+def test_texts_scaled_now_and_then_count_as_in_a_plain_recursion():
+    chain, rng = random_chain(np.random.default_rng(4), 6), np.random.default_rng(6)
+    texts = [rng.integers(0, 6, n) for n in (20, 1, 8, 9, 2, 33)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    likelihood, start, moves, emitted = 0.0, np.zeros(hmm.STATES), np.zeros((hmm.STATES,) * 2), np.zeros((6, hmm.STATES))
+    for text in texts:
+        alpha, beta = [chain.start * chain.emit[text[0]]], [np.ones(hmm.STATES)]
+        for e in text[1:]:
+            alpha.append(alpha[-1] @ chain.step * chain.emit[e])
+        for e in text[:0:-1]:
+            beta.insert(0, chain.step @ (chain.emit[e] * beta[0]))
+        total = alpha[-1].sum()
+        likelihood += np.log(total)
+        start += alpha[0] * beta[0] / total
+        for t, e in enumerate(text):
+            emitted[e] += alpha[t] * beta[t] / total
+            if t:
+                moves += alpha[t - 1][:, None] * chain.step * (chain.emit[e] * beta[t]) / total
+    got = chain.judged(offsets, np.concatenate(texts))
+    for a, b in zip(got, (likelihood, start, moves, emitted), strict=True):
+        assert np.allclose(a, b, rtol=1e-11, atol=0)
+    scales = chain.forward(offsets, np.concatenate(texts))[2]
+    # only places 0, 8, 16, 24 and 32 of texts that are as long; before, all were scaled
+    assert (scales != 1).sum() == sum(-(-len(text) // hmm.SCALED) for text in texts)
+
+
 def test_training_never_lowers_the_likelihood():
     rng = np.random.default_rng(3)
     chain = random_chain(rng, 6)
