@@ -39,6 +39,8 @@ SCALED = 8
 SLICE = 6 << 20
 #: Tokens of a long text, which is put with others of its kind until they have so many together.
 LONG, TOKENS = 1500, 800_000
+#: Texts at a place, up to which it is done together with others.
+FEW = 64
 END = "\n"  # no word
 LOG = logging.getLogger(__name__)
 SMOOTHING = 4.0
@@ -193,7 +195,21 @@ class Chain:
             aheads[low:high] *= np.reciprocal(scales[low:high])[:, None]
         aheads[last] *= np.reciprocal(alphas[last] @ ONES)[:, None]
         moves, ahead = np.zeros((STATES, STATES)), None
-        for low, high in zip(bounds[-2::-1], bounds[:0:-1]):
+        # places of few texts come first, of which there are many: what can be done for all of them together is
+        alive = np.diff(ends)
+        many = int((alive > FEW).sum())
+        for low, high in zip(bounds[-2:many - 1 if many else None:-1], bounds[:many:-1]):
+            own = aheads[low:high]
+            if ahead is not None:
+                own[: len(ahead)] *= ahead @ back
+            ahead = own
+        if len(alive) > many + 1:
+            first = bounds[many + 1]
+            before = np.arange(first, len(events)) - np.repeat(alive[many:-1], alive[many + 1 :])
+            alpha = alphas.take(before, 0)
+            moves += alpha.T @ aheads[first:]
+            alphas[before] = alpha * (aheads[first:] @ back)
+        for low, high in zip(bounds[:many][::-1], bounds[1 : many + 1][::-1]):
             # a place's scaled emissions turn into what the place before it looks ahead to
             own = aheads[low:high]
             if ahead is not None:

@@ -272,7 +272,9 @@ def test_forward_is_the_sum_over_all_paths():
     assert got == pytest.approx([likelihood(t) for t in texts], rel=1e-10)
 
 
-def test_texts_scaled_now_and_then_count_as_in_a_plain_recursion():
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_texts_scaled_now_and_then_count_as_in_a_plain_recursion(monkeypatch, few):
+    monkeypatch.setattr(hmm, "FEW", few)
     chain, rng = random_chain(np.random.default_rng(4), 6), np.random.default_rng(6)
     texts = [rng.integers(0, 6, n) for n in (20, 1, 8, 9, 2, 33)]
     offsets = np.cumsum([0, *map(len, texts)])
