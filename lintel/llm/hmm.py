@@ -41,6 +41,11 @@ SLICE = 6 << 20
 LONG, TOKENS = 1500, 800_000
 #: Texts at a place, up to which it is done together with others.
 FEW = 64
+#: Events whose counts of a task are handed on in one row.
+PART = 512
+PARTED = "part int, seen binary, sums binary"
+#: Vectors whose states are parted at a time, which stay in the processor's cache.
+TURNED = 512
 END = "\n"  # no word
 LOG = logging.getLogger(__name__)
 SMOOTHING = 4.0
@@ -104,26 +109,35 @@ class Vocabulary:
         offsets = offsets + np.arange(len(offsets))
         return offsets, np.append(event, self.end)[codes], codes, vocabulary
 
+    def code(self) -> np.dtype:
+        return np.min_scalar_type(self.events)
+
     def unigram(self) -> np.ndarray:
         p = np.append(self.counts[: self.n_head].astype(float), [max(self.rest_tokens, 1), 0]) + 0.5
         return p / p.sum()
 
 
-def laid(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens laid by their place in the text, longer texts first: (texts in that order, ends of places, and of each token its text's rank and its index)."""
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Ends of the places of texts of these sizes, longest first, whose tokens are laid by their place in the text."""
+    alive = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), "left")  # texts longer than t
+    return np.concatenate(([0], np.cumsum(alive)))
+
+
+def laid(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens laid by their place in the text, longer texts first: (texts in that order, ends of places, each token's index)."""
     sizes = np.diff(offsets)
     order = np.argsort(-sizes, kind="stable")
-    alive = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")  # texts longer than t
-    ends = np.concatenate(([0], np.cumsum(alive)))
+    ends = places(sizes[order])
+    alive = np.diff(ends)
     rank = np.arange(ends[-1]) - np.repeat(ends[:-1], alive)
-    return order, ends, rank, offsets[:-1][order][rank] + np.repeat(np.arange(len(alive)), alive)
+    return order, ends, offsets[:-1][order][rank] + np.repeat(np.arange(len(alive)), alive)
 
 
-def lasts(offsets: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of the texts with tokens, as laid: where their last ones lie."""
-    sizes = np.diff(offsets)[order]
-    sizes = sizes[sizes > 0]
-    return ends[sizes - 1] + np.arange(len(sizes))
+def lasts(ends: np.ndarray) -> np.ndarray:
+    """Where the last tokens of laid texts lie, those of texts without tokens left out."""
+    alive = np.diff(ends)
+    rank = np.arange(alive[0] if len(alive) else 0)
+    return ends[np.searchsorted(-alive, -rank, "left") - 1] + rank
 
 
 class Space:
@@ -163,22 +177,29 @@ class Chain:
 
         The vectors, which are there with keep alone, lie in a space that the next call overwrites.
         """
-        order, ends, rank, place = laid(offsets)
-        alphas, bounds = self.emit.take(events[place], 0, Space.of("alphas", len(place)), "clip"), ends.tolist()
+        order, ends, place = laid(offsets)
+        own, alphas, scales = self.along(ends, events[place])
+        out = np.zeros(len(order))
+        out[order[: len(own)]] = own
+        return out, alphas if keep else None, scales
+
+    def along(self, ends: np.ndarray, events: np.ndarray):
+        """As forward(), of laid texts, those without tokens left out."""
+        alphas, bounds = self.emit.take(events, 0, Space.of("alphas", len(events)), "clip"), ends.tolist()
         scales, step = np.ones(len(alphas)), self.step
-        before = None
+        out = np.zeros(bounds[1] if len(bounds) > 1 else 0)
+        before, moved = None, np.empty((len(out), STATES))
         for at, (low, high) in enumerate(zip(bounds, bounds[1:])):
             # a place's emissions turn into its forward vectors
             alpha = alphas[low:high]
-            alpha *= self.start if before is None else before[: high - low] @ step
+            alpha *= self.start if before is None else np.matmul(before[: high - low], step, out=moved[: high - low])
             if not at % SCALED:
                 scale = np.matmul(alpha, ONES, out=scales[low:high])
                 alpha *= np.reciprocal(scale)[:, None]
+                out[: high - low] += np.log(scale)
             before = alpha
-        out, last = np.empty(len(order)), lasts(offsets, order, ends)
-        out[order] = np.bincount(rank, np.log(scales), len(order))
-        out[order[: len(last)]] += np.log(alphas[last] @ ONES)
-        return out, alphas if keep else None, scales
+        out += np.log(alphas[lasts(ends)] @ ONES)
+        return out, alphas, scales
 
     def expected(self, offsets: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, transitions and emissions (by event) of texts: one E-step."""
@@ -186,14 +207,20 @@ class Chain:
 
     def judged(self, offsets: np.ndarray, events: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """The texts' log likelihood, and as expected()."""
-        likelihood, alphas, scales = self.forward(offsets, events, True)
-        order, ends, _, place = laid(offsets)
-        last = lasts(offsets, order, ends)
-        events, bounds, back = events[place], ends.tolist(), np.ascontiguousarray(self.step.T)
+        _, ends, place = laid(offsets)
+        return self.counted(ends, events[place])
+
+    def counted(self, ends: np.ndarray, events: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """As judged(), of laid texts."""
+        events = events.astype(np.intp, copy=False)
+        likelihood, alphas, scales = self.along(ends, events)
+        last, bounds, back = lasts(ends), ends.tolist(), np.ascontiguousarray(self.step.T)
         aheads = self.emit.take(events, 0, Space.of("aheads", len(events)), "clip")
         for low, high in zip(bounds[:-1:SCALED], bounds[1::SCALED]):
             aheads[low:high] *= np.reciprocal(scales[low:high])[:, None]
-        aheads[last] *= np.reciprocal(alphas[last] @ ONES)[:, None]
+        final = np.reciprocal(alphas[last] @ ONES)[:, None]
+        aheads[last] *= final
+        alphas[last] *= final  # with it all products of vectors ahead and back add up to one
         moves, ahead = np.zeros((STATES, STATES)), None
         # places of few texts come first, of which there are many: what can be done for all of them together is
         alive = np.diff(ends)
@@ -209,6 +236,7 @@ class Chain:
             alpha = alphas.take(before, 0)
             moves += alpha.T @ aheads[first:]
             alphas[before] = alpha * (aheads[first:] @ back)
+        moved = np.empty((len(likelihood), STATES))
         for low, high in zip(bounds[:many][::-1], bounds[1 : many + 1][::-1]):
             # a place's scaled emissions turn into what the place before it looks ahead to
             own = aheads[low:high]
@@ -216,13 +244,15 @@ class Chain:
                 more = len(ahead)
                 alpha = alphas[low : low + more]
                 moves += alpha.T @ ahead
-                beta = ahead @ back
+                beta = np.matmul(ahead, back, out=moved[:more])
                 own[:more] *= beta
                 alpha *= beta
             ahead = own
-        alphas *= np.reciprocal(alphas @ ONES)[:, None]
-        events = events.astype(np.int64)
-        emitted = np.stack([np.bincount(events, alphas[:, s], len(self.emit)) for s in range(STATES)], 1)
+        # by state, in the space of the vectors ahead, which are done with
+        columns = Space.of("aheads", len(events)).reshape(STATES, len(events))
+        for low in range(0, len(events), TURNED):
+            columns[:, low : low + TURNED] = alphas[low : low + TURNED].T
+        emitted = np.stack([np.bincount(events, column, len(self.emit)) for column in columns], 1)
         return float(likelihood.sum()), alphas[: bounds[min(1, len(bounds) - 1)]].sum(0), moves * self.step, emitted
 
     @classmethod
@@ -235,73 +265,103 @@ class Chain:
 
 
 def coded(documents: DataFrame, shared, text: str) -> DataFrame:
-    """sizes, events: of some texts at a time the tokens of each and the events of all, as bytes of 32-bit numbers.
+    """sizes, events: of some texts at a time, longest first, the tokens of each and the events of all as laid(), the former as bytes of 32-bit numbers, the latter of the shortest that hold all events.
 
     Texts of more than LONG tokens are put together apart from the rest, as texts that are read
     a token at a time together should be about equally long.
     """
 
-    def part_of(offsets: np.ndarray, events: np.ndarray, pick: np.ndarray) -> tuple[bytes, bytes]:
+    def part_of(offsets: np.ndarray, events: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.diff(offsets)
-        return sizes[pick].astype(np.int32).tobytes(), events[np.repeat(pick, sizes)].astype(np.int32).tobytes()
+        return sizes[pick], events[np.repeat(pick, sizes)].astype(shared.value.code())
+
+    def together(*parts: tuple[np.ndarray, np.ndarray]) -> dict[str, list[bytes]]:
+        sizes, events = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, _, place = laid(np.concatenate(([0], np.cumsum(sizes))))
+        return {"sizes": [sizes[order].astype(np.int32).tobytes()], "events": [events[place].tobytes()]}
 
     def make():
         def run(batches):
-            held: list[tuple[bytes, bytes]] = []
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for _, texts in slices(batches, text, SLICE):
                 offsets, events, _, _ = shared.value.read(texts)
                 long = np.diff(offsets) > LONG
-                short, more = part_of(offsets, events, ~long), part_of(offsets, events, long)
-                yield {"sizes": [short[0]], "events": [short[1]]}
-                held.append(more)
-                if sum(len(x[1]) for x in held) > 4 * TOKENS:
-                    yield {"sizes": [b"".join(x[0] for x in held)], "events": [b"".join(x[1] for x in held)]}
+                yield together(part_of(offsets, events, ~long))
+                held.append(part_of(offsets, events, long))
+                if sum(len(x[1]) for x in held) > TOKENS:
+                    yield together(*held)
                     held = []
-            yield {"sizes": [b"".join(x[0] for x in held)], "events": [b"".join(x[1] for x in held)]}
+            if held:
+                yield together(*held)
 
         return run
 
     return map_arrow(documents.select(text), make, "sizes binary, events binary")
 
 
+def parted(table: np.ndarray) -> dict[str, list]:
+    """part, seen, sums: of PART rows of a table at a time the numbers of those that aren't all zero, and these, as bytes."""
+    seen = np.flatnonzero(table.any(1)).astype(np.int32)
+    parts, first = np.unique(seen // PART, return_index=True)
+    bounds = [*first.tolist(), len(seen)]
+    pieces = [seen[low:high] for low, high in zip(bounds, bounds[1:])]
+    return {"part": parts, "seen": [x.tobytes() for x in pieces], "sums": [table[x].tobytes() for x in pieces]}
+
+
+def add_parts(table: np.ndarray, seen, sums) -> None:
+    """Adds what parted() gave to the table."""
+    for rows, own in zip(seen, sums, strict=True):
+        table[np.frombuffer(rows, np.int32)] += np.frombuffer(own).reshape(-1, STATES)
+
+
+def added(tables: DataFrame, n: int) -> np.ndarray:
+    """The sum of tables of n rows, each dealt to rows as parted(): a part's are added up in one task, as a stream."""
+
+    def make():
+        def run(batches):
+            table = np.zeros((n, STATES))
+            for batch in batches:
+                add_parts(table, *([x.as_buffer() for x in batch.column(c)] for c in ("seen", "sums")))
+            yield parted(table)
+
+        return run
+
+    rows = map_arrow(tables.repartition("part"), make, PARTED).collect()
+    table = np.zeros((n, STATES))
+    add_parts(table, [r.seen for r in rows], [r.sums for r in rows])
+    return table
+
+
 def trained(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Chain:
     """Baum-Welch over all rows until their likelihood settles: expected counts of each partition are added up by event."""
     context = documents.sparkSession.sparkContext
     texts = written(coded(documents, context.broadcast(vocabulary), text))
     chain, before, n_events = Chain.first(vocabulary), None, vocabulary.events
-    names = [f"e{s}" for s in range(STATES)]
+    # a row of sums by state for each event, then starts, transitions from each state, and the likelihood
+    n, code = n_events + 2 + STATES, vocabulary.code()
     while True:
         model = context.broadcast(chain)
 
         def make(model=model):
             def run(batches):
-                likelihood, start, moves, emitted = np.zeros(STATES), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((n_events, STATES))
+                table = np.zeros((n, STATES))
                 for batch in batches:
                     for sizes, events in zip(batch.column("sizes"), batch.column("events"), strict=True):
-                        offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32), dtype=np.int64)))
-                        own = model.value.judged(offsets, np.frombuffer(events.as_buffer(), np.int32))
-                        likelihood[0] += own[0]
-                        for total, part in zip((start, moves, emitted), own[1:], strict=True):
-                            total += part
+                        own = model.value.counted(places(np.frombuffer(sizes.as_buffer(), np.int32)), np.frombuffer(events.as_buffer(), code))
+                        for at, part in zip((slice(n - 1, n), slice(n_events, n_events + 1), slice(n_events + 1, n - 1), slice(n_events)), own, strict=True):
+                            table[at] += part
                 Space.clear()
-                seen = np.flatnonzero(emitted.any(1))
-                # starts have event -1, transitions from state s have event -2 - s, the likelihood has the event below
-                event = np.concatenate((seen, [-1], -2 - np.arange(STATES), [-2 - STATES]))
-                table = np.concatenate((emitted[seen], start[None], moves, likelihood[None]))
-                yield {"event": event} | {n: table[:, s] for s, n in enumerate(names)}
+                yield parted(table)
 
             return run
 
-        rows = map_arrow(texts, make, ", ".join(["event bigint", *(f"{n} double" for n in names)]))
-        total = rows.groupBy("event").agg(*(F.sum(n).alias(n) for n in names)).toPandas().set_index("event")
-        table = np.zeros((n_events + 2 + STATES, STATES))
-        table[total.index.to_numpy()] = total[names].to_numpy()
+        table = added(map_arrow(texts, make, PARTED), n)
         model.unpersist()
-        after = table[-2 - STATES, 0] / max(vocabulary.tokens, 1)
+        after = table[-1, 0] / max(vocabulary.tokens, 1)
         LOG.info("mean log likelihood of a token: %.5f", after)
         if before is not None and after - before <= SETTLED * abs(before):
             return chain
-        before, chain = after, Chain.of(table[-1], table[[-2 - s for s in range(STATES)]], table[:n_events], vocabulary)
+        before, chain = after, Chain.of(table[n_events], table[n_events + 1 : -1], table[:n_events], vocabulary)
 
 
 def scored_rows(documents: DataFrame, vocabulary: Vocabulary, chain: Chain) -> DataFrame:

@@ -323,6 +323,30 @@ def test_rounds_over_all_texts_settle(docs):
     assert after - before <= 1e-3 * abs(before)
 
 
+def test_a_round_hands_on_few_rows_and_reads_texts_as_laid(docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(hmm, "map_arrow", lambda *args: made.append(batches.map_arrow(*args)) or made[-1])
+    vocabulary = hmm.Vocabulary.of(hmm.word_counts(docs, "text"))
+    del made[:]
+    hmm.trained(docs, vocabulary)
+    coded, of_tasks = made[0].collect(), made[1]
+    # before, a row for each event that a task had met
+    assert of_tasks.count() <= of_tasks.rdd.getNumPartitions() * (vocabulary.events // 512 + 2) < vocabulary.events
+    sizes = [np.frombuffer(r.sizes, np.int32) for r in coded]
+    offsets, events, _, _ = vocabulary.read(pa.array([r.text or "" for r in docs.select("text").collect()]))
+    assert sorted(np.concatenate(sizes)) == sorted(np.diff(offsets)) and all((np.diff(x) <= 0).all() for x in sizes)
+    chain = hmm.Chain.first(vocabulary)
+    own = [chain.counted(hmm.places(x), np.frombuffer(r.events, vocabulary.code())) for x, r in zip(sizes, coded, strict=True)]
+    for part, whole in zip(zip(*own, strict=True), chain.judged(offsets, events), strict=True):
+        assert np.allclose(sum(part), whole, rtol=1e-11, atol=0)
+
+
+def test_tables_of_tasks_are_added_up(spark):
+    tables = [np.random.default_rng(k).integers(-3, 4, (1300, hmm.STATES)) * (np.arange(1300) % (k + 2) == 0)[:, None] / 4 for k in range(4)] + [np.zeros((1300, hmm.STATES))]
+    rows = [row for t in tables for row in zip(*(x if isinstance(x, list) else x.tolist() for x in hmm.parted(t).values()), strict=True)]
+    assert np.array_equal(hmm.added(spark.createDataFrame(rows, hmm.PARTED), 1300), sum(tables))
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     before = {r.doc_id: r for r in hmm.judged(docs).collect()}
     monkeypatch.setattr(hmm, "KNOWN", 500)
