@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm import jaccard, langid, packing, suffixes, toxicity
-from lintel.llm.batches import fresh, written
+from lintel.llm.batches import fresh, shrunk, written
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those scored 0.5 or more; learnt from all labels."""
@@ -47,12 +48,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def alone(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, begun with heaps that hold no room that other stages asked for."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrunk(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("language_id", keep_identified),
-    ("jaccard_join", keep_representatives),
-    ("suffix_dedup", drop_repeats),
-    ("packing", pack),
+    ("toxicity", alone(drop_toxic)),
+    ("language_id", alone(keep_identified)),
+    ("jaccard_join", alone(keep_representatives)),
+    ("suffix_dedup", alone(drop_repeats)),
+    ("packing", alone(pack)),
 ]
 
 #: No stage's decisions can be stated in SQL; tests hold each against a brute-force version.

@@ -314,7 +314,7 @@ def ties(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame
     rows = released(checkpointed(shared(pairs).distinct()))
     sizes = rows.groupBy("sig").agg(F.count("*").alias("nodes"), F.min("node").alias("least")).filter("nodes > 1")
     each = checkpointed(rows.join(sizes, "sig"))
-    first = checkpointed(least_ties(each, sketched, num, den))
+    first = released(checkpointed(least_ties(each, sketched, num, den)))
     labels = checkpointed(components(first))
     labelled = checkpointed(each.join(labels, "node", "left").select("sig", "node", "nodes", F.coalesce("component", "node").alias("label")))
     undone = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
@@ -495,7 +495,7 @@ def compared(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
         return run
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    rows = checkpointed(map_arrow(members, make_sets, "grp bigint, blocks int, node bigint, elements binary").select("grp", "blocks", own, "node", "elements"))
+    rows = released(checkpointed(map_arrow(members, make_sets, "grp bigint, blocks int, node bigint, elements binary").select("grp", "blocks", own, "node", "elements")))
     columns = ["grp", "own", "node", "elements"]
     several = rows.filter("blocks > 1")
     if several.isEmpty():
@@ -523,7 +523,7 @@ def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, t
     has = (F.col("n") > 0) & F.col("node").isNotNull()
     # until their texts are needed, equal sets go by the first half of their fingerprint
     sketched = base.filter(has).groupBy(F.col("f1").alias("node")).agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
-    tied = checkpointed(ties(signed(texts, size, num, den), sketched, num, den))
+    tied = released(checkpointed(ties(signed(texts, size, num, den), sketched, num, den)))
     coarse = checkpointed(components(tied).select(F.col("node").alias("f1"), F.col("component").alias("grp")))
     groups = checkpointed(base.filter(has).groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")))
     sized = groups.join(coarse, "f1")

@@ -1,8 +1,15 @@
+import os
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import corpus_pipeline
+import pyspark
 import pytest
 from corpus_pipeline import STAGES
 
-from ..conftest import DATA
+from ..conftest import DATA, ROOT
 from .conftest import FIELDS, prose
 from .test_dedup import brute_join, brute_repeats
 
@@ -83,3 +90,36 @@ def test_toxic_documents_go_and_others_stay(spark):
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from corpus_pipeline import STAGES
+
+at, data = sys.argv[1:]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "900m", "spark.executor.extraJavaOptions": f"-XX:+UseG1GC -Xlog:gc:file={at}/gc-%p.log",
+        "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.warehouse.dir": f"{at}/warehouse", "spark.checkpoint.dir": f"{at}/shared"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+spark.range(0, 2, 1, 2).selectExpr("size(sequence(id, id + 20000000)) as n").collect()  # heaps grow
+dict(STAGES)["packing"](spark, spark.read.parquet(f"{data}/documents.parquet").limit(20), data).count()
+spark.stop()
+"""
+
+
+def test_heaps_that_grew_before_a_stage_are_given_back(tmp_path):
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors work in a folder of Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")]), "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "PYSPARK_SUBMIT_ARGS")}
+    done = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path), DATA], cwd=tmp_path, env=env, capture_output=True, text=True, check=False, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    logs = [p.read_text() for p in tmp_path.glob("gc-*.log")]
+    assert len(logs) == 2
+    for log in logs:
+        sizes = [int(x) for x in re.findall(r"M\((\d+)M\)", log)]
+        given_back = [int(x) for x in re.findall(r"Pause Full \(System\.gc\(\)\) \d+M->\d+M\((\d+)M\)", log)]
+        assert given_back and min(given_back) < max(sizes) / 2
