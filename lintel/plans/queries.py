@@ -285,7 +285,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and orders as entities: a cut, and what all orders reach."""
     import uuid
 
-    from lintel.sources.epochs import EpochStore
+    from lintel.sources.epochs import EpochStore, joined
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
     store = EpochStore(spark, f"{shared}/epochs-{uuid.uuid4().hex}")
@@ -300,7 +300,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.put_versions(customers.select(F.col("c").alias("entity_id"), F.lit(b"a").alias("content"), none))
     store.put_versions(orders.select(F.col("o").alias("entity_id"), F.lit(b"a").alias("content"), none))
     store.put_versions(customers.filter("substr(c, 2) % 2 = 0").select(F.col("c").alias("entity_id"), F.lit(b"b").alias("content"), none))
-    store.add_edges("entity", orders.join(customers, "c").select(F.col("o").alias("from_id"), F.lit(1).cast("long").alias("from_ver"), F.col("c").alias("to_id"), F.lit(None).cast("long").alias("to_ver")))
+    store.add_edges("entity", joined(orders, customers, "c").select(F.col("o").alias("from_id"), F.lit(1).cast("long").alias("from_ver"), F.col("c").alias("to_id"), F.lit(None).cast("long").alias("to_ver")))
     epoch = store.cut_epoch()
     return store.closure(epoch, orders.select("o")).entities
 

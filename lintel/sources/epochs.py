@@ -3,17 +3,23 @@
 Rows are only ever added. A version's number is one more than the largest of its entity; an edge
 is pinned to a version or, with null, floats, and then means the version that an epoch selects.
 One writer at a time; readers need no coordination, as nothing they see changes.
+
+A table's ids are a small part of their size as rows once they are compressed in files, by which Spark would choose
+what it sends to the driver and on to all executors. So joins are shuffled, but for a side that a count shows to be small.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintel.engine import BROADCAST_ROWS
+
 # The tables and their columns.
 TABLES = {
     "types": "id string",
@@ -57,14 +63,30 @@ class Closure:
     edges: DataFrame  # from_id, from_ver, to_id, to_ver
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str] | list[Column], how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides, whatever the size of their files."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def beside(left: DataFrame, right: DataFrame, on: str | list[str] | list[Column], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """A join whose right side is broadcast if it has few rows; rows: its count, if known."""
+    rows = right.count() if rows is None else rows
+    return left.join(F.broadcast(right), on, how) if rows <= BROADCAST_ROWS else joined(left, right, on, how)
+
+
 class EpochStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         for name, columns in TABLES.items():
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            path, files = self.place(f"{self.root}/{name}")
+            if not files.exists(path):
                 spark.createDataFrame([], columns).write.parquet(f"{self.root}/{name}")
 
+    def place(self, path: str):
+        """A path as Hadoop has it, and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
 
@@ -81,70 +103,90 @@ class EpochStore:
         """Every row's columns, unless one is null, name a row of a table."""
         there = self.table(table).select(*(F.col(c).alias(f"_{c}") for c in on.values()))
         condition = [F.col(a) == F.col(f"_{b}") for a, b in on.items()]
-        known = rows.filter(" and ".join(f"{a} is not null" for a in on))
-        if missing := known.join(there, condition, "left_anti").select(*on).head():
+        known = rows.filter(" and ".join(f"{a} is not null" for a in on)).select(*on)
+        if known.head() is None:
+            return
+        # each key once, so that one which many rows share is no task of its own
+        if missing := joined(known.distinct(), there, condition, "left_anti").head():
             raise DanglingReference(f"{what}: {missing.asDict()}")
 
     def next_versions(self, rows: DataFrame, key: str, table: str) -> DataFrame:
         """rows with version_id: on from the largest of their key, in the order of their content where a key comes twice."""
-        from pyspark.sql import Window
-
         last = self.table(table).groupBy(key).agg(F.max("version_id").alias("_last"))
         place = F.row_number().over(Window.partitionBy(key).orderBy("content"))
-        return rows.join(last, key, "left").withColumn("version_id", F.coalesce("_last", F.lit(0)) + place).drop("_last")
+        return joined(rows, last, key, "left").withColumn("version_id", F.coalesce("_last", F.lit(0)) + place).drop("_last")
 
     def create_types(self, ids: Iterable[str]) -> None:
         """Types that are there already stay as they are."""
         new = self.rows("types", *((i,) for i in ids)).distinct()
-        self.append("types", new.join(self.table("types"), "id", "left_anti"))
+        self.append("types", joined(new, self.table("types"), "id", "left_anti"))
 
     def put_type_versions(self, rows: DataFrame) -> DataFrame:
         """rows: type_id, content, tag. Returns type_id, version_id."""
         self.must_exist(rows, "types", {"type_id": "id"}, "no such type")
         new = self.next_versions(rows, "type_id", "type_versions").withColumn("created_at", F.current_timestamp())
-        return self.added("type_versions", new, ["type_id", "version_id"])
+        return self.added("type_versions", self.copied(new, self.aside()), ["type_id", "version_id"])
 
     def create_entities(self, rows: DataFrame) -> None:
         """rows: id, type_id. An entity that is there keeps its type; another one is a conflict."""
-        self.must_exist(rows, "types", {"type_id": "id"}, "no such type")
-        rows = rows.distinct()
+        each = rows.distinct().withColumn("_types", F.count(F.lit(1)).over(Window.partitionBy("id")))
         there = self.table("entities").select("id", F.col("type_id").alias("_type"))
-        every = rows.join(there, "id", "left")
-        clash = every.filter("_type <> type_id").select("id").union(rows.groupBy("id").count().filter("count > 1").select("id")).head()
-        if clash:
-            raise Conflict(f"{clash[0]} has another type")
-        self.append("entities", every.filter("_type is null"))
+        with self.staged(joined(each, there, "id", "left")) as every:
+            self.must_exist(every, "types", {"type_id": "id"}, "no such type")
+            if clash := every.filter("_type <> type_id or _types > 1").select("id").head():
+                raise Conflict(f"{clash[0]} has another type")
+            self.append("entities", every.filter("_type is null"))
 
     def put_versions(self, rows: DataFrame) -> DataFrame:
         """rows: entity_id, content, type_version_id (null: the type's latest). Returns entity_id, version_id."""
-        self.must_exist(rows, "entities", {"entity_id": "id"}, "no such entity")
+        entities = self.table("entities").select(F.col("id").alias("entity_id"), "type_id", F.lit(True).alias("_there"))
+        new = joined(rows.filter("entity_id is not null"), entities, "entity_id", "left")
+        new = self.next_versions(new, "entity_id", "entity_versions").withColumn("created_at", F.current_timestamp())
         latest = self.table("type_versions").groupBy("type_id").agg(F.max("version_id").alias("_latest"))
-        new = rows.join(self.table("entities").withColumnRenamed("id", "entity_id"), "entity_id").join(latest, "type_id", "left")
-        new = new.withColumn("type_version_id", F.coalesce("type_version_id", "_latest")).drop("_latest")
+        new = beside(new, latest, "type_id", "left").withColumn("type_version_id", F.coalesce("type_version_id", "_latest")).drop("_latest")
+        new = self.copied(new, self.aside())
+        if missing := new.filter("_there is null").select("entity_id").head():
+            raise DanglingReference(f"no such entity: {missing.asDict()}")
         if new.filter("type_version_id is null").head():
             raise NotFound("the type has no version yet")
         self.must_exist(new, "type_versions", {"type_id": "type_id", "type_version_id": "version_id"}, "no such type version")
-        new = self.next_versions(new, "entity_id", "entity_versions").withColumn("created_at", F.current_timestamp())
         return self.added("entity_versions", new, ["entity_id", "version_id"])
 
-    def added(self, table: str, new: DataFrame, columns: list[str]) -> DataFrame:
-        """Writes new rows where readers do not look yet, then appends and returns those."""
-        staged = f"{self.root}/_staged-{uuid.uuid4().hex}"
-        new.write.parquet(staged)
-        rows = self.spark.read.parquet(staged)
+    def aside(self) -> str:
+        """A new place where readers do not look."""
+        return f"{self.root}/_staged-{uuid.uuid4().hex}"
+
+    def copied(self, rows: DataFrame, path: str) -> DataFrame:
+        """rows by a copy, so that checks and the append do not work them out again."""
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """rows by a copy that goes at the end."""
+        name = self.aside()
+        try:
+            yield self.copied(rows, name)
+        finally:
+            path, files = self.place(name)
+            files.delete(path, True)
+
+    def added(self, table: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """Appends copied rows and returns some of their columns."""
         self.append(table, rows)
-        keys = [tuple(r) for r in rows.select(columns).take(1)]
         out = rows.select(columns)
+        keys = [tuple(r) for r in out.take(1)]
         out.first_row = keys[0] if keys else None
         return out
 
     def add_edges(self, kind: str, rows: DataFrame) -> None:
         """kind: type or entity; rows: from_id, from_ver, to_id, to_ver (null: floating)."""
         header, versions, key = ("types", "type_versions", "type_id") if kind == "type" else ("entities", "entity_versions", "entity_id")
-        self.must_exist(rows, versions, {"from_id": key, "from_ver": "version_id"}, "no such version")
-        self.must_exist(rows, header, {"to_id": "id"}, f"no such {kind}")
-        self.must_exist(rows, versions, {"to_id": key, "to_ver": "version_id"}, "no such version")
-        self.append(f"{kind}_edges", rows)
+        with self.staged(rows) as edges:
+            self.must_exist(edges, versions, {"from_id": key, "from_ver": "version_id"}, "no such version")
+            self.must_exist(edges, header, {"to_id": "id"}, f"no such {kind}")
+            self.must_exist(edges, versions, {"to_id": key, "to_ver": "version_id"}, "no such version")
+            self.append(f"{kind}_edges", edges)
 
     # --- one at a time
 
@@ -194,22 +236,35 @@ class EpochStore:
             raise NotFound(f"no epoch {epoch}")
         return self.table("epoch_entities" if kind == "entity" else "epoch_types").filter(F.col("epoch_id") == epoch).select(F.col(f"{kind}_id").alias("id"), F.col("version_id").alias("ver"))
 
-    def edges_from(self, nodes: DataFrame, epoch: int, kind: str) -> DataFrame:
-        """The nodes' edges, floating ends set to what the epoch selects; null where it selects nothing. nodes: id, ver."""
-        own = self.table(f"{kind}_edges").join(nodes, (F.col("from_id") == F.col("id")) & (F.col("from_ver") == F.col("ver"))).drop("id", "ver")
-        chosen = self.selected(epoch, kind).withColumnRenamed("id", "to_id")
-        return own.join(chosen, "to_id", "left").select("from_id", "from_ver", "to_id", F.coalesce("to_ver", "ver").alias("to_ver"))
-
-    def reach(self, seeds: DataFrame, epoch: int, kind: str) -> DataFrame:
-        """id, ver: everything that the seeds reach; a frontier is joined to the edges until it brings nothing new."""
-        seen = frontier = self.cut(seeds.distinct())
-        while frontier.head() is not None:
-            ahead = self.edges_from(frontier, epoch, kind).select(F.col("to_id").alias("id"), F.col("to_ver").alias("ver")).distinct()
-            frontier = self.cut(ahead.join(seen, ["id", "ver"], "left_anti"))
-            if lost := frontier.filter("ver is null").head():
-                raise NotInEpoch(f"{lost['id']} is not in the epoch")
-            seen = self.cut(seen.union(frontier))
-        return seen
+    def edges_from(self, nodes: DataFrame, kind: str, rows: int) -> DataFrame:
+        """The edges of nodes, which are id, ver and so many rows."""
+        return beside(self.table(f"{kind}_edges"), nodes, [F.col("from_id") == F.col("id"), F.col("from_ver") == F.col("ver")], rows=rows).drop("id", "ver")
+
+    def resolved(self, edges: DataFrame, chosen: DataFrame) -> DataFrame:
+        """edges, floating ends set to what an epoch selects; null where it selects nothing."""
+        return joined(edges, chosen.withColumnRenamed("id", "to_id"), "to_id", "left").withColumn("to_ver", F.coalesce("to_ver", "ver")).drop("ver")
+
+    def reach(self, seeds: DataFrame, epoch: int, kind: str) -> tuple[DataFrame, int]:
+        """id, ver: everything that the seeds reach, and its rows; a frontier is joined to the edges until it brings nothing new."""
+
+        def counted(found: DataFrame) -> tuple[DataFrame, int]:
+            found = self.cut(found)
+            rows, there = found.agg(F.count(F.lit(1)), F.count("ver")).first()
+            if there < rows:
+                raise NotInEpoch(f"{found.filter('ver is null').head()['id']} is not in epoch {epoch}")
+            return found, rows
+
+        chosen = self.selected(epoch, kind)
+        frontier, rows = counted(seeds.distinct())
+        seen, total = frontier, rows
+        while rows:
+            # ends that many edges share are resolved once
+            ends = self.edges_from(frontier, kind, rows).select("to_id", "to_ver").distinct()
+            ahead = self.resolved(ends, chosen).select(F.col("to_id").alias("id"), F.col("to_ver").alias("ver")).distinct()
+            frontier, rows = counted(beside(ahead, seen, ["id", "ver"], "left_anti", rows=total))
+            if rows:
+                seen, total = self.cut(seen.union(frontier)), total + rows
+        return seen, total
 
     def cut(self, df: DataFrame) -> DataFrame:
         """df without its lineage, by a copy in the shared checkpoint folder."""
@@ -227,11 +282,9 @@ class EpochStore:
             asked = roots.select(F.col(roots.columns[0]).alias("id")).distinct()
         else:
             asked = self.spark.createDataFrame([(i,) for i in ([roots] if isinstance(roots, str) else roots)], "id string")
-        seeds = asked.join(self.selected(epoch, "entity"), "id", "left")
-        if lost := seeds.filter("ver is null").head():
-            raise NotInEpoch(f"{lost['id']} is not in epoch {epoch}")
-        entities = self.reach(seeds, epoch, "entity")
-        pinned = entities.join(self.table("entity_versions"), (F.col("id") == F.col("entity_id")) & (F.col("ver") == F.col("version_id"))).select(F.col("type_id").alias("id"), F.col("type_version_id").alias("ver"))
-        types = self.reach(pinned, epoch, "type")
-        inside = self.edges_from(entities, epoch, "entity")
+        chosen = self.selected(epoch, "entity")
+        entities, rows = self.reach(joined(asked, chosen, "id", "left"), epoch, "entity")
+        pinned = beside(self.table("entity_versions"), entities, [F.col("id") == F.col("entity_id"), F.col("ver") == F.col("version_id")], rows=rows)
+        types, _ = self.reach(pinned.select(F.col("type_id").alias("id"), F.col("type_version_id").alias("ver")), epoch, "type")
+        inside = self.resolved(self.edges_from(entities, "entity", rows), chosen).select("from_id", "from_ver", "to_id", "to_ver")
         return Closure(entities.select(F.col("id").alias("entity_id"), F.col("ver").alias("version_id")), types.select(F.col("id").alias("type_id"), F.col("ver").alias("version_id")), inside)

@@ -6,6 +6,7 @@ import pytest
 from lintel.engine import Engine
 from lintel.operators.aggregates import Aggregate
 from lintel.operators.validation import Rule, RuleError, Rules, checked, effects, first_mismatch, path, shown, split
+from lintel.plans.queries import epochs, read
 from lintel.sources.epochs import Conflict, DanglingReference, EpochStore, NotFound, NotInEpoch
 from lintel.sources.events import proto, read_events
 from lintel.streaming.windows import joined_streams, trigger_ms, windowed
@@ -121,6 +122,21 @@ def test_store(spark, tmp_path):
             fails()
 
 
+def test_store_sends_no_table_to_the_driver_by_the_size_of_its_files(spark, monkeypatch):
+    monkeypatch.setattr("lintel.sources.epochs.BROADCAST_ROWS", -1, raising=False)
+
+    def ran():
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {(x := found.apply(i)).executionId(): x.physicalPlanDescription() for i in range(found.size())}
+
+    before = ran()
+    rows = epochs(spark, DATA).count()
+    orders = read(spark, DATA, "orders")
+    assert rows == orders.count() + orders.select("o_custkey").distinct().count()
+    plans = [p for i, p in ran().items() if i not in before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_triggers():
     engine = Engine()
     assert trigger_ms(engine, ["a > 1"]) is None
