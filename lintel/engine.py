@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions.cel import Translation, parse
-from lintel.functions.lower import column, enriched_name
+from lintel.functions.lower import column, enriched_name, nodes, with_urls
 from lintel.functions.udf import Registry
 from lintel.ir import Expr
 from lintel.plans.passes import Import, reads, resolve, simplify
@@ -68,10 +68,5 @@ class Engine:
     def select(self, df: DataFrame, on_error: str = "raise", keep: Iterable[str] = (), **exprs: str | Expr) -> DataFrame:
         """Kept columns, and an expression under each name."""
         typed = {name: self.typed(df, e) for name, e in exprs.items()}
-        return self.joined(df, typed.values()).select(*keep, *(column(t, self.registry.functions, on_error).alias(n) for n, t in typed.items()))
-
-
-def nodes(t: Typed):
-    yield t
-    for kid in t.kids:
-        yield from nodes(kid)
+        df, urls = with_urls(self.joined(df, typed.values()), typed.values(), self.registry.functions)
+        return df.select(*keep, *(column(t, self.registry.functions, on_error, urls).alias(n) for n, t in typed.items()))

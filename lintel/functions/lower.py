@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from types import SimpleNamespace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions import net
@@ -124,45 +125,59 @@ def regex_replace(kids, cols):
     return F.regexp_replace(cols[0], pattern(kids[1], cols[1]), to)
 
 
-# The modes of URLs, and schemes that always have a host.
+# The modes of URLs, schemes that always have a host, and what is stripped from a URL's ends.
 MODES = ("auto", "require_scheme", "require_authority")
-SPECIAL = "(?i)^(https?|ftp|wss?|file):"
+SPECIAL = ("http", "https", "ftp", "ws", "wss", "file")
+BLANK = "".join(map(chr, range(33)))
 
 
-def url(text: Column) -> Column:
-    """scheme, host, path and query of a URL or reference, taken apart leniently as browsers do; path and query are null where it is none."""
+def held(parts: dict[str, Column], body: Callable):
+    """body of values by name that are worked out once, within an expression."""
+    return net.let(F.struct(*(c.alias(n) for n, c in parts.items())), body)
 
-    def start(t: Column) -> Column:
-        body = F.regexp_extract(t, "^[^#]*", 0)
-        return F.struct(F.regexp_extract(t, "^[^?#]*", 0).alias("before"), F.when(body.contains("?"), F.regexp_extract(body, r"^[^?]*\?(.*)$", 1)).alias("query"), F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1).alias("scheme"), t.rlike(SPECIAL).alias("special"), (body != "").alias("any"))
 
-    def rest(x: Column) -> Column:
+def url(text: Column, body: Callable, bind: Callable = held):
+    """body of the scheme, host, path and query of a URL or reference, taken apart leniently as browsers do; path and query are null where it is none.
+
+    Once a character is known to be there, strings are cut at it: patterns cost a multiple. bind: how intermediate values are held.
+    """
+
+    def start(s):
+        whole = F.substring_index(s.text, "#", 1)
+        before = F.substring_index(whole, "?", 1)
+        return bind({"before": before, "query": F.when(whole.contains("?"), F.substr(whole, F.length(before) + 2)), "scheme": F.regexp_extract(s.text, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1), "given": whole != ""}, kind)
+
+    def kind(x):
+        scheme = F.lower(x.scheme)
+        return bind({"special": scheme.isin(*SPECIAL), "web": scheme.isin(*SPECIAL) & (scheme != "file")}, lambda k: rest(x, k))
+
+    def rest(x, k):
         none = x.scheme == ""
-        before = F.when(x.special | none, F.translate(x.before, "\\", "/")).otherwise(x.before)
+        before = F.when(k.special | none, F.translate(x.before, "\\", "/")).otherwise(x.before)
         behind = F.when(none, before).otherwise(F.substr(before, F.length(x.scheme) + 2))
         # schemes with a host have one after any number of slashes, but for files
-        web = x.special & (F.lower(x.scheme) != "file")
-        return F.struct(x.alias("x"), web.alias("web"), F.when(web, F.concat(F.lit("//"), F.regexp_replace(behind, "^/+", ""))).otherwise(behind).alias("rest"))
+        return bind({"rest": F.when(k.web, F.concat(F.lit("//"), F.ltrim(behind, F.lit("/")))).otherwise(behind)}, lambda y: split(x, k, y))
+
+    def split(x, k, y):
+        authority = F.when(y.rest.startswith("//"), F.substring_index(F.substr(y.rest, F.lit(3)), "/", 1)).otherwise(F.when(y.rest.isNotNull(), F.lit("")))
+        return bind({"authority": authority}, lambda z: named(x, k, y, z))
 
-    def split(y: Column) -> Column:
-        authority = F.regexp_extract(y.rest, "^//([^/]*)", 1)
-        path = F.when(y.rest.startswith("//"), F.substr(y.rest, F.length(authority) + 3)).otherwise(y.rest)
-        return F.struct(y.alias("y"), F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "").alias("host"), path.alias("path"))
+    def named(x, k, y, z):
+        path = F.when(y.rest.startswith("//"), F.substr(y.rest, F.length(z.authority) + 3)).otherwise(y.rest)
+        host = F.substring_index(z.authority, "@", -1)
+        return bind({"host": F.when(host.contains(":"), F.regexp_replace(host, r":\d*$", "")).otherwise(host), "tail": path}, lambda h: judged(x, k, y, h))
 
-    def judged(z: Column) -> Column:
-        x = z.y.x
-        bad = z.host.rlike(r"[\x00-\x20#<>?^|%]") | (z.host.contains(":") & ~z.host.rlike(r"^\[[0-9A-Fa-f:.]+\]$")) | (z.y.web & (z.host == ""))
+    def judged(x, k, y, h):
+        bad = h.host.rlike(r"[\x00-\x20#<>?^|%]") | (h.host.contains(":") & ~h.host.rlike(r"^\[[0-9A-Fa-f:.]+\]$")) | (k.web & (h.host == ""))
         # other schemes without slashes have no path of segments
-        opaque = (x.scheme != "") & ~x.special & ~z.y.rest.startswith("/")
-        good = ~bad & ((x.scheme != "") | x["any"])
-        path = F.when((z.path != "") & ~z.path.startswith("/"), F.concat(F.lit("/"), z.path)).otherwise(z.path)
-        return F.struct(x.scheme.alias("scheme"), z.host.alias("host"), F.when(good & ~opaque, path).alias("path"), F.when(good, x.query).alias("query"))
+        opaque = (x.scheme != "") & ~k.special & ~y.rest.startswith("/")
+        path = F.when((h.tail != "") & ~h.tail.startswith("/"), F.concat(F.lit("/"), h.tail)).otherwise(h.tail)
+        return bind({"good": ~bad & ((x.scheme != "") | x.given)}, lambda g: bind({"scheme": x.scheme, "host": h.host, "path": F.when(g.good & ~opaque, path), "query": F.when(g.good, x.query)}, body))
 
-    text = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    return net.let(text, lambda t: net.let(start(t), lambda x: net.let(rest(x), lambda y: net.let(split(y), judged))))
+    return bind({"text": F.translate(F.trim(text, F.lit(BLANK)), "\t\n\r", "")}, start)
 
 
-def meets(u: Column, kids, cols, at: int) -> Column:
+def meets(u, kids, cols, at: int) -> Column:
     """Whether a URL satisfies the mode, which is auto where it is left out or null."""
     if len(cols) <= at:
         return F.lit(True)
@@ -190,8 +205,8 @@ def segments(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), walked).otherwise(parts)
 
 
-def url_path_segment(kids, cols):
-    found = net.let(url(cols[0]), lambda u: F.when(meets(u, kids, cols, 2), F.get(segments(u.path), cols[1].cast("int"))))
+def url_path_segment(kids, cols, at: Callable = url):
+    found = at(cols[0], lambda u: F.when(meets(u, kids, cols, 2), F.get(segments(u.path), cols[1].cast("int"))))
     return net.let(found, encoded)
 
 
@@ -200,12 +215,12 @@ def decoded(text: Column) -> Column:
     return F.when(text.rlike("[%+]"), F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(text)
 
 
-def url_query_param(kids, cols):
-    def value(u: Column) -> Column:
+def url_query_param(kids, cols, at: Callable = url):
+    def value(u) -> Column:
         named = F.filter(F.split(u.query, "&"), lambda p: (p != "") & (decoded(F.substring_index(p, "=", 1)) == cols[1]))
         return F.when(meets(u, kids, cols, 2), F.get(named, 0))
 
-    return net.let(net.let(url(cols[0]), value), lambda p: decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))
+    return net.let(at(cols[0], value), lambda p: decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))
 
 
 def size(kids, cols):
@@ -515,12 +530,13 @@ BY_OP: dict[str, Callable] = {
     "ip_to_int": PLAIN(net.v4_number),
     "int_to_ip": PLAIN(net.number_v4),
 }
+URLS = ("url_path_segment", "url_query_param")
 CASTS = {"cast_bool": "bool", "cast_int": "i64", "cast_uint": "u64", "cast_double": "f64", "cast_string": "string", "cast_bytes": "blob", "cast_duration": "duration", "cast_timestamp": "timestamp"}
 
 
 class Lowering:
-    def __init__(self, functions: Mapping | None = None):
-        self.functions = functions or {}
+    def __init__(self, functions: Mapping | None = None, urls: Iterable[tuple[Typed, SimpleNamespace]] = ()):
+        self.functions, self.urls = functions or {}, list(urls)
 
     def lower(self, t: Typed, scope: Mapping[str, Column] | None = None) -> Pair:
         scope = scope or {}
@@ -594,7 +610,8 @@ class Lowering:
             return Pair(F.lit(None), F.lit(True))
         if op in CASTS:
             return self.failing(cast(kids[0], cols[0], t.type), either(*errors), cols, t.may_error)
-        value = BY_OP[op](list(kids), cols)
+        known = [u for of, u in self.urls if of == kids[0]] if op in URLS else []
+        value = BY_OP[op](list(kids), cols, lambda _, body: body(known[0])) if known else BY_OP[op](list(kids), cols)
         own = "error" in CATALOG[op].flags and t.may_error
         if op == "index" and own:
             # a null element is no failure: the place is what has to be there
@@ -649,9 +666,39 @@ def element(t: ValueType) -> ValueType:
     return t.key if t.kind == "map" else t.element
 
 
-def column(t: Typed, functions: Mapping | None = None, on_error: str = "raise") -> Column:
-    """The column of a checked expression; on_error: raise, null, or, for conditions, false."""
-    pair = Lowering(functions).lower(t)
+def nodes(t: Typed) -> Iterator[Typed]:
+    yield t
+    for kid in t.kids:
+        yield from nodes(kid)
+
+
+def with_urls(df: DataFrame, typed: Iterable[Typed], functions: Mapping | None = None) -> tuple[DataFrame, list[tuple[Typed, SimpleNamespace]]]:
+    """df with the parts of the URLs that expressions read as further columns, so that a row's is taken apart once for all of them.
+
+    Left out are URLs of elements of a collection, of outside functions, and those that may fail.
+    """
+    found: list[tuple[Typed, SimpleNamespace]] = []
+    for node in (n for t in typed for n in nodes(t) if isinstance(n.node, Call) and n.node.op in URLS):
+        of = node.kids[0]
+        if any(of == known for known, _ in found) or any(isinstance(n.node, (Var, Udf, Over)) for n in nodes(of)):
+            continue
+        pair = Lowering(functions).lower(of)
+        if pair.error is not None:
+            continue
+
+        def bind(parts: dict[str, Column], body: Callable):
+            nonlocal df
+            names = {n: f"_url_{len(df.columns)}_{n}" for n in parts}
+            df = df.withColumns({names[n]: c for n, c in parts.items()})
+            return body(SimpleNamespace(**{n: F.col(c) for n, c in names.items()}))
+
+        found.append((of, url(pair.value, lambda u: u, bind)))
+    return df, found
+
+
+def column(t: Typed, functions: Mapping | None = None, on_error: str = "raise", urls: Iterable[tuple[Typed, SimpleNamespace]] = ()) -> Column:
+    """The column of a checked expression; on_error: raise, null, or, for conditions, false. urls: those of with_urls."""
+    pair = Lowering(functions, urls).lower(t)
     if pair.error is None:
         return pair.value
     if on_error == "raise":

@@ -272,3 +272,14 @@ def test_window_functions_refuse_what_they_cannot(spark):
             Over(*args)
     with pytest.raises(TypeCheckError):
         over(Engine(), spark.range(1), [], [], r=Over("rank"))
+
+
+def test_a_url_is_taken_apart_once_for_all_expressions(spark):
+    df = spark.createDataFrame([("https://h/a/%2E/b?x=1&y=2#z",), ("/c?y=3",), (None,)], "u string").coalesce(1)
+    exprs = {"a": "url_path_segment(u, 0)", "b": "url_path_segment(u, 1, 'require_authority')", "x": "url_query_param(u, 'x')", "y": "url_query_param(u, 'y')", "inner": "[u].map(v, url_path_segment(v, 0))[0]"}
+    out = Engine().select(df, "null", ["u"], **exprs)
+    assert [tuple(r)[1:] for r in out.collect()] == [("a", "b", "1", "2", "a"), ("c", None, None, "3", "c"), (None,) * 5]
+    assert out.columns == ["u", *exprs]
+    del exprs["inner"]  # the one of an element is no row's
+    plan = Engine().select(df, **exprs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Za-z][A-Za-z0-9+") == 1
